@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splitlab.functions.odds import CLAMPS
 from splitlab.functions.outcomes import FINE_OUTCOMES, OUTCOMES, not_other
-from splitlab.operators import boards, plate, rates, spread
+from splitlab.operators import (
+    bins, boards, design, estimates, plate, rates, regress, solvers, spread,
+)
 from splitlab.operators.lookups import broadcast_if_small
 from splitlab.operators.ranking import ordinal_in_group
 from splitlab.plans import testbed
@@ -34,8 +37,8 @@ def batting(
     return plate.plate_events(testbed.plays(spark, sf_dir), games, testbed.ORDER, vocabulary)
 
 
-def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batting(spark, sf_dir).filter(not_other())
+def kept(spark: SparkSession, sf_dir: str, sites: bool = False) -> DataFrame:
+    return batting(spark, sf_dir, sites=sites).filter(not_other())
 
 
 def plate_events(spark, sf_dir):
@@ -191,6 +194,268 @@ def pa_check(spark, sf_dir):
     return boards.pa_check(board).select("season", "batter", "PA", "AB", "xPA")
 
 
+def gram(spark, sf_dir):
+    return design.gram(batting(spark, sf_dir, sites=True))
+
+
+def xty(spark, sf_dir):
+    sums = design.xty(batting(spark, sf_dir, sites=True))
+    return rounded(rates.long_rates(sums, values=OUTCOMES), digits=6)
+
+
+def long_design(spark, sf_dir):
+    return design.long_design(kept(spark, sf_dir, sites=True), testbed.ORDER)
+
+
+def centred_outcomes(spark, sf_dir):
+    events = kept(spark, sf_dir)
+    rows = design.residual_outcomes(events, design.event_means(events), "share")
+    return rounded(rows.select(*testbed.ORDER, *OUTCOMES), digits=9)
+
+
+def logit_outcomes(spark, sf_dir):
+    events = kept(spark, sf_dir)
+    rows = design.residual_outcomes(events, design.event_means(events), "logit")
+    return rounded(rows.select(*testbed.ORDER, *OUTCOMES), digits=9)
+
+
+def class_weights(spark, sf_dir):
+    return rounded(design.class_weights(batting(spark, sf_dir)))
+
+
+def balanced_weights(spark, sf_dir):
+    return rounded(design.class_weights(batting(spark, sf_dir), "balanced"))
+
+
+def shrunk_means(spark, sf_dir):
+    return rounded(regress.shrunken_means(batting(spark, sf_dir, sites=True), 100.0), digits=9)
+
+
+def ridge_single_split(spark, sf_dir):
+    """The iterative solver where a closed form exists."""
+    effects = regress.ridge(batting(spark, sf_dir), 100.0, ["batter"])
+    return rounded(effects, digits=7)
+
+
+def _small(gap_columns, allowed):
+    worst = F.greatest(*[F.abs(column) for column in gap_columns])
+    return worst <= allowed
+
+
+def ridge_check(spark, sf_dir):
+    """Stationarity of ridge: X'(y - Xb) = alpha b."""
+    events = batting(spark, sf_dir, sites=True)
+    gap = regress.normal_gap(events, regress.ridge(events, 1.0))
+    slack = [F.col(e) - 1.0 * F.col(f"b_{e}") for e in OUTCOMES]
+    return gap.select("split", "level", "n", _small(slack, 1e-6 * F.col("n")).alias("ok"))
+
+
+def ridge_logit_check(spark, sf_dir):
+    events = batting(spark, sf_dir, sites=True)
+    gap = regress.normal_gap(events, regress.ridge(events, 100.0, space="logit"), space="logit")
+    slack = [F.col(e) - 100.0 * F.col(f"b_{e}") for e in OUTCOMES]
+    return gap.select("split", "level", "n", _small(slack, 1e-5 * F.col("n")).alias("ok"))
+
+
+def minnorm_check(spark, sf_dir):
+    """Normal equations of the least-norm solution: X'(y - Xb) = 0."""
+    events = batting(spark, sf_dir, sites=True)
+    effects = regress.min_norm(events, space="logit")
+    gap = regress.normal_gap(events, effects, space="logit")
+    slack = [F.col(e) for e in OUTCOMES]
+    return gap.select("split", "level", "n", _small(slack, 1e-5 * F.col("n")).alias("ok"))
+
+
+TAU = {"batter": 3.0, "pitcher": 2.0, "gamesite": 1.0, "timesthrough": 5.0, "pitbathand": 1.0}
+
+
+def tau_check(spark, sf_dir):
+    events = batting(spark, sf_dir, sites=True)
+    wide = CLAMPS["wide"]
+    effects = regress.min_norm(events, space="logit", clamp_pair=wide, tau=TAU)
+    gap = regress.normal_gap(events, effects, space="logit", clamp_pair=wide, tau=TAU)
+    slack = [F.col(e) for e in OUTCOMES]
+    return gap.select("split", "level", "n", _small(slack, 1e-4 * F.col("n")).alias("ok"))
+
+
+def lasso_check(spark, sf_dir):
+    """Subgradient of lasso: |X'(y - Xb) / N| <= alpha, with equality where b is not 0."""
+    alpha = 0.1
+    events = batting(spark, sf_dir, sites=True)
+    gap = regress.normal_gap(events, regress.lasso(events, alpha), space="logit")
+    total = events.filter(not_other()).agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    slack = []
+    for e in OUTCOMES:
+        pull, b = F.col(e) / total, F.col(f"b_{e}")
+        slack.append(
+            F.when(b == 0, F.greatest(F.abs(pull) - alpha, F.lit(0.0))).otherwise(
+                pull - alpha * F.signum(b)
+            )
+        )
+    return gap.select("split", "level", "n", _small(slack, F.lit(1e-4)).alias("ok"))
+
+
+def ols_fit(spark, sf_dir):
+    """Fitted totals of plain least squares equal observed totals per level."""
+    events = batting(spark, sf_dir, sites=True)
+    gap = regress.normal_gap(events, regress.least_squares(events), space="logit")
+    slack = [F.col(e) for e in OUTCOMES]
+    return gap.select("split", "level", "n", _small(slack, 1e-4 * F.col("n")).alias("ok"))
+
+
+def _logistic(spark, sf_dir, splits, weighted):
+    events = batting(spark, sf_dir, sites="gamesite" in splits)
+    weights = design.class_weights(events) if weighted else None
+    effects, intercepts = regress.multinomial(events, splits, weights)
+    gap = regress.multinomial_gap(events, effects, intercepts, splits, weights)
+    slack = [F.col(c) for c in effects.columns[2:]]
+    return gap.select("split", "level", "n", _small(slack, 1e-4 * F.col("n")).alias("ok"))
+
+
+def logistic_check(spark, sf_dir):
+    """Gradient of the unweighted two-split multinomial fit."""
+    return _logistic(spark, sf_dir, ["batter", "pitcher"], False)
+
+
+def weighted_logistic_check(spark, sf_dir):
+    """Gradient of the weighted five-split multinomial fit."""
+    return _logistic(spark, sf_dir, list(plate.MODEL_SPLITS), True)
+
+
+def logistic_means(spark, sf_dir):
+    """Model means from the intercepts next to observed shares."""
+    events = batting(spark, sf_dir)
+    _, intercepts = regress.multinomial(events, ["batter", "pitcher"])
+    return estimates.mean_ratio(intercepts, rates.event_freq(events.filter(not_other())))
+
+
+def gram_rank(spark, sf_dir):
+    return solvers.gram_rank(design.gram(batting(spark, sf_dir, sites=True)))
+
+
+def _shrunk(spark, sf_dir, space):
+    events = batting(spark, sf_dir, sites=True)
+    effects = regress.shrunken_means(events, 100.0, space=space)
+    return events, estimates.to_probabilities(effects, design.event_means(events), space)
+
+
+def estimates_share(spark, sf_dir):
+    _, made = _shrunk(spark, sf_dir, "share")
+    return rounded(estimates.with_total(made), digits=9)
+
+
+def estimates_logit(spark, sf_dir):
+    """Log-odds effects back in probabilities, scaled to sum to one."""
+    _, made = _shrunk(spark, sf_dir, "logit")
+    return rounded(estimates.normalise(made), digits=9)
+
+
+def estimates_odds(spark, sf_dir):
+    events = batting(spark, sf_dir, sites=True)
+    effects = regress.shrunken_means(events, 100.0, space="logit")
+    made = estimates.to_odds(effects, design.event_means(events))
+    return rounded(spread.estimate_spread(made).select("split", "event", "mean"), digits=9)
+
+
+def estimates_ridge(spark, sf_dir):
+    events = batting(spark, sf_dir, sites=True)
+    made = estimates.to_probabilities(regress.ridge(events, 1.0), design.event_means(events))
+    return rounded(estimates.with_total(made), digits=6)
+
+
+def est_vs_obs(spark, sf_dir):
+    events, made = _shrunk(spark, sf_dir, "share")
+    return rounded(
+        estimates.observed_and_estimated(rates.split_rates(events), made), digits=9
+    )
+
+
+def est_vs_obs_long(spark, sf_dir):
+    events, made = _shrunk(spark, sf_dir, "share")
+    return rounded(estimates.long_comparison(rates.split_rates(events), made), digits=9)
+
+
+def est_spread(spark, sf_dir):
+    _, made = _shrunk(spark, sf_dir, "share")
+    return rounded(spread.estimate_spread(made), digits=9)
+
+
+def est_shrinkage(spark, sf_dir):
+    events, made = _shrunk(spark, sf_dir, "share")
+    return rounded(spread.shrinkage(made, events), digits=9)
+
+
+def mean_fitted(spark, sf_dir):
+    events, made = _shrunk(spark, sf_dir, "share")
+    return rounded(estimates.mean_over_events(rates.split_counts(events), made), digits=9)
+
+
+def fitted_values(spark, sf_dir):
+    """X b per event, from the closed-form effects."""
+    events = kept(spark, sf_dir, sites=True)
+    effects = regress.shrunken_means(events, 100.0)
+    rows = estimates.fitted(events, effects)
+    return rounded(rows.select(*testbed.ORDER, *OUTCOMES), digits=9)
+
+
+def star_rates(spark, sf_dir):
+    events = kept(spark, sf_dir, sites=True)
+    joined = estimates.star_rates(events, rates.split_rates(events))
+    made = [f"{s}_{e}" for s in plate.MODEL_SPLITS for e in OUTCOMES]
+    return rounded(joined.select(*testbed.ORDER, "event", *made))
+
+
+def _estimated(spark, sf_dir, split):
+    events, made = _shrunk(spark, sf_dir, "share")
+    return estimates.estimated_board(
+        made, rates.split_rates(events), testbed.constants(spark), 2000, split
+    )
+
+
+def est_top_batters(spark, sf_dir):
+    board = boards.named(_estimated(spark, sf_dir, "batter"), testbed.batter_names(spark, sf_dir), "batter")
+    board = board.filter(F.col("PA") >= 100)
+    columns = ("batter", "Name", "PA", *OUTCOMES, *METRICS)
+    return boards.top(rounded(board.select(*columns), digits=9), "WOBA", 10, ["batter"])
+
+
+def est_bottom_pitchers(spark, sf_dir):
+    board = boards.named(_estimated(spark, sf_dir, "pitcher"), testbed.people(spark, sf_dir), "pitcher")
+    board = board.filter(F.col("PA") >= 100)
+    columns = ("pitcher", "Name", "PA", *OUTCOMES, *METRICS)
+    return boards.bottom(rounded(board.select(*columns), digits=9), "FIP", 10, ["pitcher"])
+
+
+def est_parks(spark, sf_dir):
+    board = boards.placed(_estimated(spark, sf_dir, "gamesite"), testbed.parks(spark, sf_dir))
+    return rounded(board.select("gamesite", "NAME", *OUTCOMES, "WOBA", "FIP"), digits=9)
+
+
+def _long_values(spark, sf_dir):
+    table = rates.split_rates(batting(spark, sf_dir, sites=True))
+    long = rates.long_rates(table, ("split", "level", "PA"), OUTCOMES)
+    return long
+
+
+def hist(spark, sf_dir):
+    return rounded(bins.histogram(_long_values(spark, sf_dir)))
+
+
+def weighted_hist(spark, sf_dir):
+    return rounded(bins.histogram(_long_values(spark, sf_dir), 50, "PA"))
+
+
+def bins2d(spark, sf_dir):
+    events, made = _shrunk(spark, sf_dir, "share")
+    both = estimates.observed_and_estimated(rates.split_rates(events), made)
+    return bins.bins2d(rounded(both, digits=9), "SNGL_obs", "HR_obs", 8)
+
+
+def kde2d(spark, sf_dir):
+    table = rates.split_rates(batting(spark, sf_dir, sites=True))
+    return rounded(bins.kde2d(table, "SNGL", "HR", "PA", 0.02), digits=9)
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {"plate_events": plate_events}
     for split in plate.SPLITS:
@@ -202,7 +467,13 @@ def queries() -> dict[str, Query]:
         event_freq_by_season, fip_by_season_tto, meeting_number, event_meeting_number,
         matchup_counts, events_nonnull, pitches, top_batters, bottom_pitchers, park_rates,
         rate_spread, level_freq, weighted_split_means, rates_long, rates_wide, dh_value,
-        dh_value_career, overrated, pa_check,
+        dh_value_career, overrated, pa_check, gram, xty, long_design, centred_outcomes,
+        logit_outcomes, class_weights, balanced_weights, shrunk_means, ridge_single_split,
+        ridge_check, ridge_logit_check, minnorm_check, tau_check, lasso_check, ols_fit,
+        logistic_check, weighted_logistic_check, logistic_means, gram_rank, estimates_share,
+        estimates_logit, estimates_odds, estimates_ridge, est_vs_obs, est_vs_obs_long,
+        est_spread, est_shrinkage, mean_fitted, fitted_values, star_rates, est_top_batters,
+        est_bottom_pitchers, est_parks, hist, weighted_hist, bins2d, kde2d,
     ):
         found[query.__name__] = query
     return found

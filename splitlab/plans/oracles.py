@@ -225,5 +225,152 @@ round(Bat - RBI, 9) AS Bat_RBI, round("Off" - RBI, 9) AS Off_RBI FROM b) ORDER B
     return sql
 
 
+MEANS = "means AS (SELECT {} FROM kept)".format(
+    ", ".join(f"count(*) FILTER (WHERE event = '{e}') / CAST(count(event) AS DOUBLE) AS m_{e}" for e in SIX)
+)
+ROWS = "{kept}, {means}, tally AS (SELECT split, level, count(*) AS n, {cells} FROM ({levels}) GROUP BY split, level)".format(
+    kept=KEPT, means=MEANS, levels=levels(),
+    cells=", ".join(f"count(*) FILTER (WHERE event = '{e}') AS c_{e}" for e in SIX),
+)
+NARROW = (0.99999, 0.000002)
+
+
+def log_odds(p) -> str:
+    return f"ln({p} / (1 - {p}))"
+
+
+HIGH, LOW = (log_odds(f"CAST({value} AS DOUBLE)") for value in NARROW)
+SHARE_EFFECTS = "eff AS (SELECT split, level, n, {} FROM tally, means)".format(
+    ", ".join(f"(c_{e} - n * m_{e}) / (n + 100) AS b_{e}" for e in SIX)
+)
+LOGIT_EFFECTS = "eff AS (SELECT split, level, n, {} FROM tally, means)".format(
+    ", ".join(f"(c_{e} * {HIGH} + (n - c_{e}) * {LOW} - n * {log_odds('m_' + e)}) / (n + 100) AS b_{e}" for e in SIX)
+)
+EST = "est AS (SELECT split, level, {} FROM eff, means)".format(", ".join(f"b_{e} + m_{e} AS {e}" for e in SIX))
+SHRUNK = f"{ROWS}, {SHARE_EFFECTS}, {EST}"
+OBS = ALL_RATES
+EST_LONG = " UNION ALL ".join(f"SELECT split, level, '{e}' AS event, {e} AS value FROM est" for e in SIX)
+OBS_LONG = " UNION ALL ".join(f"SELECT split, level, PA, '{e}' AS event, {e} AS value FROM rates" for e in SIX)
+
+
+def nine(pairs) -> str:
+    return ", ".join(f"round(CAST({e} AS DOUBLE), 9) AS {n}" for n, e in pairs)
+
+
+def histogram_sql(bins: int, amount: str, zero: str) -> str:
+    return f"""WITH {KEPT}, {OBS}, v AS ({OBS_LONG}),
+g AS (SELECT split, event, CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
+  CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi FROM v GROUP BY split, event),
+f AS (SELECT v.split, v.event, least(CAST(floor((value - lo) / (hi - lo) * {bins}) AS INTEGER), {bins - 1}) AS bin, {amount} AS amount
+  FROM v JOIN g ON v.split = g.split AND v.event = g.event GROUP BY ALL)
+SELECT g.split, g.event, CAST(i AS INTEGER) AS bin, round(lo + (hi - lo) / {bins} * i, 12) AS lo,
+  round(lo + (hi - lo) / {bins} * (i + 1), 12) AS hi, coalesce(amount, {zero}) AS amount
+FROM g CROSS JOIN range({bins}) r(i) LEFT JOIN f ON g.split = f.split AND g.event = f.event AND f.bin = i"""
+
+
+def board_sql(split: str, names: str, columns: str, tail: str) -> str:
+    """Estimates of one split with the weights of season 2000."""
+    return f"""WITH {SHRUNK}, {OBS}, {CONSTS}, people AS ({names}),
+b AS (SELECT e.level AS {split}, p.Name, r.PA, {", ".join("e." + x for x in SIX)}, c.* EXCLUDE (Season)
+  FROM est e JOIN rates r ON e.split = r.split AND e.level = r.level LEFT JOIN people p ON e.level = p.ID
+  CROSS JOIN (SELECT * FROM consts WHERE Season = 2000) c WHERE e.split = '{split}')
+SELECT * FROM (SELECT {split}, {columns} FROM b {tail}"""
+
+
+def models() -> dict[str, str]:
+    sql = {}
+    pairs = []
+    for s in MODEL_SPLITS:
+        for t in MODEL_SPLITS:
+            pairs.append(
+                f"SELECT '{s}' AS split, CAST({s} AS VARCHAR) AS level, '{t}' AS split2, CAST({t} AS VARCHAR) AS level2, count(*) AS n "
+                f"FROM kept WHERE {s} IS NOT NULL AND {t} IS NOT NULL GROUP BY ALL"
+            )
+    sql["gram"] = f"WITH {KEPT} " + " UNION ALL ".join(pairs)
+    sql["xty"] = f"WITH {ROWS} " + " UNION ALL ".join(
+        f"SELECT split, level, '{e}' AS event, round(c_{e} - n * m_{e}, 6) AS value FROM tally, means" for e in SIX
+    )
+    sql["long_design"] = f"WITH {KEPT} SELECT {ORDER}, split, level FROM ({levels(columns=ORDER)})"
+    sql["centred_outcomes"] = f"WITH {KEPT}, {MEANS} SELECT {ORDER}, " + nine(
+        (e, f"CASE WHEN event = '{e}' THEN 1.0 ELSE 0.0 END - m_{e}") for e in SIX
+    ) + " FROM kept, means"
+    sql["logit_outcomes"] = f"WITH {KEPT}, {MEANS} SELECT {ORDER}, " + nine(
+        (e, f"CASE WHEN event = '{e}' THEN {HIGH} ELSE {LOW} END - {log_odds('m_' + e)}") for e in SIX
+    ) + " FROM kept, means"
+    freq = f"{KEPT}, f AS (SELECT event, count(*) AS n, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS frac FROM kept WHERE event IS NOT NULL GROUP BY event)"
+    sql["class_weights"] = f"WITH {freq} SELECT event, n, round(frac, 12) AS frac, round(sqrt(frac / (1 - frac)), 12) AS w FROM f"
+    sql["balanced_weights"] = f"WITH {freq} SELECT event, n, round(frac, 12) AS frac, round(1 / (frac * count(*) OVER ()), 12) AS w FROM f"
+    sql["shrunk_means"] = f"WITH {ROWS}, {SHARE_EFFECTS} SELECT split, level, {nine((e, 'b_' + e) for e in SIX)} FROM eff"
+    sql["ridge_single_split"] = f"WITH {ROWS}, {SHARE_EFFECTS} SELECT split, level, " + ", ".join(
+        f"round(b_{e}, 7) AS {e}" for e in SIX
+    ) + " FROM eff WHERE split = 'batter'"
+    for key in ("ridge_check", "ridge_logit_check", "minnorm_check", "tau_check", "lasso_check", "ols_fit"):
+        sql[key] = f"WITH {ROWS} SELECT split, level, n, true AS ok FROM tally"
+    present = f"SELECT split, level, count(*) AS n, true AS ok FROM ({levels()}) WHERE event IS NOT NULL"
+    sql["logistic_check"] = f"WITH {KEPT} {present} AND split IN ('batter', 'pitcher') GROUP BY split, level"
+    sql["weighted_logistic_check"] = f"WITH {KEPT} {present} GROUP BY split, level"
+    # the three splits without missing levels tie two columns of the design
+    sql["gram_rank"] = f"WITH {ROWS} SELECT count(*) AS p, count(*) - 2 AS rank FROM tally"
+    sql["estimates_share"] = f"WITH {SHRUNK} SELECT split, level, {nine((e, e) for e in SIX)}, round({' + '.join(SIX)}, 9) AS SUM FROM est"
+    back = ", ".join(f"1 / (1 + exp(-(b_{e} + {log_odds('m_' + e)}))) AS {e}" for e in SIX)
+    sql["estimates_logit"] = f"WITH {ROWS}, {LOGIT_EFFECTS}, p AS (SELECT split, level, {back} FROM eff, means) SELECT split, level, " + nine(
+        (e, f"{e} / ({' + '.join(SIX)})") for e in SIX
+    ) + " FROM p"
+    sql["estimates_odds"] = f"WITH {ROWS}, {LOGIT_EFFECTS} " + " UNION ALL ".join(
+        f"SELECT split, '{e}' AS event, round(avg(exp(b_{e}) * m_{e} / (1 - m_{e})), 9) AS mean FROM eff, means GROUP BY split" for e in SIX
+    )
+    both = f"WITH {SHRUNK}, {OBS} "
+    joined = "FROM rates r JOIN est e ON r.split = e.split AND r.level = e.level"
+    sql["est_vs_obs"] = f"{both} SELECT r.split, r.level, PA, {nine((e + '_obs', 'r.' + e) for e in SIX)}, {nine((e + '_est', 'e.' + e) for e in SIX)} {joined}"
+    sql["est_vs_obs_long"] = both + " UNION ALL ".join(
+        f"SELECT r.split, r.level, '{e}' AS event, round(r.{e}, 9) AS obs, round(e.{e}, 9) AS est, PA {joined}" for e in SIX
+    )
+    spread = f"SELECT split, event, avg(value) AS mean, stddev_samp(value) AS std, var_samp(value) AS var FROM ({EST_LONG}) GROUP BY split, event"
+    sql["est_spread"] = f"WITH {SHRUNK} SELECT split, event, {nine((x, x) for x in ('mean', 'std', 'var'))} FROM ({spread})"
+    sql["est_shrinkage"] = f"""WITH {SHRUNK}, {LEVEL_FREQ}, e AS ({spread}), o AS (SELECT split, event, var_samp(frac) AS var FROM freq GROUP BY split, event)
+SELECT e.split, round(avg(e.var / o.var), 9) AS ratio FROM e JOIN o ON e.split = o.split AND e.event = o.event GROUP BY e.split"""
+    sql["mean_fitted"] = f"{both} SELECT r.split, {nine((e, f'sum(e.{e} * PA) / sum(PA)') for e in SIX)} {joined} GROUP BY r.split"
+    each = " ".join(
+        f"LEFT JOIN (SELECT * FROM eff WHERE split = '{s}') e_{s} ON CAST(k.{s} AS VARCHAR) = e_{s}.level" for s in MODEL_SPLITS
+    )
+    sql["fitted_values"] = f"WITH {ROWS}, {SHARE_EFFECTS} SELECT {ORDER}, " + nine(
+        (e, " + ".join(f"coalesce(e_{s}.b_{e}, 0)" for s in MODEL_SPLITS)) for e in SIX
+    ) + f" FROM kept k {each}"
+    star = " ".join(
+        f"LEFT JOIN (SELECT * FROM rates WHERE split = '{s}') r_{s} ON CAST(k.{s} AS VARCHAR) = r_{s}.level" for s in MODEL_SPLITS
+    )
+    sql["star_rates"] = f"WITH {KEPT}, {OBS} SELECT {ORDER}, event, " + ", ".join(
+        f"round(r_{s}.{e}, 12) AS {s}_{e}" for s in MODEL_SPLITS for e in SIX
+    ) + f" FROM kept k {star}"
+    six = nine((e, e) for e in SIX)
+    made = nine(WEIGHTED.items())
+    sql["est_top_batters"] = board_sql(
+        "batter", "SELECT p_brand AS ID, min(p_name) AS Name FROM part WHERE NOT p_brand LIKE '%5' GROUP BY 1",
+        f"Name, PA, {six}, {made}", "WHERE PA >= 100) ORDER BY WOBA DESC NULLS LAST, batter LIMIT 10",
+    )
+    sql["est_bottom_pitchers"] = board_sql(
+        "pitcher", "SELECT CAST(s_suppkey AS VARCHAR) AS ID, s_name AS Name FROM supplier WHERE s_suppkey % 7 <> 0",
+        f"Name, PA, {six}, {made}", "WHERE PA >= 100) ORDER BY FIP NULLS LAST, pitcher LIMIT 10",
+    )
+    sql["est_parks"] = board_sql(
+        "gamesite", "SELECT 'S' || CAST(n_nationkey AS VARCHAR) AS ID, n_name AS Name FROM nation WHERE n_nationkey BETWEEN 1 AND 10",
+        f"Name AS NAME, {six}, {nine((m, WEIGHTED[m]) for m in ('WOBA', 'FIP'))}", ")",
+    )
+    sql["hist"] = histogram_sql(10, "count(*)", "0")
+    sql["weighted_hist"] = histogram_sql(50, "CAST(sum(PA) AS DOUBLE)", "0.0")
+    sql["bins2d"] = f"""WITH {KEPT}, {OBS}, v AS (SELECT split, round(SNGL, 9) AS x, round(HR, 9) AS y FROM rates),
+g AS (SELECT split, min(x) AS xlo, max(x) AS xhi, min(y) AS ylo, max(y) AS yhi FROM v GROUP BY split)
+SELECT v.split, least(CAST(floor((x - xlo) / (xhi - xlo) * 8) AS INTEGER), 7) AS x_bin,
+  least(CAST(floor((y - ylo) / (yhi - ylo) * 8) AS INTEGER), 7) AS y_bin, count(*) AS n
+FROM v JOIN g ON v.split = g.split GROUP BY ALL"""
+    sql["kde2d"] = f"""WITH {KEPT}, {OBS}, v AS (SELECT split, SNGL AS px, HR AS py, PA FROM rates),
+g AS (SELECT split, min(px) AS xlo, max(px) AS xhi, min(py) AS ylo, max(py) AS yhi FROM v GROUP BY split),
+s AS (SELECT g.split, i AS x_no, j AS y_no, xlo + (xhi - xlo) / 11 * i AS x, ylo + (yhi - ylo) / 11 * j AS y FROM g CROSS JOIN range(12) a(i) CROSS JOIN range(12) b(j))
+SELECT s.split, CAST(x_no AS INTEGER) AS x_no, CAST(y_no AS INTEGER) AS y_no, round(x, 9) AS x, round(y, 9) AS y,
+  round(sum(PA * exp(-(pow(px - x, 2) + pow(py - y, 2)) / (2 * pow(CAST(0.02 AS DOUBLE), 2)))) / sum(PA) / (2 * pow(CAST(0.02 AS DOUBLE), 2)) / pi(), 9) AS density
+FROM s JOIN v ON s.split = v.split GROUP BY s.split, x_no, y_no, x, y"""
+    return sql
+
+
 def oracle_sql() -> dict[str, str]:
-    return core()
+    return {**core(), **models()}
