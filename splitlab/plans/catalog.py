@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splitlab.functions.coerce import coerce_cells, coerce_columns
 from splitlab.functions.odds import CLAMPS
 from splitlab.functions.outcomes import FINE_OUTCOMES, OUTCOMES, not_other
 from splitlab.operators import (
@@ -15,7 +16,7 @@ from splitlab.operators import (
 from splitlab.operators.lookups import broadcast_if_small
 from splitlab.operators.ranking import ordinal_in_group
 from splitlab.plans import testbed
-from splitlab.sources import readers
+from splitlab.sources import html_tables, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 METRICS = ("AVG", "OBP", "WOBA", "FIP")
@@ -456,6 +457,29 @@ def kde2d(spark, sf_dir):
     return rounded(bins.kde2d(table, "SNGL", "HR", "PA", 0.02), digits=9)
 
 
+def html_cells(spark, sf_dir):
+    pages = testbed.board_pages(spark, sf_dir)
+    return html_tables.leaderboard_cells(html_tables.table_cells(pages, testbed.BOARD_ID))
+
+
+def html_promoted(spark, sf_dir):
+    pages = testbed.board_pages(spark, sf_dir)
+    return html_tables.promote_header(html_tables.table_cells(pages, testbed.BOARD_ID))
+
+
+def html_table(spark, sf_dir):
+    rows = html_tables.table_rows(html_cells(spark, sf_dir), testbed.BOARD_COLUMNS)
+    return coerce_cells(rows, ["#", "Nation", "Balance"])
+
+
+def coerced_columns(spark, sf_dir):
+    return coerce_columns(testbed.text_columns(spark, sf_dir))
+
+
+def coerced_cells(spark, sf_dir):
+    return coerce_cells(testbed.text_columns(spark, sf_dir), ["number", "mixed", "word"])
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {"plate_events": plate_events}
     for split in plate.SPLITS:
@@ -473,7 +497,8 @@ def queries() -> dict[str, Query]:
         logistic_check, weighted_logistic_check, logistic_means, gram_rank, estimates_share,
         estimates_logit, estimates_odds, estimates_ridge, est_vs_obs, est_vs_obs_long,
         est_spread, est_shrinkage, mean_fitted, fitted_values, star_rates, est_top_batters,
-        est_bottom_pitchers, est_parks, hist, weighted_hist, bins2d, kde2d,
+        est_bottom_pitchers, est_parks, hist, weighted_hist, bins2d, kde2d, html_cells,
+        html_promoted, html_table, coerced_columns, coerced_cells,
     ):
         found[query.__name__] = query
     return found

@@ -372,5 +372,27 @@ FROM s JOIN v ON s.split = v.split GROUP BY s.split, x_no, y_no, x, y"""
     return sql
 
 
+def pages() -> dict[str, str]:
+    sql = {}
+    cells = """c AS (SELECT c_custkey // 50 AS page_id, CAST(row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey) + 3 AS INTEGER) AS row_no,
+  c_custkey % 50 AS place, * FROM customer)"""
+    parts = (
+        ("#", "CAST(place AS VARCHAR)", "true"), ("Name", "c_name", "true"),
+        ("Nation", "CAST(c_nationkey AS VARCHAR)", "true"), ("Segment", "'A&B ' || c_mktsegment", "true"),
+        ("Balance", "CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR)", "place % 10 <> 0"),
+    )
+    long = " UNION ALL ".join(
+        f"SELECT page_id, row_no, {i} AS col_no, '{name}' AS header, {value} AS cell FROM c WHERE {there}"
+        for i, (name, value, there) in enumerate(parts, 1)
+    )
+    sql["html_cells"] = sql["html_promoted"] = f"WITH {cells} {long}"
+    sql["html_table"] = f"""WITH {cells} SELECT page_id, row_no, CAST(place AS DOUBLE) AS "#", c_name AS Name,
+CAST(c_nationkey AS DOUBLE) AS Nation, 'A&B ' || c_mktsegment AS Segment, CASE WHEN place % 10 <> 0 THEN floor(c_acctbal) END AS Balance FROM c"""
+    mixed = "CASE WHEN c_custkey % 10 = 0 THEN '--' ELSE CAST(c_nationkey AS VARCHAR) END"
+    sql["coerced_columns"] = f"SELECT c_custkey AS id, CAST(c_custkey AS DOUBLE) AS number, {mixed} AS mixed, c_name AS word FROM customer"
+    sql["coerced_cells"] = f"SELECT c_custkey AS id, CAST(c_custkey AS DOUBLE) AS number, TRY_CAST({mixed} AS DOUBLE) AS mixed, TRY_CAST(c_name AS DOUBLE) AS word FROM customer"
+    return sql
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**core(), **models()}
+    return {**core(), **models(), **pages()}

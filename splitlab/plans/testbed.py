@@ -158,3 +158,52 @@ def pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("H").alias("home_team"),
         F.lit("A").alias("away_team"),
     )
+
+
+BOARD_ID = "board"
+BOARD_COLUMNS = ("#", "Name", "Nation", "Segment", "Balance")
+PAGE_ROWS = 50
+
+
+def board_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as leaderboard pages of at most 50 rows, one HTML table each."""
+
+    def td(value):
+        return F.concat(F.lit("<td>"), value, F.lit("</td>"))
+
+    key = F.col("c_custkey")
+    place = key % PAGE_ROWS
+    row = F.concat(
+        F.lit("<tr>"),
+        td(place.cast("string")),
+        td(F.concat(F.lit('<a href="/p">'), F.col("c_name"), F.lit("</a>"))),
+        td(F.col("c_nationkey").cast("string")),
+        td(F.concat(F.lit("<b>A&amp;B</b> "), F.col("c_mktsegment"))),
+        F.when(place % 10 != 0, td(F.floor("c_acctbal").cast("string"))).otherwise(""),
+        F.lit("</tr>"),
+    )
+    heads = "".join(f"<th>{name}</th>" for name in BOARD_COLUMNS)
+    top = (
+        f'<html><body><table><tr><td>menu</td></tr></table><table id="{BOARD_ID}"><thead>'
+        f"<tr><td>1 of 1</td></tr><tr>{heads}</tr><tr><td>-</td></tr></thead>"
+        "<tbody></tbody><tbody>"
+    )
+    # c_custkey is unique, so a page gathers at most PAGE_ROWS rows
+    lines = F.array_sort(F.collect_list(F.struct(key.alias("k"), row.alias("h"))))
+    body = F.array_join(F.transform(lines, lambda line: line["h"]), "")
+    return (
+        table(spark, sf_dir, "customer")
+        .groupBy(F.floor(key / PAGE_ROWS).alias("page_id"))
+        .agg(F.concat(F.lit(top), body, F.lit("</tbody></table></body></html>")).alias("html"))
+    )
+
+
+def text_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as scraped text: one column of numbers, two that are not."""
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        key.alias("id"),
+        key.cast("string").alias("number"),
+        F.when(key % 10 == 0, "--").otherwise(F.col("c_nationkey").cast("string")).alias("mixed"),
+        F.col("c_name").alias("word"),
+    )
