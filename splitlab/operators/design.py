@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from splitlab.functions.odds import CLAMPS, class_weight, clamp, logit
 from splitlab.functions.outcomes import OUTCOMES, not_other
 from splitlab.operators.plate import MODEL_SPLITS, check_splits
-from splitlab.operators.rates import by_each_split, class_counts, event_freq
+from splitlab.operators.rates import TOTAL, by_each_split, class_counts, event_freq
+from splitlab.session import written
 
 SPACES = ("share", "logit")
 
@@ -109,23 +110,43 @@ def gram(plate: DataFrame, splits=MODEL_SPLITS) -> DataFrame:
     return upper.select(F.inline(both))
 
 
-def xty(
-    plate: DataFrame,
-    splits=MODEL_SPLITS,
-    space: str = "share",
-    clamp_pair=CLAMPS["narrow"],
+def level_counts(plate: DataFrame, splits=MODEL_SPLITS) -> DataFrame:
+    """Event and outcome counts per (split, level), and of all events as ``total``.
+
+    ``n`` counts events with or without a class, ``PA`` those with one.
+    """
+    sums = [F.count("event").alias("PA"), F.count(F.lit(1)).alias("n"), *class_counts()[1:]]
+    return by_each_split(plate.filter(not_other()), splits, sums, with_total=True)
+
+
+def means_of_counts(counts: DataFrame, outcomes=OUTCOMES) -> DataFrame:
+    """The one-row mean shares out of ``level_counts``."""
+    return counts.filter(F.col("split") == TOTAL).select(
+        *[(F.col(e) / F.col("PA")).alias(e) for e in outcomes]
+    )
+
+
+def xty_of_counts(
+    counts: DataFrame, space: str = "share", clamp_pair=CLAMPS["narrow"]
 ) -> DataFrame:
-    """X'y as (split, level, n, one column per outcome), from counts per level."""
+    """X'y as (split, level, n, one column per outcome) out of ``level_counts``."""
     check_space(space)
-    counts = by_each_split(plate.filter(not_other()), splits, class_counts())
-    mean = means_struct(event_means(plate))
-    n = F.col("PA")
+    mean = means_struct(means_of_counts(counts))
+    n = F.col("n")
     if space == "share":
         sums = {e: F.col(e) - n * mean[e] for e in OUTCOMES}
     else:
         high, low = (logit(F.lit(value)) for value in clamp_pair)
         sums = {e: F.col(e) * high + (n - F.col(e)) * low - n * logit(mean[e]) for e in OUTCOMES}
-    return counts.select("split", "level", n.alias("n"), *[c.alias(e) for e, c in sums.items()])
+    levels = counts.filter(F.col("split") != TOTAL)
+    return levels.select("split", "level", "n", *[c.alias(e) for e, c in sums.items()])
+
+
+def xty(
+    plate: DataFrame, splits=MODEL_SPLITS, space: str = "share", clamp_pair=CLAMPS["narrow"]
+) -> DataFrame:
+    """X'y straight from events: their counts are written once and read twice."""
+    return xty_of_counts(written(level_counts(plate, splits), "counts"), space, clamp_pair)
 
 
 def class_weights(plate: DataFrame, kind: str = "odds") -> DataFrame:

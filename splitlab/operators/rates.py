@@ -75,15 +75,22 @@ def fine_percentages(plate: DataFrame, key: str = "batter", minpa: int = 0) -> D
     return counts.select("season", key, *[c.alias(name) for name, c in shares.items()])
 
 
-def by_each_split(plate: DataFrame, splits, aggregates, extra=()) -> DataFrame:
+TOTAL = "total"
+
+
+def by_each_split(
+    plate: DataFrame, splits, aggregates, extra=(), with_total: bool = False
+) -> DataFrame:
     """One aggregate per (extra keys, split, level) for several splits in one scan.
 
     Grouping sets instead of a pass per split; a level that is missing takes no
-    part in its split.
+    part in its split. ``with_total`` adds the rows of all events as one more
+    split, ``total``.
     """
     splits, extra = list(check_splits(splits)), list(extra)
     cells = plate.withColumns({name: F.col(name).cast("string") for name in splits})
-    grouped = cells.groupingSets([[*extra, name] for name in splits], *extra, *splits).agg(
+    groups = [[*extra, name] for name in splits] + ([[*extra]] if with_total else [])
+    grouped = cells.groupingSets(groups, *extra, *splits).agg(
         F.grouping_id(*extra, *splits).alias("_set"), *aggregates
     )
     top = 2 ** len(splits) - 1
@@ -92,6 +99,9 @@ def by_each_split(plate: DataFrame, splits, aggregates, extra=()) -> DataFrame:
     for name, number in sets.items():
         split = F.when(F.col("_set") == number, name).otherwise(split)
         level = F.when(F.col("_set") == number, F.col(name)).otherwise(level)
+    if with_total:
+        split = F.when(F.col("_set") == top, TOTAL).otherwise(split)
+        level = F.when(F.col("_set") == top, TOTAL).otherwise(level)
     return (
         grouped.withColumn("split", split)
         .withColumn("level", level)

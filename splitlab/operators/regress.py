@@ -26,7 +26,7 @@ def _system(plate, splits, space, clamp_pair, tau=None):
     left = design.gram(plate, splits)
     if tau:
         left, rhs = scaled(left, rhs, OUTCOMES, tau)
-    return prepared(left), written(rhs, "xty")
+    return prepared(left), rhs
 
 
 def ridge(
@@ -56,9 +56,9 @@ def min_norm(
     return effects
 
 
-def shrunken_means(plate: DataFrame, alpha: float, splits=MODEL_SPLITS, space="share") -> DataFrame:
-    """Ridge for each split on its own, which has a closed form."""
-    sums = design.xty(plate, splits, space)
+def shrunken_means(counts: DataFrame, alpha: float, space="share") -> DataFrame:
+    """Ridge for each split on its own, in closed form from ``design.level_counts``."""
+    sums = design.xty_of_counts(counts, space)
     return sums.select(*KEYS, *[(F.col(e) / (F.col("n") + alpha)).alias(e) for e in OUTCOMES])
 
 

@@ -16,6 +16,7 @@ from splitlab.operators import (
 from splitlab.operators.lookups import broadcast_if_small
 from splitlab.operators.ranking import ordinal_in_group
 from splitlab.plans import testbed
+from splitlab.session import written
 from splitlab.sources import html_tables, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,8 +229,12 @@ def balanced_weights(spark, sf_dir):
     return rounded(design.class_weights(batting(spark, sf_dir), "balanced"))
 
 
+def _counts(events: DataFrame) -> DataFrame:
+    return written(design.level_counts(events), "counts")
+
+
 def shrunk_means(spark, sf_dir):
-    return rounded(regress.shrunken_means(batting(spark, sf_dir, sites=True), 100.0), digits=9)
+    return rounded(regress.shrunken_means(_counts(batting(spark, sf_dir, sites=True)), 100.0), digits=9)
 
 
 def ridge_single_split(spark, sf_dir):
@@ -336,8 +341,9 @@ def gram_rank(spark, sf_dir):
 
 def _shrunk(spark, sf_dir, space):
     events = batting(spark, sf_dir, sites=True)
-    effects = regress.shrunken_means(events, 100.0, space=space)
-    return events, estimates.to_probabilities(effects, design.event_means(events), space)
+    counts = _counts(events)
+    effects = regress.shrunken_means(counts, 100.0, space)
+    return events, estimates.to_probabilities(effects, design.means_of_counts(counts), space)
 
 
 def estimates_share(spark, sf_dir):
@@ -352,9 +358,9 @@ def estimates_logit(spark, sf_dir):
 
 
 def estimates_odds(spark, sf_dir):
-    events = batting(spark, sf_dir, sites=True)
-    effects = regress.shrunken_means(events, 100.0, space="logit")
-    made = estimates.to_odds(effects, design.event_means(events))
+    counts = _counts(batting(spark, sf_dir, sites=True))
+    effects = regress.shrunken_means(counts, 100.0, "logit")
+    made = estimates.to_odds(effects, design.means_of_counts(counts))
     return rounded(spread.estimate_spread(made).select("split", "event", "mean"), digits=9)
 
 
@@ -394,7 +400,7 @@ def mean_fitted(spark, sf_dir):
 def fitted_values(spark, sf_dir):
     """X b per event, from the closed-form effects."""
     events = kept(spark, sf_dir, sites=True)
-    effects = regress.shrunken_means(events, 100.0)
+    effects = regress.shrunken_means(_counts(events), 100.0)
     rows = estimates.fitted(events, effects)
     return rounded(rows.select(*testbed.ORDER, *OUTCOMES), digits=9)
 
@@ -464,7 +470,9 @@ def html_cells(spark, sf_dir):
 
 def html_promoted(spark, sf_dir):
     pages = testbed.board_pages(spark, sf_dir)
-    return html_tables.promote_header(html_tables.table_cells(pages, testbed.BOARD_ID))
+    # stored, so that pages are read once although two of its parts are joined
+    grid = written(html_tables.table_cells(pages, testbed.BOARD_ID), "cells")
+    return html_tables.promote_header(grid)
 
 
 def html_table(spark, sf_dir):

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELLS = "section INT, row_no INT, col_no INT, is_header BOOLEAN, cell STRING"
+CELLS = "section INT, row_no INT, col_no INT, is_header BOOLEAN, cell STRING, header STRING"
 
 
 class TableCells(HTMLParser):
@@ -72,54 +72,57 @@ class TableCells(HTMLParser):
 
 
 def _read_page(html: str | None, table_id: str) -> list[tuple]:
+    """Cells of one page with the text of the n-th th as header of column n."""
     if not html:
         return []
     parser = TableCells(table_id)
     parser.feed(html)
     parser.close()
     parser._end_rows(0)
-    return parser.found
+    heads = {col: cell for _, _, col, head, cell in parser.found if head}
+    return [(*found, heads.get(found[2])) for found in parser.found]
 
 
-def table_cells(pages: DataFrame, table_id: str) -> DataFrame:
-    """All cells of one table per page: page_id, section, row_no, col_no, is_header, cell.
+def table_cells(pages: DataFrame, table_id: str, rows_per_batch: int = 20000) -> DataFrame:
+    """All cells of one table per page.
 
-    A page without the table gives no rows. Pages are read whole, each in the
-    task that holds it.
+    Columns: page_id, section, row_no, col_no, is_header, cell, header. A page
+    without the table gives no rows. Pages are read whole, each in the task
+    that holds it; cells leave in batches of bounded size.
     """
-    names = [part.split()[0] for part in CELLS.split(", ")]
+    names = ["page_id", *[part.split()[0] for part in CELLS.split(", ")]]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
         for batch in batches:
             for page, html in zip(batch["page_id"], batch["html"]):
-                frame = pd.DataFrame(_read_page(html, table_id), columns=names)
-                if len(frame):
-                    frame.insert(0, "page_id", page)
-                    yield frame
+                held += [(page, *cell) for cell in _read_page(html, table_id)]
+                if len(held) >= rows_per_batch:
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     key = dict(pages.dtypes)["page_id"]
     return pages.select("page_id", "html").mapInPandas(read, f"page_id {key}, {CELLS}")
 
 
-def _with_headers(body: DataFrame, headers: DataFrame) -> DataFrame:
-    names = headers.select("page_id", "col_no", F.col("cell").alias("header"))
-    return body.join(names, ["page_id", "col_no"]).select(
-        "page_id", "row_no", "col_no", "header", "cell"
-    )
+HEADED = ("page_id", "row_no", "col_no", "header", "cell")
 
 
 def leaderboard_cells(cells: DataFrame) -> DataFrame:
-    """Body cells of the second tbody under their header: the n-th th heads column n."""
-    return _with_headers(
-        cells.filter((F.col("section") == 2) & ~F.col("is_header")), cells.filter("is_header")
-    )
+    """Body cells of the second tbody under their header."""
+    return cells.filter((F.col("section") == 2) & ~F.col("is_header")).select(*HEADED)
 
 
 def promote_header(cells: DataFrame, header_row: int = 2, dropped=(1, 3)) -> DataFrame:
-    """A grid whose header is one of its rows: that row names the columns."""
+    """A stored grid (page_id, row_no, col_no, cell) one of whose rows names the columns."""
     row = F.col("row_no")
-    body = cells.filter((row != header_row) & ~row.isin(*dropped))
-    return _with_headers(body, cells.filter(row == header_row))
+    names = cells.filter(row == header_row).select(
+        "page_id", "col_no", F.col("cell").alias("header")
+    )
+    body = cells.filter((row != header_row) & ~row.isin(*dropped)).drop("header")
+    return body.join(names, ["page_id", "col_no"]).select(*HEADED)
 
 
 def table_rows(headed: DataFrame, columns) -> DataFrame:
