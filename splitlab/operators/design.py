@@ -14,6 +14,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from splitlab.functions.metrics import rates
 from splitlab.functions.odds import CLAMPS, class_weight, clamp, logit
 from splitlab.functions.outcomes import OUTCOMES, not_other
 from splitlab.operators.plate import MODEL_SPLITS, check_splits
@@ -126,6 +127,12 @@ def means_of_counts(counts: DataFrame, outcomes=OUTCOMES) -> DataFrame:
     )
 
 
+def rates_of_counts(counts: DataFrame) -> DataFrame:
+    """Observed rates of all splits stacked, out of ``level_counts``."""
+    seen = counts.filter((F.col("split") != TOTAL) & (F.col("PA") > 0))
+    return seen.select("split", "level", "PA", *OUTCOMES).withColumns(rates(OUTCOMES))
+
+
 def xty_of_counts(
     counts: DataFrame, space: str = "share", clamp_pair=CLAMPS["narrow"]
 ) -> DataFrame:

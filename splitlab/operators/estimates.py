@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from splitlab.functions import metrics
 from splitlab.functions.odds import inverse_logit, logit, normalised, odds, row_total
 from splitlab.functions.outcomes import OUTCOMES
 from splitlab.operators.design import check_space, means_struct
 from splitlab.operators.lookups import broadcast_if_small
 from splitlab.operators.plate import MODEL_SPLITS
-from splitlab.operators.rates import long_rates, with_metrics
+from splitlab.operators.rates import long_rates
 from splitlab.session import written
 
 KEYS = ["split", "level"]
@@ -122,5 +123,11 @@ def estimated_board(
         F.col("level").alias(split), *OUTCOMES
     )
     weights = observed.filter(F.col("split") == split).select(F.col("level").alias(split), "PA")
-    board = of_split.join(weights, split, "left").withColumn("season", F.lit(season))
-    return with_metrics(board, constants)
+    one_season = constants.filter(F.col("Season") == season)
+    weight = one_season.select(F.struct(*metrics.SEASON_WEIGHTS).alias("w")).scalar()
+    return (
+        of_split.join(weights, split, "left")
+        .withColumns({name: weight[name] for name in metrics.SEASON_WEIGHTS})
+        .withColumns(metrics.weighted_metrics())
+        .drop(*metrics.SEASON_WEIGHTS)
+    )

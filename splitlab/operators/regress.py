@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from splitlab.operators.plate import MODEL_SPLITS
 from splitlab.operators.rates import by_each_split
 from splitlab.operators.solvers import (
     KEYS, column_product, conjugate_gradient, least_norm, prepared, scaled,
+    soft_threshold_descent,
 )
 from splitlab.session import written
 
@@ -110,20 +110,13 @@ def least_squares(
 def lasso(
     plate: DataFrame, alpha: float, splits=MODEL_SPLITS, space="logit", clamp_pair=CLAMPS["narrow"]
 ) -> DataFrame:
-    """Lasso without intercept: minimises |y - Xb|^2 / 2n + alpha |b|_1."""
-    outcomes = design.residual_outcomes(
-        plate.filter(not_other()), design.event_means(plate), space, clamp_pair
-    )
-    rows, labels = design.vector_design(outcomes, splits, OUTCOMES)
-    rows = written(rows, "design")
-    columns = {}
-    for outcome in OUTCOMES:
-        learner = LinearRegression(
-            labelCol=outcome, fitIntercept=False, standardization=False, elasticNetParam=1.0,
-            regParam=alpha, solver="l-bfgs", tol=1e-9, maxIter=1000,
-        )
-        columns[outcome] = learner.fit(rows).coefficients.toArray()
-    return _effect_table(plate.sparkSession, labels, columns)
+    """Lasso without intercept: minimises |y - Xb|^2 / 2N + alpha |b|_1."""
+    left, rhs = _system(plate, splits, space, clamp_pair)
+    total = plate.filter(not_other()).count()
+    found = soft_threshold_descent(left, rhs, OUTCOMES, alpha * total)
+    effects = written(found, "effects")
+    left.unpersist()
+    return effects
 
 
 def multinomial(

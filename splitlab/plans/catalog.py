@@ -13,7 +13,6 @@ from splitlab.functions.outcomes import FINE_OUTCOMES, OUTCOMES, not_other
 from splitlab.operators import (
     bins, boards, design, estimates, plate, rates, regress, solvers, spread,
 )
-from splitlab.operators.lookups import broadcast_if_small
 from splitlab.operators.ranking import ordinal_in_group
 from splitlab.plans import testbed
 from splitlab.session import written
@@ -32,10 +31,13 @@ def rounded(df: DataFrame, columns=None, digits: int = 12) -> DataFrame:
 def batting(
     spark: SparkSession, sf_dir: str, vocabulary: str = "coarse", sites: bool = False
 ) -> DataFrame:
-    """Plate events of the test tables; ``sites`` for queries that read gamesite."""
+    """Plate events of the test tables; ``sites`` for queries that read gamesite.
+
+    The derived games are then written first: computed once, and of known size.
+    """
     games = testbed.games(spark, sf_dir)
     if sites:
-        games = broadcast_if_small(games)
+        games = written(games, "games")
     return plate.plate_events(testbed.plays(spark, sf_dir), games, testbed.ORDER, vocabulary)
 
 
@@ -343,7 +345,7 @@ def _shrunk(spark, sf_dir, space):
     events = batting(spark, sf_dir, sites=True)
     counts = _counts(events)
     effects = regress.shrunken_means(counts, 100.0, space)
-    return events, estimates.to_probabilities(effects, design.means_of_counts(counts), space)
+    return counts, estimates.to_probabilities(effects, design.means_of_counts(counts), space)
 
 
 def estimates_share(spark, sf_dir):
@@ -371,15 +373,14 @@ def estimates_ridge(spark, sf_dir):
 
 
 def est_vs_obs(spark, sf_dir):
-    events, made = _shrunk(spark, sf_dir, "share")
-    return rounded(
-        estimates.observed_and_estimated(rates.split_rates(events), made), digits=9
-    )
+    counts, made = _shrunk(spark, sf_dir, "share")
+    both = estimates.observed_and_estimated(design.rates_of_counts(counts), made)
+    return rounded(both, digits=9)
 
 
 def est_vs_obs_long(spark, sf_dir):
-    events, made = _shrunk(spark, sf_dir, "share")
-    return rounded(estimates.long_comparison(rates.split_rates(events), made), digits=9)
+    counts, made = _shrunk(spark, sf_dir, "share")
+    return rounded(estimates.long_comparison(design.rates_of_counts(counts), made), digits=9)
 
 
 def est_spread(spark, sf_dir):
@@ -388,13 +389,13 @@ def est_spread(spark, sf_dir):
 
 
 def est_shrinkage(spark, sf_dir):
-    events, made = _shrunk(spark, sf_dir, "share")
-    return rounded(spread.shrinkage(made, events), digits=9)
+    _, made = _shrunk(spark, sf_dir, "share")
+    return rounded(spread.shrinkage(made, batting(spark, sf_dir, sites=True)), digits=9)
 
 
 def mean_fitted(spark, sf_dir):
-    events, made = _shrunk(spark, sf_dir, "share")
-    return rounded(estimates.mean_over_events(rates.split_counts(events), made), digits=9)
+    counts, made = _shrunk(spark, sf_dir, "share")
+    return rounded(estimates.mean_over_events(counts, made), digits=9)
 
 
 def fitted_values(spark, sf_dir):
@@ -413,10 +414,8 @@ def star_rates(spark, sf_dir):
 
 
 def _estimated(spark, sf_dir, split):
-    events, made = _shrunk(spark, sf_dir, "share")
-    return estimates.estimated_board(
-        made, rates.split_rates(events), testbed.constants(spark), 2000, split
-    )
+    counts, made = _shrunk(spark, sf_dir, "share")
+    return estimates.estimated_board(made, counts, testbed.constants(spark), 2000, split)
 
 
 def est_top_batters(spark, sf_dir):
@@ -453,8 +452,8 @@ def weighted_hist(spark, sf_dir):
 
 
 def bins2d(spark, sf_dir):
-    events, made = _shrunk(spark, sf_dir, "share")
-    both = estimates.observed_and_estimated(rates.split_rates(events), made)
+    counts, made = _shrunk(spark, sf_dir, "share")
+    both = estimates.observed_and_estimated(design.rates_of_counts(counts), made)
     return bins.bins2d(rounded(both, digits=9), "SNGL_obs", "HR_obs", 8)
 
 
