@@ -133,6 +133,14 @@ def wide_rates(long: DataFrame, ids=("split", "level"), values=(*OUTCOMES, "PA")
     return long.groupBy(*ids).pivot("event", list(values)).agg(F.first("value"))
 
 
+def complete_grid(long: DataFrame, value: str, outcomes=OUTCOMES) -> DataFrame:
+    """(split, level, event, value) with a row for every level and outcome, absent ones 0."""
+    levels = long.select(*LONG_SPLIT).distinct()
+    grid = levels.withColumn("event", F.explode(F.array(*map(F.lit, outcomes))))
+    filled = grid.join(long.select(*LONG_SPLIT, "event", value), [*LONG_SPLIT, "event"], "left")
+    return filled.withColumn(value, F.coalesce(value, F.lit(0.0)))
+
+
 def event_freq(plate: DataFrame, keys=()) -> DataFrame:
     """Share of each class among events with a class, overall or per key."""
     keys = list(keys)

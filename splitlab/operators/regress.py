@@ -12,7 +12,7 @@ from splitlab.functions.outcomes import OUTCOMES, not_other
 from splitlab.operators import design
 from splitlab.operators.estimates import fitted
 from splitlab.operators.plate import MODEL_SPLITS
-from splitlab.operators.rates import by_each_split
+from splitlab.operators.rates import TOTAL, by_each_split
 from splitlab.operators.solvers import (
     KEYS, column_product, conjugate_gradient, least_norm, prepared, scaled,
     soft_threshold_descent,
@@ -21,19 +21,23 @@ from splitlab.session import written
 
 
 def _system(plate, splits, space, clamp_pair, tau=None):
-    """Both sides of the normal equations, laid out for repeated use."""
-    rhs = design.xty(plate, splits, space, clamp_pair)
+    """Both sides of the normal equations and the counts behind them.
+
+    Two scans of the events in all; what follows works on tables of levels.
+    """
+    counts = written(design.level_counts(plate, splits), "counts")
+    rhs = design.xty_of_counts(counts, space, clamp_pair)
     left = design.gram(plate, splits)
     if tau:
         left, rhs = scaled(left, rhs, OUTCOMES, tau)
-    return prepared(left), rhs
+    return prepared(left), rhs, counts
 
 
 def ridge(
     plate: DataFrame, alpha: float, splits=MODEL_SPLITS, space="share", clamp_pair=CLAMPS["narrow"]
 ) -> DataFrame:
     """Ridge without intercept: minimises |y - Xb|^2 + alpha |b|^2."""
-    left, rhs = _system(plate, splits, space, clamp_pair)
+    left, rhs, _ = _system(plate, splits, space, clamp_pair)
     effects = written(conjugate_gradient(left, rhs, OUTCOMES, alpha), "effects")
     left.unpersist()
     return effects
@@ -50,7 +54,7 @@ def min_norm(
 
     Effects stay on the multiplied columns.
     """
-    left, rhs = _system(plate, splits, space, clamp_pair, tau)
+    left, rhs, _ = _system(plate, splits, space, clamp_pair, tau)
     effects = written(least_norm(left, rhs, OUTCOMES)[0], "effects")
     left.unpersist()
     return effects
@@ -101,7 +105,7 @@ def least_squares(
     plate: DataFrame, splits=MODEL_SPLITS, space="logit", clamp_pair=CLAMPS["narrow"]
 ) -> DataFrame:
     """Plain least squares; on this singular design only fitted values are unique."""
-    left, rhs = _system(plate, splits, space, clamp_pair)
+    left, rhs, _ = _system(plate, splits, space, clamp_pair)
     effects = written(conjugate_gradient(left, rhs, OUTCOMES), "effects")
     left.unpersist()
     return effects
@@ -111,8 +115,8 @@ def lasso(
     plate: DataFrame, alpha: float, splits=MODEL_SPLITS, space="logit", clamp_pair=CLAMPS["narrow"]
 ) -> DataFrame:
     """Lasso without intercept: minimises |y - Xb|^2 / 2N + alpha |b|_1."""
-    left, rhs = _system(plate, splits, space, clamp_pair)
-    total = plate.filter(not_other()).count()
+    left, rhs, counts = _system(plate, splits, space, clamp_pair)
+    total = counts.filter(F.col("split") == TOTAL).first()["n"]
     found = soft_threshold_descent(left, rhs, OUTCOMES, alpha * total)
     effects = written(found, "effects")
     left.unpersist()

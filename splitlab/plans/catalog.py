@@ -167,6 +167,12 @@ def rates_wide(spark, sf_dir):
     return rounded(rates.wide_rates(freq, values=OUTCOMES))
 
 
+def freq_grid(spark, sf_dir):
+    """Class shares of every level with every outcome, absent pairs 0."""
+    freq = spread.level_freq(batting(spark, sf_dir, sites=True), ["batter", "pitcher"])
+    return rounded(rates.complete_grid(freq, "frac"))
+
+
 def dh_value(spark, sf_dir):
     board = boards.leaderboard(testbed.season_lines(spark, sf_dir), 1996, 2000, minpa=3)
     valued = boards.dh_value(board, positive_only=True)
@@ -497,7 +503,7 @@ def queries() -> dict[str, Query]:
         rates_all_splits, rates_fine, fine_percentages, event_freq, event_freq_of_all,
         event_freq_by_season, fip_by_season_tto, meeting_number, event_meeting_number,
         matchup_counts, events_nonnull, pitches, top_batters, bottom_pitchers, park_rates,
-        rate_spread, level_freq, weighted_split_means, rates_long, rates_wide, dh_value,
+        rate_spread, level_freq, freq_grid, weighted_split_means, rates_long, rates_wide, dh_value,
         dh_value_career, overrated, pa_check, gram, xty, long_design, centred_outcomes,
         logit_outcomes, class_weights, balanced_weights, shrunk_means, ridge_single_split,
         ridge_check, ridge_logit_check, minnorm_check, tau_check, lasso_check, ols_fit,

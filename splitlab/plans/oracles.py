@@ -206,6 +206,10 @@ FROM r LEFT JOIN consts c ON r.season = c.Season LEFT JOIN parks ON gamesite = P
     sql["rate_spread"] = f"""WITH {KEPT}, {LEVEL_FREQ}
 SELECT split, event, round(var_samp(frac), 12) AS var, round(stddev_samp(frac), 12) AS std FROM freq GROUP BY split, event"""
     sql["level_freq"] = f"WITH {KEPT}, {LEVEL_FREQ} SELECT split, level, event, round(frac, 12) AS frac FROM freq"
+    sql["freq_grid"] = f"""WITH {KEPT}, {LEVEL_FREQ}, l AS (SELECT DISTINCT split, level FROM freq WHERE split IN ('batter', 'pitcher')),
+o(event) AS (VALUES {", ".join(f"('{n}')" for n in SIX)})
+SELECT l.split, l.level, o.event, round(coalesce(frac, 0.0), 12) AS frac
+FROM l CROSS JOIN o LEFT JOIN freq f ON f.split = l.split AND f.level = l.level AND f.event = o.event"""
     sql["weighted_split_means"] = f"""WITH {KEPT}, {ALL_RATES} SELECT split,
 {", ".join(f"round(sum({n} * PA) / sum(PA), 12) AS {n}" for n in SIX)} FROM rates GROUP BY split"""
     sql["rates_long"] = f"WITH {KEPT}, {ALL_RATES} " + " UNION ALL ".join(
