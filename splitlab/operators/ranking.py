@@ -23,12 +23,16 @@ def position_marks(df: DataFrame, keys, order, positions) -> DataFrame:
     large the group is. Columns: keys, ``at_<position>`` (NULL past the end).
     """
     depth = max(positions) + 1
+    # the hash leads the sort: most comparisons end at its eight bytes
+    group = ["_group", *keys]
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     ranked = (
-        df.select(*keys, *order)
+        df.select(F.xxhash64(*keys).alias("_group"), *keys, *order)
         .filter(all_present(keys))
-        .withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        .withColumn("_nth", nth)
         .filter(F.col("_nth") <= depth)
     )
+    # grouped by the keys alone, so that an unread join to the marks can be pruned
     return ranked.groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("_nth") == p + 1, F.struct(*order))).alias(f"at_{p}")
