@@ -71,18 +71,35 @@ def _with_diagonal(gram: DataFrame, vectors: DataFrame, alpha: float) -> DataFra
     return vectors.join(diagonal, KEYS)
 
 
-def _inner(step: DataFrame, width: int) -> list[tuple]:
-    """Per column d'q, and r'r, r'q, q'q weighed by 1/m, in one aggregate."""
-    products = ("d[{0}] * q[{0}]", "r[{0}] * r[{0}] / m", "r[{0}] * q[{0}] / m", "q[{0}] * q[{0}] / m")
-    sums = [F.expr(f"sum({text.format(i)})") for i in range(width) for text in products]
-    row = [value or 0.0 for value in step.agg(*sums).first()]
-    return [tuple(row[4 * i : 4 * i + 4]) for i in range(width)]
-
-
 def _numbers(values) -> str:
     return f"array({', '.join(f'{float(v)!r}D' for v in values)})"
 
 
+PRODUCTS = (
+    "d[{0}] * q[{0}]", "r[{0}] * r[{0}] / m", "r[{0}] * q[{0}] / m", "q[{0}] * q[{0}] / m",
+    "r[{0}]", "q[{0}]",
+)
+
+
+def _inner(step: DataFrame, names: list[str], width: int) -> np.ndarray:
+    """Sums of PRODUCTS by split, in one aggregate: (product, split, column)."""
+    sums = [F.expr(f"sum({text.format(i)})") for text in PRODUCTS for i in range(width)]
+    found = {row[0]: row[1:] for row in step.groupBy("split").agg(*sums).collect()}
+    cells = np.array([found[name] for name in names], dtype=float)
+    return cells.reshape(len(names), len(PRODUCTS), width).transpose(1, 0, 2)
+
+
+def _between_splits(gram: DataFrame, alpha: float) -> tuple[list[str], np.ndarray]:
+    """X'X + alpha I summed over the levels of each pair of splits, inverted."""
+    rows = gram.groupBy("split", "split2").agg(F.sum("n"), F.countDistinct("level")).collect()
+    names = sorted({row[0] for row in rows})
+    total = np.zeros((len(names), len(names)))
+    for split, split2, n, levels in rows:
+        i, j = names.index(split), names.index(split2)
+        total[i, j] = n + (alpha * levels if i == j else 0.0)
+    return names, np.linalg.pinv(total, rcond=1e-12, hermitian=True)
+
+
 def conjugate_gradient(
     gram: DataFrame,
     rhs: DataFrame,
@@ -93,54 +110,66 @@ def conjugate_gradient(
 ) -> DataFrame:
     """Solve (X'X + alpha I) b = rhs for all columns at once, from b = 0.
 
-    Residuals are weighed by the level counts on the diagonal: levels seen
-    rarely and often then converge alike, in one or two dozen steps. With
-    alpha = 0 and a singular X'X the result is one of the solutions.
+    Preconditioned in two parts. Residuals are divided by the level counts on
+    the diagonal, so that levels seen rarely and often converge alike; and the
+    shift of a split as a whole, which one-hot splits hardly tell from that of
+    another split, is solved for exactly (one number per split). With alpha = 0
+    and a singular X'X the result is one of the solutions.
 
     The columns ride in one array; step lengths enter as array values, so every
     step runs the code generated for the first one.
     """
     width = len(columns)
     plus, minus = "(u, v) -> u + v", "(u, v) -> u - v"
+    names, between = _between_splits(gram, alpha)
 
     def times(array: str, factors) -> str:
         return f"zip_with({array}, {_numbers(factors)}, (u, f) -> u * f)"
 
-    state = _with_diagonal(gram, rhs.select(*KEYS, *columns), alpha).selectExpr(
-        *KEYS, "m", f"{_numbers([0.0] * width)} AS x",
-        f"array({', '.join(f'CAST({c} AS DOUBLE)' for c in columns)}) AS r",
-        f"array({', '.join(f'{c} / m' for c in columns)}) AS d",
+    def direction(shift: np.ndarray) -> str:
+        moved = ", ".join(f"'{name}', {_numbers(row)}" for name, row in zip(names, shift))
+        return f"zip_with(transform(r, u -> u / m), map({moved})[split], {plus})"
+
+    sides = rhs.select(*KEYS, *columns)
+    sums = sides.groupBy("split").agg(*[F.sum(c) for c in columns]).collect()
+    found = {row[0]: row[1:] for row in sums}
+    shift = between @ np.array([found[name] for name in names], dtype=float)
+    state = (
+        _with_diagonal(gram, sides, alpha)
+        .selectExpr(
+            *KEYS, "m", f"{_numbers([0.0] * width)} AS x",
+            f"array({', '.join(f'CAST({c} AS DOUBLE)' for c in columns)}) AS r",
+        )
+        .selectExpr("*", f"{direction(shift)} AS d")
     )
     state = written(state, "cg")
-    start: list[float] = []
+    start = None
     for _ in range(max_steps):
         image = product(gram, state, "d", width).withColumnRenamed("d", "q")
         step = state.join(image, KEYS, "left").selectExpr(
             *KEYS, "m", "x", "r", "d", f"zip_with(q, {times('d', [alpha] * width)}, {plus}) AS q"
         )
         step = written(step, "cg")
-        inner = _inner(step, width)
-        start = start or [rr for _, rr, _, _ in inner]
-        lengths, turns, done = [], [], True
-        for (dq, rr, rq, qq), first in zip(inner, start):
-            if rr <= tol**2 * first or dq <= 0:
-                lengths.append(0.0)
-                turns.append(0.0)
-                continue
-            length = rr / dq
-            left = max(rr - 2 * length * rq + length**2 * qq, 0.0)
-            lengths.append(length)
-            turns.append(left / rr)
-            done = done and left <= tol**2 * first
+        dq, rr, rq, qq, r1, q1 = _inner(step, names, width)
+        dq, rr, rq, qq = (part.sum(axis=0) for part in (dq, rr, rq, qq))
+        now = rr + (r1 * (between @ r1)).sum(axis=0)
+        start = now if start is None else start
+        going = (now > tol**2 * start) & (dq > 0)
+        lengths = np.where(going, now / np.where(going, dq, 1.0), 0.0)
+        r1 = r1 - lengths * q1
+        shift = between @ r1
+        left = rr - 2 * lengths * rq + lengths**2 * qq + (r1 * shift).sum(axis=0)
+        left = np.maximum(left, 0.0)
+        turns = np.where(going, left / np.where(going, now, 1.0), 0.0)
         state = step.selectExpr(
             *KEYS, "m", "d",
             f"zip_with(x, {times('d', lengths)}, {plus}) AS x",
             f"zip_with(r, {times('q', lengths)}, {minus}) AS r",
         ).selectExpr(
             *KEYS, "m", "x", "r",
-            f"zip_with(transform(r, u -> u / m), {times('d', turns)}, {plus}) AS d",
+            f"zip_with({direction(shift)}, {times('d', turns)}, {plus}) AS d",
         )
-        if done:
+        if not (going & (left > tol**2 * start)).any():
             break
     return state.selectExpr(*KEYS, *[f"x[{i}] AS {c}" for i, c in enumerate(columns)])
 
