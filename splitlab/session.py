@@ -59,9 +59,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as parquet and read back.
 
     Cuts the lineage of iterative jobs in a way that survives lost executors,
-    and gives the optimizer true file sizes for its join choice.
+    and gives the optimizer true file sizes for its join choice. ``discard``
+    removes the stored table.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/splitlab/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables made by ``written`` that no later job reads; others are left alone."""
+    for frame in frames:
+        path = frame.__dict__.pop("stored_at", None)
+        if path:
+            spark = frame.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
