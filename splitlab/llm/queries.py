@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from splitlab.llm import mixing
+from splitlab.llm import bpe, mixing
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op5_byte_bpe": bpe.query,
 }
 
 ORACLES = {
