@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from splitlab.llm import bpe, mixing
+from splitlab.llm import bpe, line_labels, mixing
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op5_byte_bpe": bpe.query,
+    "op10_line_quality": line_labels.query,
 }
 
 ORACLES = {
