@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from splitlab.llm import bpe, line_labels, mixing
+from splitlab.llm import bpe, line_labels, mixing, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_toxicity": toxicity.query,
     "op5_byte_bpe": bpe.query,
     "op10_line_quality": line_labels.query,
 }
