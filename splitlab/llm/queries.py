@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from splitlab.llm import bpe, line_labels, mixing, pii, toxicity
+from splitlab.llm import bpe, line_labels, mixing, order_minhash, pii, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_toxicity": toxicity.query,
     "op5_byte_bpe": bpe.query,
+    "op6_order_minhash": order_minhash.query,
     "op7_pii": pii.query,
     "op10_line_quality": line_labels.query,
 }
