@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from splitlab.llm import bpe, line_labels, mixing, order_minhash, pii, toxicity
+from splitlab.llm import bpe, cross_polytope, line_labels, mixing, order_minhash, pii, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_toxicity": toxicity.query,
+    "op4_cross_polytope": cross_polytope.query,
     "op5_byte_bpe": bpe.query,
     "op6_order_minhash": order_minhash.query,
     "op7_pii": pii.query,
