@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from splitlab.llm import bpe, cross_polytope, line_labels, mixing, order_minhash, packing, pii, toxicity
+from splitlab.llm import bpe, cross_polytope, line_labels, mixing, order_minhash, packing, pii, rans, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_byte_bpe": bpe.query,
     "op6_order_minhash": order_minhash.query,
     "op7_pii": pii.query,
+    "op8_token_files": rans.query,
     "op9_best_fit_shards": packing.query,
     "op10_line_quality": line_labels.query,
 }
