@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from splitlab.llm import bpe, cross_polytope, line_labels, mixing, order_minhash, packing, pii, rans, toxicity
+from splitlab.llm import bpe, cross_polytope, html_text, line_labels, mixing, order_minhash, packing, pii, rans, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_toxicity": toxicity.query,
+    "op3_html_text": html_text.query,
     "op4_cross_polytope": cross_polytope.query,
     "op5_byte_bpe": bpe.query,
     "op6_order_minhash": order_minhash.query,
