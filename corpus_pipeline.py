@@ -1,4 +1,70 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""From raw documents to token counts: five stages, each over all that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in the
+shared folder and hands the reread table to the next stage. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from splitlab.llm import bpe, mixing, order_minhash, pii, toxicity
+from splitlab.session import written
+
+#: No SQL: the trained stages have no SQL form; tests/llm compares the stages with brute force.
+ORACLE_SQL = None
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not score as toxic. It learns from the labelled documents among ``docs``."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.reject(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of each class of equal and near-equal texts."""
+    return order_minhash.one_of_each(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, entities in their texts replaced by <KIND>; n_chars follows the new text. Null texts stay null."""
+    model = pii.train(docs)
+    place, length = docs.columns.index("text"), docs.columns.index("n_chars")
+
+    def work(batches):
+        for batch in batches:
+            texts = [None if t is None else pii.masked(t, model) for t in batch.column(place).to_pylist()]
+            sizes = [n if t is None else len(t) for t, n in zip(texts, batch.column(length).to_pylist(), strict=True)]
+            columns = list(batch.columns)
+            columns[place] = pa.array(texts, batch.schema.field(place).type)
+            columns[length] = pa.array(sizes, batch.schema.field(length).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(work, docs.schema)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as many times as the mix of sources takes them, 0 to 3; repeats keep their id."""
+    return mixing.emit(mixing.mix(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document that is left."""
+    return bpe.digest_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix_sources),
+    ("byte_bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
