@@ -6,16 +6,15 @@ candidates. A pair is a link if its aligned similarity is at least ``SIMILARITY`
 (longest common subsequence) out of n and m, M / (n + m - M). At 0.8 a pair shares no sketch with a chance of
 about (1 - 0.8 ** PICKS) ** TABLES, 1 in 40,000.
 
-Equal texts are one node. A bucket never meets in one task: its pairs are made by comparing all its members with a
-few pivots (least of hash groups, an aggregate), 1, then 4, then 16 … per round, as long as members that were
-not compared yet belong to different components. Members in the component of the pivot are skipped, so a large group
-of copies costs about one comparison each, while no pair between components is left out.
+Equal texts are one node. A bucket never meets in one task. First all its members are compared with its least one, in
+joins on pairs, as many as members; the links found are joined to components. What may still be missing are links
+between other members in different components. Such buckets are cut into hashed parts, and each pair of parts is a
+cell, but for the largest component with itself. Cells compare all pairs of different components, first by an exact
+bound on shared shingles, and put out only links that join components.
 """
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,6 +30,8 @@ WORDS, PICKS, TABLES, SIMILARITY = 5, 3, 16, 0.8
 BROADCAST_IDS = 1_000_000
 _ODD = np.random.default_rng(7).integers(1, 1 << 62, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK_ROWS = 2048
+#: Texts in a part of a bucket, and counters of the bound on shared shingles.
+PART, COUNTERS = 256, 128
 
 
 def shingles(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
@@ -214,9 +215,9 @@ def near_classes(docs: DataFrame, doc_id="doc_id", text="text", least: float = S
     nodes = written(
         sketch.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes"
     )
-    banded = nodes.where("n > 0").select(F.explode("keys").alias("key"), "node", "n")
-    shared = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    members = written(banded.join(shared, "key"), "members")
+    banded = nodes.where("n > 0").select(F.explode("keys").alias("key"), "node", "n").distinct()
+    shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.min_by(F.struct("node", "n"), "node").alias("pivot"))
+    members = written(banded.join(shared.where("size > 1"), "key"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     many = wanted.count()
     wanted = wanted.select(F.col("node").alias("want"), "rep")
@@ -226,60 +227,100 @@ def near_classes(docs: DataFrame, doc_id="doc_id", text="text", least: float = S
     )
     contents = written(_contents(found.select("node", "text")).dropDuplicates(["node"]), "contents")
     links, roots = _link(members, contents, least)
-    named = nodes.select("node", "rep")
-    if roots is not None:
-        named = named.join(roots.withColumnRenamed("id", "node"), "node", "left")
-    else:
-        named = named.withColumn("root", F.lit(None).cast("binary"))
+    named = nodes.select("node", "rep").join(roots.withColumnRenamed("id", "node"), "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     least_id = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     named = written(named.join(least_id, "root").select("node", "class_id"), "classes")
-    out = sketch.select("id", "node").join(named, "node")
     discard(nodes, members, contents, *links)
+    out = sketch.select("id", "node").join(named, "node")
     return out
 
 
-def _link(members: DataFrame, contents: DataFrame, least: float) -> tuple[list[DataFrame], DataFrame | None]:
-    """Stored tables to discard, and (id, root) of all linked nodes, round by round over the buckets."""
-    active, tested, roots, kept = members, None, None, []
-    for turn in count():
-        groups = 4**turn
-        group = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(groups))
-        state = active.select("key", "node", "n")
-        if roots is not None:
-            state = state.join(roots.withColumnRenamed("id", "node"), "node", "left")
-            state = state.withColumn("root", F.coalesce("root", "node"))
-            mixed_keys = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
-            state = state.join(mixed_keys.select("key"), "key")
-        else:
-            state = state.withColumn("root", F.col("node"))
-        state = written(state.withColumn("group_", group), "active")
-        kept.append(state)
-        if state.isEmpty():
-            return kept, roots
-        pivots = state.groupBy("key", "group_").agg(F.min_by(F.struct("node", "n", "root"), "node").alias("p"))
-        pivots = written(pivots, "pivots")
-        kept.append(pivots)
-        near = F.least("n", F.col("p.n")) >= least * F.greatest("n", F.col("p.n"))
-        pairs = (
-            state.join(pivots.select("key", "p"), "key")
-            .where((F.col("node") != F.col("p.node")) & (F.col("root") != F.col("p.root")) & near)
-            .select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-            .distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        checked = written(_verify(pairs, contents, least), "checked")
-        kept.append(checked)
-        seen = checked.select("a", "b")
-        tested = seen if tested is None else tested.union(seen)
-        found = checked.where("linked").select("a", "b")
-        if roots is not None:
-            found = found.union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        roots = written(components(found, "near"), "roots")
-        kept.append(roots)
-        used = pivots.select("key", F.col("p.node").alias("node"))
-        active = state.join(used, ["key", "node"], "left_anti")
+def _link(members: DataFrame, contents: DataFrame, least: float) -> tuple[list[DataFrame], DataFrame]:
+    """Stored tables to discard, and (id, root) of the linked nodes that are not roots."""
+    rest = members.where(F.col("node") != F.col("pivot.node"))
+    near = F.least(F.col("n"), F.col("pivot.n")) >= least * F.greatest(F.col("n"), F.col("pivot.n"))
+    pairs = rest.where(near).select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
+    first = written(_verify(pairs, contents, least).where("linked").select("a", "b"), "links")
+    roots = components(first, "near")
+    state = rest.where("size > 2").select("key", "node").join(roots.withColumnRenamed("id", "node"), "node", "left")
+    state = written(state.withColumn("root", F.coalesce("root", "node")), "state")
+    kinds = state.groupBy("key", "root").agg(F.count("*").alias("many"))
+    kinds = kinds.groupBy("key").agg(
+        F.count("*").alias("kinds"), F.sum("many").alias("all"), F.max("many").alias("most"),
+        F.max_by("root", F.struct("many", "root")).alias("main"),
+    ).where("kinds > 1")
+    small = F.ceil((F.col("all") - F.col("most")) / PART).cast("int")  # parts of the other components
+    large = F.ceil(F.col("most") / PART).cast("int")
+    spots = state.join(kinds, "key").withColumns({"small": small, "large": large})
+    spread, is_main = F.xxhash64("node"), F.col("root") == F.col("main")
+    spots = spots.withColumn(
+        "part",
+        F.when(is_main, F.col("small") + F.pmod(spread, F.col("large"))).otherwise(F.pmod(spread, F.col("small"))).cast("int"),
+    )
+    last = F.when(is_main, F.col("small")).otherwise(F.col("small") + F.col("large")) - 1
+    spots = spots.withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    cell = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    cells = spots.select(cell.alias("cell"), F.col("part").alias("side"), "node", "root").join(contents, "node")
+    cells = cells.repartition("cell").sortWithinPartitions("cell")
+    second = written(_cells(cells, least), "links")
+    every = second.union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    final = components(every, "near")
+    return [first, roots, state, second, final], final
+
+
+def _cells(cells: DataFrame, least: float) -> DataFrame:
+    """Links of cells that stand together within a partition; one cell, at most two parts, is in memory."""
+
+    def work(batches):
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pd.concat([held, batch], ignore_index=True)
+            cell = batch["cell"].to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b - a > 1:
+                    yield _cell(batch.iloc[a:b], least)
+            held = batch.iloc[cuts[-1] :] if len(cuts) else None
+        if held is not None and len(held) > 1:
+            yield _cell(held, least)
+
+    return cells.mapInPandas(work, "a binary, b binary")
+
+
+def _cell(part: pd.DataFrame, least: float) -> pd.DataFrame:
+    nodes, side = part["node"].tolist(), part["side"].to_numpy()
+    texts = [np.frombuffer(x, np.uint32) for x in part["shingles"]]
+    sizes = np.array([len(t) for t in texts])
+    counts = np.stack([np.bincount(t % np.uint32(COUNTERS), minlength=COUNTERS) for t in texts]).astype(np.int32)
+    group = pd.factorize(part["root"])[0]
+    one_side = side.min() == side.max()
+    up = list(range(len(nodes)))  # components, joined as links are found
+    for root in range(group.max() + 1):
+        at = np.flatnonzero(group == root)
+        for i in at[1:]:
+            up[i] = int(at[0])
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    found = []
+    for i in range(len(nodes)):
+        others = np.flatnonzero((group != group[i]) & ((np.arange(len(nodes)) > i) if one_side else (side > side[i])))
+        if not len(others):
+            continue
+        slack = ((sizes[i] + sizes[others]) * (1 - least) / (1 + least) + 1e-9).astype(np.int64)
+        apart = np.abs(counts[others] - counts[i]).sum(1)  # at least so many shingles stay unmatched
+        for j in others[apart <= slack].tolist():
+            a, b = top(i), top(j)
+            if a != b and similarity(texts[i], texts[j], least) >= least:
+                up[max(a, b)] = min(a, b)
+                found.append((nodes[i], nodes[j]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype=object)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
