@@ -42,7 +42,7 @@ def position_marks(df: DataFrame, keys, order, positions) -> DataFrame:
 
 
 def _edges(df: DataFrame, lead: str, side: int) -> tuple[list, list]:
-    """Quantile edges of ``lead``, at most 64 x 64 values, in two levels.
+    """Quantile edges of ``lead``, about one per shuffle partition, in two levels.
 
     ``outer`` parts the column in ``side`` stretches, ``inner[i]`` stretch i again.
     """
@@ -73,12 +73,14 @@ def ordinal_in_group(
     Rows are cut into stretches of the leading order column at approximate
     quantiles; rows are numbered within (group, stretch) and lifted by the
     group's counts in earlier stretches. One huge group thus spreads over all
-    stretches, and any edges give the same numbers. Groups with a missing key
-    get NULL. The leading order column should be close to unique.
+    stretches, and any edges give the same numbers. Rows with a missing key take
+    no part and get NULL. The leading order column should be close to unique.
     """
     if chunks is None:
         chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = min(max(2, ceil(sqrt(chunks))), 64)
+    side = max(2, ceil(sqrt(chunks)))
+    numberless = df.filter(~all_present(keys)).withColumn(name, F.lit(None).cast("long"))
+    df = df.filter(all_present(keys))
     cut = df.withColumn("_stretch", _stretch(F.col(order[0]), *_edges(df, order[0], side)))
 
     group = [*keys, "_stretch"]
@@ -88,8 +90,7 @@ def ordinal_in_group(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     lifts = (
-        cut.filter(all_present(keys))
-        .groupBy(*group)
+        cut.groupBy(*group)
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_lift"))
     )
@@ -99,4 +100,5 @@ def ordinal_in_group(
         .join(lifts, group, "left")
         .withColumn(name, F.col("_within") + F.col("_lift"))
         .select(*df.columns, name)
+        .union(numberless.select(*df.columns, name))
     )

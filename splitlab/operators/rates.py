@@ -135,10 +135,9 @@ def wide_rates(long: DataFrame, ids=("split", "level"), values=(*OUTCOMES, "PA")
 
 def complete_grid(long: DataFrame, value: str, outcomes=OUTCOMES) -> DataFrame:
     """(split, level, event, value) with a row for every level and outcome, absent ones 0."""
-    levels = long.select(*LONG_SPLIT).distinct()
-    grid = levels.withColumn("event", F.explode(F.array(*map(F.lit, outcomes))))
-    filled = grid.join(long.select(*LONG_SPLIT, "event", value), [*LONG_SPLIT, "event"], "left")
-    return filled.withColumn(value, F.coalesce(value, F.lit(0.0)))
+    cells = [F.coalesce(F.max(F.when(F.col("event") == e, F.col(value))), F.lit(0.0)).alias(e) for e in outcomes]
+    wide = long.groupBy(*LONG_SPLIT).agg(*cells)
+    return wide.unpivot(list(LONG_SPLIT), list(outcomes), "event", value)
 
 
 def event_freq(plate: DataFrame, keys=()) -> DataFrame:
@@ -175,7 +174,8 @@ def metric_by_season(table: DataFrame, column: str, metric: str, levels) -> Data
 
 
 def matchup_counts(plate: DataFrame, keys=("gameid", "batter", "pitcher")) -> DataFrame:
-    return plate.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    """Events of each combination; one with a missing key is none."""
+    return plate.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def present_count(df: DataFrame, column: str) -> DataFrame:

@@ -14,12 +14,15 @@ from splitlab.operators.estimates import fitted
 from splitlab.operators.plate import MODEL_SPLITS
 from splitlab.operators.rates import TOTAL, by_each_split
 from splitlab.operators.solvers import (
-    KEYS, column_product, conjugate_gradient, least_norm, prepared, scaled,
+    KEYS, NotConverged, column_product, conjugate_gradient, least_norm, prepared, scaled,
     soft_threshold_descent,
 )
 from splitlab.session import written
 
 
+MOST_ITERATIONS = 1000
+
+
 def _system(plate, splits, space, clamp_pair, tau=None):
     """Both sides of the normal equations and the counts behind them.
 
@@ -129,26 +132,32 @@ def multinomial(
     """Multinomial logistic with intercept and a squared penalty of 1 / (2 c).
 
     ``weights`` is (event, w), such as ``class_weights``. Returns the effects
-    (split, level, one column per class) and the intercepts (event, b).
+    (split, level, one column per class) and the intercepts (event, b). Events with
+    equal levels and class are one row that weighs as many; ``NotConverged`` is
+    raised if the learner stops at its bound of iterations.
     """
     spark = plate.sparkSession
     events = plate.filter(F.col("event").isNotNull() & not_other())
-    rows, labels = design.vector_design(events, splits, ["event"])
+    events = events.groupBy(*splits, "event").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows, labels = design.vector_design(events, splits, ["event", "n"])
     classes = StringIndexer(inputCol="event", outputCol="label", stringOrderType="alphabetAsc")
     indexed = classes.fit(rows)
     rows = indexed.transform(rows)
     if weights is None:
-        rows = rows.withColumn("w", F.lit(1.0))
+        rows = rows.withColumn("w", F.col("n"))
     else:
         # one row per outcome class
         rows = rows.join(F.broadcast(weights.select("event", "w")), "event")
+        rows = rows.withColumn("w", F.col("w") * F.col("n"))
     rows = written(rows.select("features", "label", "w"), "design")
     learner = LogisticRegression(
         family="multinomial", weightCol="w", standardization=False, fitIntercept=True,
         elasticNetParam=0.0, regParam=1.0 / (c * rows.agg(F.sum("w")).first()[0]),
-        tol=1e-9, maxIter=1000,
+        tol=1e-9, maxIter=MOST_ITERATIONS,
     )
     model = learner.fit(rows)
+    if model.summary.totalIterations >= MOST_ITERATIONS:
+        raise NotConverged(f"multinomial: {MOST_ITERATIONS} iterations")
     names = list(indexed.labels)
     matrix = model.coefficientMatrix.toArray()
     effects = _effect_table(spark, labels, dict(zip(names, matrix)))

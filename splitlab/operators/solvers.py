@@ -13,9 +13,30 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitlab.session import written
+from splitlab.session import discard, written
 
 KEYS = ["split", "level"]
+#: Steps without a smaller residual after which a solver gives up.
+PATIENCE = 60
+
+
+class NotConverged(ArithmeticError):
+    """A solver stopped making progress before it reached its tolerance."""
+
+
+class _Progress:
+    """Raises when the residual has not fallen for ``PATIENCE`` steps; there is no other bound on steps."""
+
+    def __init__(self, what: str, goal: float):
+        self.what, self.goal, self.best, self.idle = what, goal, float("inf"), 0
+
+    def note(self, residual: float) -> None:
+        if residual < self.best:
+            self.best, self.idle = residual, 0
+            return
+        self.idle += 1
+        if self.idle >= PATIENCE or residual != residual:
+            raise NotConverged(f"{self.what}: residual {self.best:.3g} reached, {self.goal:.3g} asked for")
 
 
 def prepared(gram: DataFrame) -> DataFrame:
@@ -106,10 +127,12 @@ def conjugate_gradient(
     columns,
     alpha: float = 0.0,
     tol: float = 1e-9,
-    max_steps: int = 500,
 ) -> DataFrame:
     """Solve (X'X + alpha I) b = rhs for all columns at once, from b = 0.
 
+    Steps go on until every column's residual has fallen by ``tol``; ``NotConverged``
+    is raised when they stop helping.
+
     Preconditioned in two parts. Residuals are divided by the level counts on
     the diagonal, so that levels seen rarely and often converge alike; and the
     shift of a split as a whole, which one-hot splits hardly tell from that of
@@ -142,9 +165,9 @@ def conjugate_gradient(
         )
         .selectExpr("*", f"{direction(shift)} AS d")
     )
-    state = written(state, "cg")
-    start = None
-    for _ in range(max_steps):
+    state = last = written(state, "cg")
+    start, progress = None, _Progress("conjugate gradient", tol)
+    while True:
         image = product(gram, state, "d", width).withColumnRenamed("d", "q")
         step = state.join(image, KEYS, "left").selectExpr(
             *KEYS, "m", "x", "r", "d", f"zip_with(q, {times('d', [alpha] * width)}, {plus}) AS q"
@@ -154,12 +177,16 @@ def conjugate_gradient(
         dq, rr, rq, qq = (part.sum(axis=0) for part in (dq, rr, rq, qq))
         now = rr + (r1 * (between @ r1)).sum(axis=0)
         start = now if start is None else start
-        going = (now > tol**2 * start) & (dq > 0)
+        open_ = now > tol**2 * start
+        if (open_ & (dq <= 0)).any():
+            raise NotConverged("conjugate gradient: the right-hand side is outside the range of X'X")
+        going = open_
         lengths = np.where(going, now / np.where(going, dq, 1.0), 0.0)
         r1 = r1 - lengths * q1
         shift = between @ r1
         left = rr - 2 * lengths * rq + lengths**2 * qq + (r1 * shift).sum(axis=0)
         left = np.maximum(left, 0.0)
+        done = not (going & (left > tol**2 * start)).any()
         turns = np.where(going, left / np.where(going, now, 1.0), 0.0)
         state = step.selectExpr(
             *KEYS, "m", "d",
@@ -169,8 +196,12 @@ def conjugate_gradient(
             *KEYS, "m", "x", "r",
             f"zip_with({direction(shift)}, {times('d', turns)}, {plus}) AS d",
         )
-        if not (going & (left > tol**2 * start)).any():
+        discard(last)  # the new state reads this step's table only
+        last = step
+        if done:
             break
+        scale = np.where(start > 0, start, 1.0)
+        progress.note(float(np.sqrt((left / scale).max())))
     return state.selectExpr(*KEYS, *[f"x[{i}] AS {c}" for i, c in enumerate(columns)])
 
 
@@ -180,14 +211,14 @@ def soft_threshold_descent(
     columns,
     penalty: float,
     tol: float = 1e-5,
-    max_steps: int = 1000,
 ) -> DataFrame:
     """Minimise b'X'Xb / 2 - b'rhs + penalty |b|_1 for all columns at once.
 
     Accelerated proximal gradient. A row of the design has one entry per split,
     so X'X is at most (number of splits) times its diagonal, which gives every
     level its own safe step. A column's momentum restarts when it points uphill.
-    ``tol`` is the largest subgradient violation left, relative to ``penalty``.
+    ``tol`` is the largest subgradient violation left, relative to ``penalty``;
+    ``NotConverged`` is raised when steps stop making it smaller.
     """
     width = len(columns)
     splits = rhs.select("split").distinct().count()
@@ -203,7 +234,8 @@ def soft_threshold_descent(
         "max(abs(z[{0}] - y[{0}]) * m)",
         "sum(m * (y[{0}] - z[{0}]) * (z[{0}] - b[{0}]))",
     )
-    for _ in range(max_steps):
+    progress, last = _Progress("soft threshold descent", tol * penalty), state
+    while True:
         image = product(gram, state, "y", width).withColumnRenamed("y", "q")
         moved = "zip_with(y, zip_with(t, q, (u, v) -> (u - v) / m), (u, v) -> u + v)"
         step = state.join(image, KEYS).selectExpr(
@@ -213,10 +245,10 @@ def soft_threshold_descent(
         row = step.agg(
             *[F.expr(text.format(i)) for i in range(width) for text in checks]
         ).first()
-        pull, done = [], True
+        pull, worst = [], 0.0
         for i in range(width):
             gap, uphill = row[2 * i], row[2 * i + 1]
-            done = done and gap <= tol * penalty
+            worst = max(worst, gap)
             before = 1.0 if uphill > 0 else momentum[i]
             momentum[i] = (1 + (1 + 4 * before**2) ** 0.5) / 2
             pull.append((before - 1) / momentum[i])
@@ -224,8 +256,11 @@ def soft_threshold_descent(
         state = step.selectExpr(
             *KEYS, "m", "z AS b", f"zip_with(z, {drift}, (u, v) -> u + v) AS y", "t"
         )
-        if done:
+        discard(last)  # the new state reads this step's table only
+        last = step
+        if worst <= tol * penalty:
             break
+        progress.note(worst)
     return state.selectExpr(*KEYS, *[f"b[{i}] AS {c}" for i, c in enumerate(columns)])
 
 

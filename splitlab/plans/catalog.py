@@ -168,8 +168,8 @@ def rates_wide(spark, sf_dir):
 
 
 def freq_grid(spark, sf_dir):
-    """Class shares of every level with every outcome, absent pairs 0."""
-    freq = spread.level_freq(batting(spark, sf_dir, sites=True), ["batter", "pitcher"])
+    """Class shares of every level of all splits with every outcome, absent pairs 0."""
+    freq = spread.level_freq(batting(spark, sf_dir, sites=True))
     return rounded(rates.complete_grid(freq, "frac"))
 
 
@@ -180,6 +180,31 @@ def dh_value(spark, sf_dir):
     return boards.top(rounded(valued.select(*columns), digits=9), "DefImp", 25, ["Name", "Season"])
 
 
+def _dh_board(spark, sf_dir, **scope):
+    board = boards.leaderboard(testbed.season_lines(spark, sf_dir), **scope)
+    return rounded(boards.dh_value(board, positive_only=True), digits=9)
+
+
+def dh_value_full_season(spark, sf_dir):
+    """The same study by value over 162 games."""
+    board = _dh_board(spark, sf_dir, first=1996, last=2000, minpa=3)
+    columns = ("Name", "Season", "G", "Def", "WAR", "DefDH", "DefImp", "DefImp162")
+    return boards.top(board.select(*columns), "DefImp162", 25, ["Name", "Season"])
+
+
+def dh_value_full_career(spark, sf_dir):
+    board = _dh_board(spark, sf_dir, first=1900, last=2100, by_season=False, minpa=10)
+    columns = ("Name", "G", "Def", "WAR", "DefDH", "DefImp", "DefImp162")
+    return boards.top(board.select(*columns), "DefImp162", 25, ["Name"])
+
+
+def dh_value_ordered(spark, sf_dir):
+    """The whole board in order, for every player and season."""
+    board = _dh_board(spark, sf_dir, first=1900, last=2100)
+    columns = ("Name", "Season", "G", "Def", "WAR", "DefImp", "DefImp162")
+    return boards.ordered(board.select(*columns), "DefImp", True, ["Name", "Season"])
+
+
 def dh_value_career(spark, sf_dir):
     lines = testbed.season_lines(spark, sf_dir)
     board = boards.leaderboard(lines, 1900, 2100, by_season=False, minpa=10)
@@ -194,6 +219,30 @@ def overrated(spark, sf_dir):
     return boards.bottom(rounded(board, digits=9), "Bat_RBI", 20, ["Name", "Season"])
 
 
+def overrated_by_runs(spark, sf_dir):
+    """The other list of the study: runs created less runs batted in."""
+    board = boards.leaderboard(testbed.season_lines(spark, sf_dir), 1900, 2100)
+    board = boards.overrated(board).select("Name", "Season", "RBI", "wRC", "WAR", "wRC_RBI")
+    return boards.bottom(rounded(board, digits=9), "wRC_RBI", 20, ["Name", "Season"])
+
+
+def hand_matchup_counts(spark, sf_dir):
+    """Match-ups by hands, some of which are missing."""
+    return rates.matchup_counts(batting(spark, sf_dir), ("season", "pitbathand", "pitcher"))
+
+
+def rates_all_splits_by_season(spark, sf_dir):
+    """Rates of all splits, each season for itself, in one scan."""
+    table = rates.split_rates(batting(spark, sf_dir, sites=True), extra=["season"])
+    return rounded(table.select("season", "split", "level", "PA", *OUTCOMES))
+
+
+def hist_estimates(spark, sf_dir):
+    _, made = _shrunk(spark, sf_dir, "share")
+    long = rates.long_rates(rounded(made, digits=9), ("split", "level"), OUTCOMES)
+    return rounded(bins.histogram(long))
+
+
 def pa_check(spark, sf_dir):
     counts = rates.fine_counts(batting(spark, sf_dir, "fine"), "batter", minpa=10)
     board = counts.select(
@@ -511,7 +560,9 @@ def queries() -> dict[str, Query]:
         estimates_logit, estimates_odds, estimates_ridge, est_vs_obs, est_vs_obs_long,
         est_spread, est_shrinkage, mean_fitted, fitted_values, star_rates, est_top_batters,
         est_bottom_pitchers, est_parks, hist, weighted_hist, bins2d, kde2d, html_cells,
-        html_promoted, html_table, coerced_columns, coerced_cells,
+        html_promoted, html_table, coerced_columns, coerced_cells, dh_value_full_season,
+        dh_value_full_career, dh_value_ordered, overrated_by_runs, hand_matchup_counts,
+        rates_all_splits_by_season, hist_estimates,
     ):
         found[query.__name__] = query
     return found

@@ -185,7 +185,11 @@ SELECT season, {", ".join(f'round(max(FIP) FILTER (WHERE timesthrough = {t}), 12
 CAST(row_number() OVER (PARTITION BY gameid, batter, pitcher ORDER BY {ORDER}) - 1 AS BIGINT) AS meeting FROM plate"""
     sql["event_meeting_number"] = """SELECT event_id, user_id, event_type,
 CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS BIGINT) AS meeting FROM events"""
-    sql["matchup_counts"] = f"WITH {PLATE} SELECT gameid, batter, pitcher, count(*) AS n FROM plate GROUP BY ALL"
+    sql["matchup_counts"] = f"WITH {PLATE} SELECT gameid, batter, pitcher, count(*) AS n FROM plate WHERE gameid IS NOT NULL AND batter IS NOT NULL AND pitcher IS NOT NULL GROUP BY ALL"
+    sql["hand_matchup_counts"] = f"""WITH {PLATE} SELECT season, pitbathand, pitcher, count(*) AS n FROM plate
+WHERE season IS NOT NULL AND pitbathand IS NOT NULL AND pitcher IS NOT NULL GROUP BY ALL"""
+    sql["rates_all_splits_by_season"] = f"""WITH {KEPT}, rates AS ({rates_of("season, split, level", "(" + levels() + ")")})
+SELECT season, split, level, PA, {rounded(SIX)} FROM rates"""
     sql["events_nonnull"] = f"WITH {PLATE} SELECT count(event) AS n FROM plate"
     sql["pitches"] = """SELECT l_orderkey AS index, CAST(l_shipdate AS DATE) AS game_date, l_partkey AS batter, l_suppkey AS pitcher,
 l_returnflag AS events, CASE WHEN l_suppkey % 2 = 0 THEN 'L' ELSE 'R' END AS p_throws
@@ -206,7 +210,7 @@ FROM r LEFT JOIN consts c ON r.season = c.Season LEFT JOIN parks ON gamesite = P
     sql["rate_spread"] = f"""WITH {KEPT}, {LEVEL_FREQ}
 SELECT split, event, round(var_samp(frac), 12) AS var, round(stddev_samp(frac), 12) AS std FROM freq GROUP BY split, event"""
     sql["level_freq"] = f"WITH {KEPT}, {LEVEL_FREQ} SELECT split, level, event, round(frac, 12) AS frac FROM freq"
-    sql["freq_grid"] = f"""WITH {KEPT}, {LEVEL_FREQ}, l AS (SELECT DISTINCT split, level FROM freq WHERE split IN ('batter', 'pitcher')),
+    sql["freq_grid"] = f"""WITH {KEPT}, {LEVEL_FREQ}, l AS (SELECT DISTINCT split, level FROM freq),
 o(event) AS (VALUES {", ".join(f"('{n}')" for n in SIX)})
 SELECT l.split, l.level, o.event, round(coalesce(frac, 0.0), 12) AS frac
 FROM l CROSS JOIN o LEFT JOIN freq f ON f.split = l.split AND f.level = l.level AND f.event = o.event"""
@@ -222,6 +226,15 @@ FROM (SELECT *, {DH} FROM b)) WHERE DefImp > 0 ORDER BY DefImp DESC, Name, Seaso
     sql["dh_value_career"] = f"""WITH {LINES}, b AS (SELECT Name, {SUMS} FROM lines GROUP BY Name HAVING sum(PA) >= 10)
 SELECT Name, G, round(Def, 9) AS Def, WAR, round(DefDH, 9) AS DefDH, round(DefImp, 9) AS DefImp, round(DefImp162, 9) AS DefImp162
 FROM (SELECT *, {DH} FROM b) WHERE DefImp > 0"""
+    worth = "round(Def, 9) AS Def, WAR, round(DefDH, 9) AS DefDH, round(DefImp, 9) AS DefImp, round(DefImp162, 9) AS DefImp162"
+    sql["dh_value_full_season"] = f"""WITH {LINES}, b AS (SELECT Name, Season, {SUMS} FROM lines WHERE Season BETWEEN 1996 AND 2000 GROUP BY Name, Season HAVING sum(PA) >= 3)
+SELECT * FROM (SELECT Name, Season, G, {worth} FROM (SELECT *, {DH} FROM b)) WHERE DefImp > 0 ORDER BY DefImp162 DESC, Name, Season LIMIT 25"""
+    sql["dh_value_full_career"] = f"""WITH {LINES}, b AS (SELECT Name, {SUMS} FROM lines GROUP BY Name HAVING sum(PA) >= 10)
+SELECT * FROM (SELECT Name, G, {worth} FROM (SELECT *, {DH} FROM b)) WHERE DefImp > 0 ORDER BY DefImp162 DESC, Name LIMIT 25"""
+    sql["dh_value_ordered"] = f"""WITH {LINES}, b AS (SELECT Name, Season, {SUMS} FROM lines GROUP BY Name, Season)
+SELECT Name, Season, G, Def, WAR, DefImp, DefImp162 FROM (SELECT Name, Season, G, {worth} FROM (SELECT *, {DH} FROM b)) WHERE DefImp > 0 ORDER BY DefImp DESC, Name, Season"""
+    sql["overrated_by_runs"] = f"""WITH {LINES}, b AS (SELECT Name, Season, {SUMS} FROM lines GROUP BY Name, Season)
+SELECT Name, Season, RBI, wRC, WAR, wRC - RBI AS wRC_RBI FROM b ORDER BY wRC_RBI, Name, Season LIMIT 20"""
     sql["overrated"] = f"""WITH {LINES}, b AS (SELECT Name, Season, {SUMS} FROM lines WHERE Team IN ('BUILDING', 'MACHINERY') GROUP BY Name, Season)
 SELECT * FROM (SELECT Name, Season, RBI, wRC, wRAA, BsR, round(Bat, 9) AS Bat, round("Off", 9) AS "Off", WAR, wRC - RBI AS wRC_RBI, wRAA - RBI AS wRAA_RBI,
 round(Bat - RBI, 9) AS Bat_RBI, round("Off" - RBI, 9) AS Off_RBI FROM b) ORDER BY Bat_RBI, Name, Season LIMIT 20"""
@@ -261,8 +274,8 @@ def nine(pairs) -> str:
     return ", ".join(f"round(CAST({e} AS DOUBLE), 9) AS {n}" for n, e in pairs)
 
 
-def histogram_sql(bins: int, amount: str, zero: str) -> str:
-    return f"""WITH {KEPT}, {OBS}, v AS ({OBS_LONG}),
+def histogram_sql(bins: int, amount: str, zero: str, source: str = f"{KEPT}, {OBS}, v AS ({OBS_LONG})") -> str:
+    return f"""WITH {source},
 g AS (SELECT split, event, CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
   CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi FROM v GROUP BY split, event),
 f AS (SELECT v.split, v.event, least(CAST(floor((value - lo) / (hi - lo) * {bins}) AS INTEGER), {bins - 1}) AS bin, {amount} AS amount
@@ -362,6 +375,8 @@ SELECT e.split, round(avg(e.var / o.var), 9) AS ratio FROM e JOIN o ON e.split =
     )
     sql["hist"] = histogram_sql(10, "count(*)", "0")
     sql["weighted_hist"] = histogram_sql(50, "CAST(sum(PA) AS DOUBLE)", "0.0")
+    nine_digits = " UNION ALL ".join(f"SELECT split, level, '{e}' AS event, round(CAST({e} AS DOUBLE), 9) AS value FROM est" for e in SIX)
+    sql["hist_estimates"] = histogram_sql(10, "count(*)", "0", f"{SHRUNK}, v AS ({nine_digits})")
     sql["bins2d"] = f"""WITH {KEPT}, {OBS}, v AS (SELECT split, round(SNGL, 9) AS x, round(HR, 9) AS y FROM rates),
 g AS (SELECT split, min(x) AS xlo, max(x) AS xhi, min(y) AS ylo, max(y) AS yhi FROM v GROUP BY split)
 SELECT v.split, least(CAST(floor((x - xlo) / (xhi - xlo) * 8) AS INTEGER), 7) AS x_bin,

@@ -9,7 +9,6 @@ PLAYS = (
     "battereventflag STRING, abflag STRING, hitvalue INT, shflag STRING, sfflag STRING, "
     "outsonplay INT"
 )
-PEOPLE = "ID STRING, Last STRING, First STRING"
 SEASON_CONSTANTS = (
     "Season INT, wOBA DOUBLE, wOBAScale DOUBLE, wBB DOUBLE, wHBP DOUBLE, w1B DOUBLE, "
     "w2B DOUBLE, w3B DOUBLE, wHR DOUBLE, runSB DOUBLE, runCS DOUBLE, `R/PA` DOUBLE, "

@@ -21,7 +21,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def as_dicts(df):
-    return [row.asDict() for row in df.collect()]

@@ -9,7 +9,7 @@ WEIGHTS = "Season int, wBB double, wHBP double, w1B double, w2B double, w3B doub
 
 @pytest.fixture(scope="module")
 def constants(spark):
-    return spark.createDataFrame([(2013, 0.69, 0.722, 0.888, 1.271, 1.616, 2.101, 3.048)], WEIGHTS)
+    return spark.createDataFrame([(2013, 0.6, 0.7, 0.8, 1.1, 1.4, 1.7, 2.5)], WEIGHTS)
 
 
 @pytest.fixture(scope="module")
@@ -36,9 +36,9 @@ def test_weighted_table(events, constants):
     assert row.AVG == pytest.approx((4 / 9) / (8 / 9))
     assert row.OBP == pytest.approx(5 / 9)
     assert row.WOBA == pytest.approx(
-        (2 * 0.888 + 0.9 * 1.271 + 0.1 * 1.616 + 2.101 + 0.9 * 0.69 + 0.1 * 0.722) / 9
+        (2 * 0.8 + 0.9 * 1.1 + 0.1 * 1.4 + 1.7 + 0.9 * 0.6 + 0.1 * 0.7) / 9
     )
-    assert row.FIP == pytest.approx((13 + 3 - 4) / 3 * 3 + 3.048)
+    assert row.FIP == pytest.approx((13 + 3 - 4) / 3 * 3 + 2.5)
 
 
 def test_season_without_weights(events, constants):
