@@ -24,7 +24,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from splitlab.llm.frames import pick
+from splitlab.llm.frames import pick, with_ids
 
 MAX_STATES = 150_000
 MAX_PIECES = 300_000
@@ -265,8 +265,7 @@ def digest_documents(df: DataFrame, path: str | None = None, pattern: str = publ
 
 
 def _per_document(df, doc_id, text, work, columns) -> DataFrame:
-    rows = pick(df, doc_id, text)
-    return rows.mapInPandas(work, f"doc_id {rows.schema[doc_id].dataType.simpleString()}, {columns}")
+    return with_ids(pick(df, doc_id, text), doc_id, work, "doc_id", columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

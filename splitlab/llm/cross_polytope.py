@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitlab.llm.components import components
-from splitlab.llm.frames import pick
+from splitlab.llm.frames import pick, with_ids
 from splitlab.llm.textblock import mixed
 from splitlab.session import discard, written
 
@@ -87,13 +87,13 @@ def _hashed(rows: DataFrame) -> DataFrame:
             keys: list = [None] * len(batch)
             by_width: dict[int, list[int]] = {}
             for i, (label, value) in enumerate(zip(batch["label"], batch["vector"], strict=True)):
-                if label is None or label != label or value is None or not len(value):
+                if label is None or value is None or not len(value):
                     continue
                 v = np.asarray([np.nan if x is None else x for x in value], np.float64) + 0.0
                 if not np.isfinite(v).all() or not v.any():
                     continue
                 vectors[i] = v.tobytes()
-                nodes[i] = hashlib.blake2b(vectors[i] + str(label).encode(), digest_size=16).digest()
+                nodes[i] = hashlib.blake2b(vectors[i] + label.encode(), digest_size=16).digest()
                 by_width.setdefault(len(v), []).append(i)
             for width, at in by_width.items():
                 x = np.stack([np.frombuffer(vectors[i]) for i in at])
@@ -104,8 +104,7 @@ def _hashed(rows: DataFrame) -> DataFrame:
                     keys[i] = row
             yield pd.DataFrame({"id": batch["id"], "node": nodes, "vector": vectors, "codes": keys})
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(work, f"id {kind}, node binary, vector binary, codes array<long>")
+    return with_ids(rows, "id", work, "id", "node binary, vector binary, codes array<long>")
 
 
 def _cell(code: int, part: pd.DataFrame, cosine: float) -> pd.DataFrame:
@@ -168,6 +167,7 @@ def link_embeddings(df: DataFrame, vec_id="vec_id", embedding="embedding", label
     vectors of one width are compared. An empty table gives no rows; other columns are left behind.
     """
     rows = pick(df, vec_id, embedding, label).toDF("id", "vector", "label")
+    rows = rows.withColumn("label", F.col("label").cast("string"))
     hashed = written(_hashed(rows), "hashed")
     nodes = written(
         hashed.where("node IS NOT NULL").groupBy("node").agg(

@@ -27,6 +27,19 @@ def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
 
 
+def with_ids(rows: DataFrame, key: str, work, out: str, columns: str) -> DataFrame:
+    """``rows`` mapped by ``work`` in pandas batches to (out, columns), ``out`` holding the ids of ``key``.
+
+    Whole-number ids travel as text, as pandas would turn a batch of them with a null into floats.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        return rows.mapInPandas(work, f"{out} {kind}, {columns}")
+    rows = rows.withColumn(key, F.col(key).cast("string"))
+    found = rows.mapInPandas(work, f"{out} string, {columns}")
+    return found.withColumn(out, F.col(out).cast(kind))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -18,7 +18,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from splitlab.llm.frames import pick
+from splitlab.llm.frames import pick, with_ids
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -398,8 +398,7 @@ def extract(pages: DataFrame, page_id="page_id", page="html") -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"page_id": batch[page_id], "text": [page_text(p) for p in batch[page]]})
 
-    rows = pick(pages, page_id, page)
-    return rows.mapInPandas(work, f"page_id {rows.schema[page_id].dataType.simpleString()}, text string")
+    return with_ids(pick(pages, page_id, page), page_id, work, "page_id", "text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitlab.llm.frames import pick
+from splitlab.llm.frames import pick, with_ids
 from splitlab.llm.textblock import TextBlock, blocks, mixed, windows
 
 #: Labelled documents that the CRF is trained on, at most.
@@ -227,8 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, doc_id="d
 
     rows = pick(docs, doc_id, text).toDF("id", "text")
     rows = rows.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).limit(2 * limit)
-    kind = rows.schema["id"].dataType.simpleString()
-    found = rows.select("id", "text", "quality").mapInPandas(work, f"id {kind}, label int, bits binary").toPandas()
+    found = with_ids(rows.select("id", "text", "quality"), "id", work, "id", "label int, bits binary").toPandas()
     if found["label"].nunique() < 2:
         return None
     found["doc"] = found["id"].rank(method="dense").astype("int64")
@@ -261,10 +260,7 @@ def label_documents(docs: DataFrame, model: Model | None, doc_id="doc_id", text=
 
     rows = pick(docs, doc_id, text)
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_words long"
-    return rows.mapInPandas(
-        work,
-        f"doc_id {rows.schema[doc_id].dataType.simpleString()}, {counts}, base_failed boolean, kept boolean",
-    )
+    return with_ids(rows, doc_id, work, "doc_id", f"{counts}, base_failed boolean, kept boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

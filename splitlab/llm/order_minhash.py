@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitlab.llm.components import components
-from splitlab.llm.frames import pick
+from splitlab.llm.frames import pick, with_ids
 from splitlab.llm.textblock import TextBlock, blocks, mixed, windows
 from splitlab.session import discard, written
 
@@ -162,8 +162,7 @@ def _sketch(rows: DataFrame) -> DataFrame:
                     }
                 )
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(work, f"id {kind}, node binary, n int, keys array<long>")
+    return with_ids(rows, "id", work, "id", "node binary, n int, keys array<long>")
 
 
 def _contents(rows: DataFrame) -> DataFrame:

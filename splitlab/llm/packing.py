@@ -129,8 +129,16 @@ def best_fit(sizes: list[int], capacity: int, most: int | None = None) -> list[i
 
 
 def pack(sizes: list[int], shards: int) -> list[int]:
-    """Best fit into ``shards`` bins with the least capacity that holds all."""
-    low, high = max([-(-sum(sizes) // shards), 1]), max([sum(sizes), 1])
+    """Best fit into ``shards`` bins with the least capacity that holds all.
+
+    Items above the mean of what is left have bins of their own; the rest shares the other bins evenly.
+    """
+    rest, bins = sum(sizes), shards
+    for size in sizes:
+        if bins == 1 or size * bins <= rest:
+            break
+        rest, bins = rest - size, bins - 1
+    low, high = max(-(-rest // bins), 1), max(sum(sizes), 1)
     best = best_fit(sizes, high, shards)
     step = max(low // 10_000, 1)
     # the capacity that fits lies little above the mean unless one item is larger: widen, then bisect

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitlab.llm.frames import pick
+from splitlab.llm.frames import pick, with_ids
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents whose runs train the weights, and distinct training runs, at most.
@@ -189,9 +189,8 @@ class Model:
             for k in range(1, min(MAX_UNITS, end) + 1):
                 i = end - k
                 row = run.rows.get((i, k))
-                kinds = list(enumerate(self.score(row))) if row else []
-                if k == 1:
-                    kinds.append((out, 0.0))
+                kinds = [(out, 0.0)] if k == 1 else []  # first, so that outside wins ties
+                kinds += enumerate(self.score(row)) if row else ()
                 for kind, score in kinds:
                     for before in range(out + 1):
                         total = best[i][before] + turns[before][kind] + score
@@ -199,7 +198,7 @@ class Model:
                             best[end][kind] = total
                             came[end][kind] = (i, before)
         at = run.units
-        kind = max(range(out + 1), key=lambda y: best[at][y] + turns[y][out])
+        kind = max(range(out, -1, -1), key=lambda y: best[at][y] + turns[y][out])
         found = []
         while at:
             i, before = came[at][kind]
@@ -291,20 +290,24 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS, doc_id="doc_id", text="text"
         rows.select("text").mapInPandas(work, "run string, times long").groupBy("run").agg(F.sum("times").alias("times"))
         .orderBy(F.xxhash64("run"), "run").limit(TRAIN_RUNS).toPandas()
     )
-    single = [(value, *got) for value in found["run"] if (got := _example(value, runs(value)[0]))]
+    single = [
+        (value, *got, times)
+        for value, times in zip(found["run"], found["times"], strict=True)
+        if (got := _example(value, runs(value)[0]))
+    ]
     joined = []  # neighbours keep the labels that each has alone
-    for (a, run_a, gold_a), (b, run_b, gold_b) in zip(single[::2], single[1::2], strict=False):
+    for (a, run_a, gold_a, _), (b, run_b, gold_b, _) in zip(single[::2], single[1::2], strict=False):
         value = f"{a} {b}"
         groups = runs(value)
         if len(groups) == 1 and len(groups[0]) == run_a.units + run_b.units:
             gold = gold_a | {(i + run_a.units, k): kind for (i, k), kind in gold_b.items()}
             run = candidates(value, groups[0])
             if all(key in run.rows for key in gold):
-                joined.append((value, run, gold))
+                joined.append((value, run, gold, 1))
     merged: dict[tuple, list] = {}
-    for _, run, gold in single + joined:
+    for _, run, gold, times in single + joined:
         key = (run.units, tuple(sorted(run.rows.items())), tuple(sorted(gold.items())))
-        merged.setdefault(key, [run, gold, 0])[2] += 1
+        merged.setdefault(key, [run, gold, 0])[2] += int(times)
     return fit([(run, gold, times) for run, gold, times in merged.values()])
 
 
@@ -346,8 +349,7 @@ def find_documents(docs: DataFrame, model: Model, doc_id="doc_id", text="text")
 
     rows = pick(docs, doc_id, text)
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    kind = rows.schema[doc_id].dataType.simpleString()
-    return rows.mapInPandas(work, f"doc_id {kind}, {counts}, base_sha256 string, spans string")
+    return with_ids(rows, doc_id, work, "doc_id", f"{counts}, base_sha256 string, spans string")
 
 
 def masked(text: str, model: Model) -> str:

@@ -242,8 +242,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, doc_id="doc_id", text
             return pd.DataFrame({"range_": [part], "seq": [seq], "docs": [len(keys)], "tokens": [held], "payload": [payload]})
 
         for batch in batches:
-            for key, value in zip(batch["id"].tolist(), batch["text"], strict=True):
-                keys.append(None if key is None or key != key else int(key))
+            for key, value in zip(batch["id"], batch["text"], strict=True):
+                keys.append(None if key is None else int(key))
                 ids.append(np.frombuffer(tool.encode(value or "") + last, np.uint32))
                 held += len(ids[-1])
                 if held >= SEGMENT_TOKENS:
@@ -255,7 +255,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, doc_id="doc_id", text
     rows = pick(docs, doc_id, text).toDF("id", "text")
     order = [F.col("id").asc_nulls_first(), F.col("tie")]
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(shuffle_width(docs), *order)
-    rows = rows.sortWithinPartitions(*order).select(F.col("id").cast("long").alias("id"), "text")
+    rows = rows.sortWithinPartitions(*order).select(F.col("id").cast("long").cast("string").alias("id"), "text")
     return written(rows.mapInPandas(work, "range_ int, seq int, docs long, tokens long, payload binary"), "tokens")
 
 

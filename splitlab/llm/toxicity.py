@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitlab.llm.frames import pick
+from splitlab.llm.frames import pick, shuffle_width, with_ids
 from splitlab.session import discard, written
 
 #: Labelled documents to learn from, at most; a third of them toxic where there are enough.
@@ -202,7 +202,8 @@ def _sample(docs: DataFrame, labels: DataFrame, limit: int, skip: Column | None)
     toxic = known.where("toxic = 1").orderBy(spread, "label_id").limit(limit // 3)
     clean = known.where("toxic = 0").orderBy(spread, "label_id").limit(limit - limit // 3)
     chosen = F.broadcast(toxic.union(clean))
-    return docs.join(chosen, F.col("id") == F.col("label_id")).select("text", "toxic").limit(2 * limit)
+    found = docs.join(chosen, F.col("id") == F.col("label_id")).select("text", "toxic").limit(2 * limit)
+    return found.repartition(shuffle_width(docs), F.xxhash64("text"))
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
@@ -225,8 +226,10 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     counts = sample.mapInPandas(count, "term string, bad long, good long").groupBy("term").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good")
     )
+    counts = written(counts, "terms")
     totals = counts.where("term = ''").first()
     if totals is None or not totals["bad"]:
+        discard(counts)
         return Lexicon()
     bad, good = totals["bad"], totals["good"]
     lift = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1))
@@ -255,6 +258,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
             break
         support[plain] = row["bad"]
         (begun if row["term"].startswith("^") else words).append(plain)
+    discard(counts)
     return Lexicon({w: i for i, w in enumerate(words)}, {b: len(words) + i for i, b in enumerate(begun)})
 
 
@@ -274,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, doc_id="d
             found = [lexicon.features(t or "") for t in batch["text"]]
             yield pd.DataFrame({"x": [r.tobytes() for r in found], "toxic": batch["toxic"].astype("int32")})
 
-    found = sample.mapInPandas(rows_of, "x binary, toxic int").toPandas()
+    found = sample.mapInPandas(rows_of, "x binary, toxic int").toPandas().sort_values(["x", "toxic"])
     discard(sample)
     x, label = np.frombuffer(b"".join(found["x"]), np.float32).reshape(len(found), -1), found["toxic"].to_numpy()
     v = votes(x, lexicon.size)
@@ -298,9 +302,8 @@ def score_documents(docs: DataFrame, model: Model, doc_id="doc_id", text="text")
             yield out
 
     rows = pick(docs, doc_id, text)
-    kind = rows.schema[doc_id].dataType.simpleString()
     rows = rows.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias(text))
-    return rows.mapInPandas(work, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return with_ids(rows, "doc_id", work, "doc_id", "held_out boolean, score double, predicted int")
 
 
 def reject(docs: DataFrame, model: Model, text="text", most: float = 0.5) -> DataFrame:
