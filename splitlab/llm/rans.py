@@ -36,8 +36,9 @@ from splitlab.session import written
 MAGIC = b"SLRANS01"
 LANES, BLOCK_TOKENS, SEGMENT_TOKENS = 512, 1 << 17, 1 << 20
 END_ID = 2
-#: Chunks that a worker's memo holds, at most (250 MB), and half as many pieces.
-MAX_CHUNKS = 1_200_000
+#: Chunks that a worker's memo holds, at most (180 MB), and half as many pieces.
+MAX_CHUNKS = 800_000
+_WHITE = re.compile(r"\s")
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -169,7 +170,7 @@ class Memo(dict):
         super().__init__()
         self.make, self.limit, self.older = make, limit // 2, {}
 
-    def __missing__(self, text: str) -> bytes:
+    def __missing__(self, text: str):
         found = self.older.get(text)
         if found is None:
             found = self.make(text)
@@ -185,12 +186,10 @@ class Encoder:
     """Whole texts to ids, as bytes, with the tokenizers library's model and memos of chunks and pieces.
 
     The pattern that splits texts puts one space in front of what follows it, so a text may be cut before any space
-    that is not inside a longer run of white space, and the chunks encoded each by itself. Texts with a space
-    between two white characters, or at the end after one, are encoded as a whole.
+    that something solid follows, and the chunks encoded each by itself. A chunk that is empty or begins with
+    white space has no encoding of its own; texts with such chunks are encoded as a whole.
     """
 
-    _RUN = re.compile(r"\s (?:\s|\Z)")
-
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, limit: int = MAX_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
@@ -206,18 +205,23 @@ class Encoder:
         self.chunks = Memo(self._chunk, limit)
 
     def _piece(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(self.spelling)
+        if piece.isascii() and piece.isprintable():
+            spelled = piece.replace(" ", chr(self.spelling[32]))
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.spelling)
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _chunk(self, chunk: str) -> bytes | None:
+        if not chunk or _WHITE.match(chunk):
+            return None
         return b"".join(map(self.pieces.__getitem__, self.split(" " + chunk)))
 
     def encode(self, text: str) -> bytes:
-        if self._RUN.search(text):
-            return b"".join(map(self.pieces.__getitem__, self.split(text)))
         head, *rest = text.split(" ")
-        first = b"".join(map(self.pieces.__getitem__, self.split(head)))
-        return first + b"".join(map(self.chunks.__getitem__, rest))
+        parts = list(map(self.chunks.__getitem__, rest))
+        if None in parts:
+            return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        return b"".join(map(self.pieces.__getitem__, self.split(head))) + b"".join(parts)
 
 
 @lru_cache(maxsize=2)
