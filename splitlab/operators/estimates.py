@@ -37,16 +37,16 @@ def to_odds(effects: DataFrame, means: DataFrame, outcomes=OUTCOMES) -> DataFram
 
 
 def intercept_odds(intercepts: DataFrame) -> DataFrame:
-    """(event, b, odds, p): each class score through its own inverse logit."""
-    return intercepts.withColumns({"odds": F.exp("b"), "p": inverse_logit(F.col("b"))})
+    """(event, b, odds, sigmoid): each class score through its own inverse logit, which is no share."""
+    return intercepts.withColumns({"odds": F.exp("b"), "sigmoid": inverse_logit(F.col("b"))})
 
 
 def mean_ratio(intercepts: DataFrame, freq: DataFrame) -> DataFrame:
-    """Model means next to observed shares: (event, p, frac, ratio)."""
+    """Inverse logits of the scores next to observed shares: (event, sigmoid, frac, ratio)."""
     return (
         intercept_odds(intercepts)
         .join(freq.select("event", "frac"), "event")
-        .select("event", "p", "frac", F.try_divide("p", "frac").alias("ratio"))
+        .select("event", "sigmoid", "frac", F.try_divide("sigmoid", "frac").alias("ratio"))
     )
 
 

@@ -165,6 +165,32 @@ def multinomial(
     return effects, spark.createDataFrame(intercepts, "event string, b double")
 
 
+def _softmax(events, effects, intercepts, splits, classes) -> DataFrame:
+    """The fitted share of each class at each event."""
+    # one row per outcome class
+    base = intercepts.agg(
+        F.map_from_entries(F.collect_list(F.struct("event", "b"))).alias("m")
+    ).scalar()
+    scores = fitted(events, effects, splits, classes)
+    scores = scores.withColumns({c: F.exp(F.col(c) + base[c]) for c in classes})
+    total = sum((F.col(c) for c in classes[1:]), F.col(classes[0]))
+    return scores.withColumns({c: F.col(c) / total for c in classes})
+
+
+def fitted_shares(
+    plate: DataFrame, effects: DataFrame, intercepts: DataFrame, splits=MODEL_SPLITS
+) -> DataFrame:
+    """(event, share): mean fitted share of each class over the events.
+
+    With a free intercept it equals the observed share at the optimum of an unweighted fit.
+    """
+    classes = [name for name in effects.columns if name not in KEYS]
+    events = plate.filter(F.col("event").isNotNull() & not_other()).select(*splits, "event")
+    shares = _softmax(events, effects, intercepts, splits, classes)
+    means = shares.agg(*[F.avg(c).alias(c) for c in classes])
+    return means.unpivot([], classes, "event", "share")
+
+
 def multinomial_gap(
     plate: DataFrame,
     effects: DataFrame,
@@ -183,14 +209,9 @@ def multinomial_gap(
     else:
         # one row per outcome class
         events = events.join(F.broadcast(weights.select("event", "w")), "event")
-    base = intercepts.agg(
-        F.map_from_entries(F.collect_list(F.struct("event", "b"))).alias("m")
-    ).scalar()
-    scores = fitted(events, effects, splits, classes)
-    scores = scores.withColumns({c: F.exp(F.col(c) + base[c]) for c in classes})
-    total = sum((F.col(c) for c in classes[1:]), F.col(classes[0]))
+    scores = _softmax(events, effects, intercepts, splits, classes)
     scores = scores.withColumns(
-        {c: F.col("w") * ((F.col("event") == c).cast("double") - F.col(c) / total) for c in classes}
+        {c: F.col("w") * ((F.col("event") == c).cast("double") - F.col(c)) for c in classes}
     )
     sums = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in classes]]
     gaps = by_each_split(scores, splits, sums)

@@ -324,9 +324,24 @@ def minnorm_check(spark, sf_dir):
     """Normal equations of the least-norm solution: X'(y - Xb) = 0."""
     events = batting(spark, sf_dir, sites=True)
     effects = regress.min_norm(events, space="logit")
-    gap = regress.normal_gap(events, effects, space="logit")
+    gap = written(regress.normal_gap(events, effects, space="logit"), "gap")
     slack = [F.col(e) for e in OUTCOMES]
-    return gap.select("split", "level", "n", _small(slack, 1e-5 * F.col("n")).alias("ok"))
+    ok = _small(slack, 1e-5 * F.col("n")) & _least_norm(gap)
+    return gap.select("split", "level", "n", ok.alias("ok"))
+
+
+def _least_norm(gap: DataFrame, tau: dict[str, float] | None = None):
+    """Whether effects are orthogonal to the null space of the design.
+
+    Splits without missing levels each add up to the column of ones, so their sums of effects,
+    over their factors, must be equal; plain least squares does not keep them so.
+    """
+    factor = F.create_map(*[F.lit(x) for pair in (tau or dict.fromkeys(plate.MODEL_SPLITS, 1.0)).items() for x in pair])
+    sums = gap.groupBy("split").agg(F.sum("n").alias("n"), *[F.sum(f"b_{e}").alias(e) for e in OUTCOMES])
+    whole = sums.withColumns({e: F.col(e) / factor[F.col("split")] for e in OUTCOMES})
+    most = sums.agg(F.max("n").alias("n")).scalar()
+    spread = [F.max(e) - F.min(e) for e in OUTCOMES]
+    return whole.filter(F.col("n") == most).agg((F.greatest(*spread) <= 1e-4).alias("ok")).scalar()
 
 
 TAU = {"batter": 3.0, "pitcher": 2.0, "gamesite": 1.0, "timesthrough": 5.0, "pitbathand": 1.0}
@@ -336,9 +351,10 @@ def tau_check(spark, sf_dir):
     events = batting(spark, sf_dir, sites=True)
     wide = CLAMPS["wide"]
     effects = regress.min_norm(events, space="logit", clamp_pair=wide, tau=TAU)
-    gap = regress.normal_gap(events, effects, space="logit", clamp_pair=wide, tau=TAU)
+    gap = written(regress.normal_gap(events, effects, space="logit", clamp_pair=wide, tau=TAU), "gap")
     slack = [F.col(e) for e in OUTCOMES]
-    return gap.select("split", "level", "n", _small(slack, 1e-4 * F.col("n")).alias("ok"))
+    ok = _small(slack, 1e-4 * F.col("n")) & _least_norm(gap, TAU)
+    return gap.select("split", "level", "n", ok.alias("ok"))
 
 
 def lasso_check(spark, sf_dir):
@@ -385,6 +401,19 @@ def weighted_logistic_check(spark, sf_dir):
     return _logistic(spark, sf_dir, list(plate.MODEL_SPLITS), True)
 
 
+def logistic_shares(spark, sf_dir):
+    """Mean fitted shares of the two-split fit; they equal the observed ones."""
+    events, splits = batting(spark, sf_dir), ["batter", "pitcher"]
+    effects, intercepts = regress.multinomial(events, splits)
+    return rounded(regress.fitted_shares(events, effects, intercepts, splits), digits=5)
+
+
+def lasso_single_split(spark, sf_dir):
+    """The lasso solver where a closed form exists."""
+    effects = regress.lasso(batting(spark, sf_dir), 0.005, ["batter"])
+    return rounded(effects, digits=5)
+
+
 def logistic_means(spark, sf_dir):
     """Model means from the intercepts next to observed shares."""
     events = batting(spark, sf_dir)
@@ -562,7 +591,7 @@ def queries() -> dict[str, Query]:
         est_bottom_pitchers, est_parks, hist, weighted_hist, bins2d, kde2d, html_cells,
         html_promoted, html_table, coerced_columns, coerced_cells, dh_value_full_season,
         dh_value_full_career, dh_value_ordered, overrated_by_runs, hand_matchup_counts,
-        rates_all_splits_by_season, hist_estimates,
+        rates_all_splits_by_season, hist_estimates, logistic_shares, lasso_single_split,
     ):
         found[query.__name__] = query
     return found

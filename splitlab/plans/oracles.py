@@ -326,8 +326,15 @@ def models() -> dict[str, str]:
     present = f"SELECT split, level, count(*) AS n, true AS ok FROM ({levels()}) WHERE event IS NOT NULL"
     sql["logistic_check"] = f"WITH {KEPT} {present} AND split IN ('batter', 'pitcher') GROUP BY split, level"
     sql["weighted_logistic_check"] = f"WITH {KEPT} {present} GROUP BY split, level"
-    # the three splits without missing levels tie two columns of the design
-    sql["gram_rank"] = f"WITH {ROWS} SELECT count(*) AS p, count(*) - 2 AS rank FROM tally"
+    # splits without missing levels add up to the same column: each but one of them takes a rank
+    sql["gram_rank"] = f"""WITH {ROWS}, whole AS (SELECT split FROM tally GROUP BY split HAVING sum(n) = (SELECT count(*) FROM kept))
+SELECT count(*) AS p, count(*) - (SELECT count(*) - 1 FROM whole) AS rank FROM tally"""
+    sql["logistic_shares"] = f"""WITH {KEPT} SELECT event, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 5) AS share
+FROM kept WHERE event IS NOT NULL GROUP BY event"""
+    pull = {e: f"(c_{e} * {HIGH} + (n - c_{e}) * {LOW} - n * {log_odds('m_' + e)})" for e in SIX}
+    sql["lasso_single_split"] = f"WITH {ROWS} SELECT split, level, " + ", ".join(
+        f"round(sign({x}) * greatest(abs({x}) - 0.005 * (SELECT count(*) FROM kept), 0) / n, 5) AS {e}" for e, x in pull.items()
+    ) + " FROM tally, means WHERE split = 'batter'"
     sql["estimates_share"] = f"WITH {SHRUNK} SELECT split, level, {nine((e, e) for e in SIX)}, round({' + '.join(SIX)}, 9) AS SUM FROM est"
     back = ", ".join(f"1 / (1 + exp(-(b_{e} + {log_odds('m_' + e)}))) AS {e}" for e in SIX)
     sql["estimates_logit"] = f"WITH {ROWS}, {LOGIT_EFFECTS}, p AS (SELECT split, level, {back} FROM eff, means) SELECT split, level, " + nine(
