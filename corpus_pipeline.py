@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from splitlab.llm import bpe, mixing, order_minhash, pii, toxicity
+from splitlab.llm.frames import in_batches
 from splitlab.session import written
 
 #: No SQL: the trained stages have no SQL form; tests/llm compares the stages with brute force.
@@ -41,7 +42,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
             columns[length] = pa.array(sizes, batch.schema.field(length).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(work, docs.schema)
+    return in_batches(docs, work, docs.schema, arrow=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitlab.llm.components import components
-from splitlab.llm.frames import pick, with_ids
+from splitlab.llm.frames import in_batches, pick, with_ids
 from splitlab.llm.textblock import mixed
 from splitlab.session import discard, written
 
@@ -156,7 +156,7 @@ def _links(cells: DataFrame, cosine: float) -> DataFrame:
         if held is not None and len(held) > 1:
             yield _cell(held["code"].iloc[0], held, cosine)
 
-    return cells.mapInPandas(work, "node binary, links long, root binary")
+    return in_batches(cells, work, "node binary, links long, root binary")
 
 
 def link_embeddings(df: DataFrame, vec_id="vec_id", embedding="embedding", label="label", cosine: float = COSINE) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,9 @@ from splitlab.session import written
 
 #: ASCII space and the control characters from tab to carriage return separate words.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch that goes to Python; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _ROW = (1 << 33) - 1
 
 
@@ -27,6 +33,27 @@ def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
 
 
+def _tidy(work):
+    """``work`` that gives memory back to the machine after its partition, as Spark keeps workers for later ones."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
+def in_batches(rows: DataFrame, work, schema, arrow: bool = False) -> DataFrame:
+    """``mapInPandas`` (or ``mapInArrow``) in batches of few megabytes, unless the session has its own limit."""
+    conf = rows.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return (rows.mapInArrow if arrow else rows.mapInPandas)(_tidy(work), schema)
+
+
 def with_ids(rows: DataFrame, key: str, work, out: str, columns: str) -> DataFrame:
     """``rows`` mapped by ``work`` in pandas batches to (out, columns), ``out`` holding the ids of ``key``.
 
@@ -34,9 +61,9 @@ def with_ids(rows: DataFrame, key: str, work, out: str, columns: str) -> DataFra
     """
     kind = rows.schema[key].dataType.simpleString()
     if kind not in ("tinyint", "smallint", "int", "bigint"):
-        return rows.mapInPandas(work, f"{out} {kind}, {columns}")
+        return in_batches(rows, work, f"{out} {kind}, {columns}")
     rows = rows.withColumn(key, F.col(key).cast("string"))
-    found = rows.mapInPandas(work, f"{out} string, {columns}")
+    found = in_batches(rows, work, f"{out} string, {columns}")
     return found.withColumn(out, F.col(out).cast(kind))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitlab.llm.components import components
-from splitlab.llm.frames import pick, with_ids
+from splitlab.llm.frames import in_batches, pick, with_ids
 from splitlab.llm.textblock import TextBlock, blocks, mixed, windows
 from splitlab.session import discard, written
 
@@ -181,7 +181,7 @@ def _contents(rows: DataFrame) -> DataFrame:
                     }
                 )
 
-    return rows.mapInPandas(work, "node binary, shingles binary")
+    return in_batches(rows, work, "node binary, shingles binary")
 
 
 def _verify(pairs: DataFrame, contents: DataFrame, least: float) -> DataFrame:
@@ -197,7 +197,7 @@ def _verify(pairs: DataFrame, contents: DataFrame, least: float) -> DataFrame:
 
     full = pairs.join(contents.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
     full = full.join(contents.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-    return full.select("a", "b", "left", "right").mapInPandas(work, "a binary, b binary, linked boolean")
+    return in_batches(full.select("a", "b", "left", "right"), work, "a binary, b binary, linked boolean")
 
 
 def near_classes(docs: DataFrame, doc_id="doc_id", text="text", least: float = SIMILARITY) -> DataFrame:
@@ -285,7 +285,7 @@ def _cells(cells: DataFrame, least: float) -> DataFrame:
         if held is not None and len(held) > 1:
             yield _cell(held, least)
 
-    return cells.mapInPandas(work, "a binary, b binary")
+    return in_batches(cells, work, "a binary, b binary")
 
 
 def _cell(part: pd.DataFrame, least: float) -> pd.DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitlab.llm.frames import pick, with_ids
+from splitlab.llm.frames import in_batches, pick, with_ids
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents whose runs train the weights, and distinct training runs, at most.
@@ -287,7 +287,7 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS, doc_id="doc_id", text="text"
             yield pd.DataFrame({"run": list(seen), "times": list(seen.values())}).astype({"run": "str", "times": "int64"})
 
     found = (
-        rows.select("text").mapInPandas(work, "run string, times long").groupBy("run").agg(F.sum("times").alias("times"))
+        in_batches(rows.select("text"), work, "run string, times long").groupBy("run").agg(F.sum("times").alias("times"))
         .orderBy(F.xxhash64("run"), "run").limit(TRAIN_RUNS).toPandas()
     )
     single = [

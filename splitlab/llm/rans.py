@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitlab.llm.frames import pick, shuffle_width
+from splitlab.llm.frames import in_batches, pick, shuffle_width
 from splitlab.session import written
 
 MAGIC = b"SLRANS01"
@@ -260,7 +260,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, doc_id="doc_id", text
     order = [F.col("id").asc_nulls_first(), F.col("tie")]
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(shuffle_width(docs), *order)
     rows = rows.sortWithinPartitions(*order).select(F.col("id").cast("long").cast("string").alias("id"), "text")
-    return written(rows.mapInPandas(work, "range_ int, seq int, docs long, tokens long, payload binary"), "tokens")
+    return written(in_batches(rows, work, "range_ int, seq int, docs long, tokens long, payload binary"), "tokens")
 
 
 def read_tokens(segments: DataFrame, ids: bool = False) -> DataFrame:
@@ -299,7 +299,7 @@ def read_tokens(segments: DataFrame, ids: bool = False) -> DataFrame:
 
     rows = segments.join(places, (F.col("range_") == F.col("in")) & (F.col("seq") == F.col("nth"))).select("first", "payload")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return rows.mapInPandas(work, schema + ", ids array<int>" * ids)
+    return in_batches(rows, work, schema + ", ids array<int>" * ids)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

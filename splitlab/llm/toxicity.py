@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitlab.llm.frames import pick, shuffle_width, with_ids
+from splitlab.llm.frames import in_batches, pick, shuffle_width, with_ids
 from splitlab.session import discard, written
 
 #: Labelled documents to learn from, at most; a third of them toxic where there are enough.
@@ -223,7 +223,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
             ).astype({"term": "str"})
             yield pd.DataFrame({"term": [""], "bad": [int(batch["toxic"].sum())], "good": [int((1 - batch["toxic"]).sum())]})
 
-    counts = sample.mapInPandas(count, "term string, bad long, good long").groupBy("term").agg(
+    counts = in_batches(sample, count, "term string, bad long, good long").groupBy("term").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good")
     )
     counts = written(counts, "terms")
@@ -278,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, doc_id="d
             found = [lexicon.features(t or "") for t in batch["text"]]
             yield pd.DataFrame({"x": [r.tobytes() for r in found], "toxic": batch["toxic"].astype("int32")})
 
-    found = sample.mapInPandas(rows_of, "x binary, toxic int").toPandas().sort_values(["x", "toxic"])
+    found = in_batches(sample, rows_of, "x binary, toxic int").toPandas().sort_values(["x", "toxic"])
     discard(sample)
     x, label = np.frombuffer(b"".join(found["x"]), np.float32).reshape(len(found), -1), found["toxic"].to_numpy()
     v = votes(x, lexicon.size)
@@ -316,7 +316,7 @@ def reject(docs: DataFrame, model: Model, text="text", most: float = 0.5) -> Dat
             texts = batch.column(place).to_pylist()
             yield batch.filter(pa.array([model.score(t) < most for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(work, schema)
+    return in_batches(docs, work, schema, arrow=True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
