@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from splitlab.functions.odds import CLAMPS
 from splitlab.functions.outcomes import OUTCOMES
-from splitlab.operators import design, estimates, rates, regress, solvers, spread
+from splitlab.operators import design, estimates, ranking, rates, regress, solvers, spread
 from tests.fixtures import plate_frame, plate_rows
 
 SPLITS = ["batter", "pitcher"]
@@ -186,3 +186,19 @@ def test_missing_level_has_no_column(spark):
     assert sorted(tuple(r.features.toArray()) for r in vectors.collect()) == [
         (0, 0, 1, 0), (0, 1, 0, 1), (1, 0, 0, 0), (1, 0, 1, 0),
     ]
+
+
+def test_system_without_a_solution_raises(spark):
+    cells = [(s, "1", t, "1", 4) for s in "ab" for t in "ab"]
+    gram = spark.createDataFrame(cells, "split string, level string, split2 string, level2 string, n long")
+    rhs = spark.createDataFrame([("a", "1", 1.0), ("b", "1", -1.0)], "split string, level string, y double")
+    with pytest.raises(solvers.NotConverged):
+        solvers.conjugate_gradient(gram, rhs, ["y"]).collect()
+
+
+def test_rows_with_a_missing_key_have_no_number(spark):
+    rows = [("g", i, None if i % 3 == 0 else "k") for i in range(30)]
+    table = spark.createDataFrame(rows, "game string, at long, key string")
+    found = {r.at: r.n for r in ranking.ordinal_in_group(table, ["game", "key"], ["at"], "n").collect()}
+    kept = [i for i in range(30) if i % 3]
+    assert found == {i: kept.index(i) if i in kept else None for i in range(30)}

@@ -62,7 +62,10 @@ def test_no_query_pairs_all_rows(spark):
             assert "NestedLoop" not in text, key
 
 
-SLOW = ("ols_fit", "gram_rank", "estimates_ridge", "ridge_single_split", "logistic_means")
+SLOW = (
+    "ols_fit", "gram_rank", "estimates_ridge", "ridge_single_split", "logistic_means", "logistic_shares",
+    "lasso_single_split",
+)
 
 
 def test_top_list_is_not_a_full_sort(spark):
