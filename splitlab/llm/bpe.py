@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from splitlab.llm.frames import pick, with_ids
 
-MAX_STATES = 100_000
-MAX_PIECES = 240_000
+MAX_STATES = 70_000
+MAX_PIECES = 180_000
 #: Bytes between two looks for final tokens in a long piece.
 STRETCH = 4096
 CHUNK = 8192
