@@ -207,6 +207,11 @@ def near_classes(docs: DataFrame, doc_id="doc_id", text="text", least: float = S
     occur, as classes are named by their least id. A null id is a row like others, but names no class unless it is
     alone. An empty table gives no rows; other columns are left behind.
     """
+    return _classes(docs, doc_id, text, least).drop("head")
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
+    """``near_classes`` and the node of the one row that stands for the class: least id, nulls last, then least node."""
     rows = pick(docs, doc_id, text).toDF("id", "text")
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
@@ -228,8 +233,10 @@ def near_classes(docs: DataFrame, doc_id="doc_id", text="text", least: float = S
     links, roots = _link(members, contents, least)
     named = nodes.select("node", "rep").join(roots.withColumnRenamed("id", "node"), "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
-    least_id = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = written(named.join(least_id, "root").select("node", "class_id"), "classes")
+    least_id = named.groupBy("root").agg(
+        F.min("rep").alias("class_id"), F.min_by("node", F.struct(F.isnull("rep"), "rep", "node")).alias("head")
+    )
+    named = written(named.join(least_id, "root").select("node", "class_id", "head"), "classes")
     discard(nodes, members, contents, *links)
     out = sketch.select("id", "node").join(named, "node")
     return out
@@ -330,9 +337,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, doc_id="doc_id", text="text", least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class, the one with the least id; columns as they are."""
-    classes = near_classes(docs, doc_id, text, least)
-    chosen = classes.where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("id", "node").agg(F.count("*").alias("times"))
+    """``docs`` with one row of each class, the one with the least id; columns as they are.
+
+    Ids need not tell classes apart: texts of null ids or of one id stay if their classes differ.
+    """
+    classes = _classes(docs, doc_id, text, least)
+    chosen = classes.where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("head")))
+    chosen = chosen.groupBy("id", "node").agg(F.count("*").alias("times"))
     chosen = written(chosen, "chosen")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     key, words = (f"c{docs.columns.index(x)}" for x in (doc_id, text))
@@ -341,5 +352,5 @@ def one_of_each(docs: DataFrame, doc_id="doc_id", text="text", least: float = SI
         chosen, F.col(key).eqNullSafe(F.col("id")) & (F.col("node_") == F.col("node")), "left_semi"
     )
     if not chosen.where("times > 1").isEmpty():
-        out = out.dropDuplicates([key])
+        out = out.dropDuplicates([key, "node_"])
     return out.drop("node_").toDF(*docs.columns)

@@ -277,6 +277,17 @@ def test_near_classes(spark, docs, none, rows):
     assert order_minhash.near_classes(none).count() == 0
 
 
+def test_one_of_each_keeps_texts_whose_ids_are_equal(spark):
+    rng = random.Random(21)
+    a, b, c, d, e, near = (text_of(rng, 60) for _ in range(6))
+    rows = [(None, a), (None, b), (5, c), (5, d), (7, e), (7, e), (9, near), (9, near + " end"), (None, near + " end")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    once = spark.createDataFrame([r for r in rows if r[0] != 7], "doc_id long, text string")
+    kept, other = ([tuple(r) for r in order_minhash.one_of_each(t).collect()] for t in (table, once))
+    assert len(kept) == 6 and set(kept) - {(9, near), (9, near + " end")} == {(None, a), (None, b), (5, c), (5, d), (7, e)}
+    assert set(other) == set(kept) - {(7, e)} and len(other) == 5
+
+
 def test_cells_split_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(order_minhash, "PART", 5)
     rng = random.Random(10)
