@@ -185,7 +185,8 @@ class Memo(dict):
 class Encoder:
     """Whole texts to ids, as bytes, with the tokenizers library's model and memos of chunks and pieces.
 
-    The pattern that splits texts puts one space in front of what follows it, so a text may be cut before any space
+    Added tokens of the vocabulary, such as <|endoftext|>, are matched in a text as the library does by default, and
+    what stands between them is encoded by itself. The pattern that splits texts puts one space in front of what follows it, so a text may be cut before any space
     that something solid follows, and the chunks encoded each by itself. A chunk that is empty or begins with
     white space has no encoding of its own; texts with such chunks are encoded as a whole.
     """
@@ -195,7 +196,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tool.get_added_tokens_decoder()
+        self.whole = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        # the leftmost match, and the longest of those
+        names = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else None
         self.model, self.split = self.tool.model, regex.compile(pattern).findall
         # byte-level vocabularies spell printable bytes as themselves and the others as 256, 257, …
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -222,6 +228,14 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, self.split(" " + chunk)))
 
     def encode(self, text: str) -> bytes:
+        if not any(name in text for name in self.added):
+            return self._plain(text)
+        if self.whole:  # some match more or less than their string
+            return array("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
+        parts = self.cut(text)
+        return b"".join(self.added[p] if i % 2 else self._plain(p) for i, p in enumerate(parts))
+
+    def _plain(self, text: str) -> bytes:
         head, *rest = text.split(" ")
         parts = list(map(self.chunks.__getitem__, rest))
         if None in parts:

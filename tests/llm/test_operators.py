@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from splitlab.llm import (
     bpe, components, cross_polytope, html_text, line_labels, mixing, order_minhash, packing, pii, rans, toxicity,
@@ -133,6 +134,13 @@ def test_token_files(docs, none, rows):
     assert rans.read_tokens(rans.write_tokens(none)).count() == 0
 
 
+def test_token_files_hold_added_tokens(spark):
+    made = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "a <|endoftext b")]
+    found = rans.read_tokens(rans.write_tokens(spark.createDataFrame(made, "doc_id long, text string")), ids=True).collect()
+    tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.ids for r in found} == {i: tool.encode(t, add_special_tokens=False).ids + [2] for i, t in made}
+
+
 def test_packing(docs, none, rows):
     out = packing.slots(packing.assign(docs, shards=5))
     n = len(docs.columns)

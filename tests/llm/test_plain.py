@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
 from splitlab.llm import bpe, cross_polytope, html_text, line_labels, order_minhash, packing, pii, rans, toxicity
 from splitlab.llm.textblock import TextBlock, blocks, windows
@@ -156,6 +157,18 @@ def test_chunked_encoder_equals_the_library():
         assert np.frombuffer(tool.encode(text), np.uint32).tolist() == known, repr(text)
 
 
+def test_encoder_matches_added_tokens():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    fresh, tool = Tokenizer.from_file(path), rans.Encoder(path, limit=50)
+    rng = random.Random(12)
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", "<", " ", "  ", "a", "\n", "é", "'s", "1"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(800)]
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "a  <|endoftext|>  b", *made, *noise(13, 200)]:
+        known = fresh.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(tool.encode(text), np.uint32).tolist() == known, repr(text)
+    assert np.frombuffer(tool.encode("a <|endoftext|> b"), np.uint32).tolist() == [64, 220, 50256, 275]
+
+
 def test_best_fit_equals_a_search_through_all_bins():
     rng = random.Random(7)
     for _ in range(40):
