@@ -5,8 +5,8 @@
   open element are ignored, all that is open at the end is closed.
 * Visibility: elements that browsers do not show, ``hidden``, and inline styles that hide.
 * Rendering: paragraphs and headings stand between blank lines, other blocks on lines of their own, list items
-  carry marks and indents, ``pre`` keeps its space, cells of a table are padded to columns unless one holds
-  several lines or is wide, in which case the table only arranges blocks.
+  carry marks and indents, ``pre`` keeps its space, cells of a table are padded to columns line by line, and keep
+  the columns and rows that they span. Only where padding would be far more than the text, lines run over.
 Trees are walked with a stack of their own, so depth is bounded by memory alone.
 """
 
@@ -49,13 +49,16 @@ CLOSES = {name: (frozenset(["p"]), frozenset(["td", "th", "caption", "button", "
 }
 #: An end tag does not reach beyond these, unless it names one of them.
 _WALLS = frozenset(["table", "td", "th", "caption"])
+GROUPS = frozenset(["thead", "tbody", "tfoot"])
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 #: HTML white space.
 _BLANK = " \t\n\f\r"
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
-MAX_CELL, MAX_SPAN = 60, 1000
+MAX_SPAN, MAX_ROWS = 1000, 65534
+#: Blanks that may pad a table, by its characters and besides; beyond them columns are padded to MAX_CELL, or not at all.
+PADDING, PADDING_FREE, MAX_CELL = 16, 1_000_000, 60
 
 
 def scan(page: str):
@@ -247,33 +250,81 @@ class Lines:
         self.gap = max(self.gap, gap)
 
 
-def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Cells (lines, columns spanned) as padded columns, or as blocks one after the other."""
-    rows = [r for r in rows if any(lines for lines, _ in r)]
-    cells = [c for r in rows for c in r]
-    if any(len(lines) > 1 or (lines and len(lines[0]) > MAX_CELL) for lines, _ in cells):
-        return [line for lines, _ in cells for line in lines]
-    widths: dict[int, int] = {}
-    for row in rows:
+class Table:
+    """Rows of cells (lines, columns and rows spanned), and the rows at which row groups begin."""
+
+    def __init__(self):
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.cuts: list[int] = []
+
+    def places(self) -> list[tuple[int, int, int, int, list[str]]]:
+        """(row, end row, column, end column, lines) of each cell; cells stand right of those that reach down to them."""
+        out, busy = [], []  # (column, end column, end row)
+        ends = [*self.cuts, len(self.rows)]
         at = 0
-        for lines, span in row:
-            if span == 1 and lines:
-                widths[at] = max(widths.get(at, 0), len(lines[0]))
-            at += span
+        for r, row in enumerate(self.rows):
+            while ends[at] <= r:
+                at += 1
+            busy = [b for b in busy if b[2] > r]
+            column = k = 0
+            added = []
+            for lines, across, down in row:
+                while k < len(busy) and busy[k][0] <= column:
+                    column = max(column, busy[k][1])
+                    k += 1
+                end = min(r + down, ends[at]) if down else ends[at]
+                out.append((r, end, column, column + across, lines))
+                if end > r + 1:
+                    if added and added[-1][1:] == (column, end):
+                        added[-1] = (added[-1][0], column + across, end)
+                    else:
+                        added.append((column, column + across, end))
+                column += across
+            if added:
+                busy = sorted(busy + added)
+        return out
+
+
+def _starts(spans: list[tuple[int, int, int]]) -> dict[int, int]:
+    """Least place of each edge, so that every (edge, later edge, size) has room between its edges."""
+    due: dict[int, list[tuple[int, int]]] = {}
+    for low, high, size in spans:
+        due.setdefault(low, [])
+        due.setdefault(high, []).append((low, size))
+    place, last = {}, 0
+    for edge in sorted(due):
+        place[edge] = last = max([last, *(place[low] + size for low, size in due[edge])])
+    return place
+
+
+def table_lines(table: Table) -> list[str]:
+    """The cells as padded columns; a row is as high as its cells, and rows without text have no line."""
+    cells = [c for c in table.places() if c[4]]
+    tops = _starts([(row, end, len(lines)) for row, end, _, _, lines in cells])
+    grid: dict[int, list[tuple[int, str]]] = {}
+    for row, _, column, _, lines in cells:
+        for i, line in enumerate(lines):
+            if line:
+                grid.setdefault(tops[row] + i, []).append((column, line))
+    text = sum(len(line) for *_, lines in cells for line in lines)
+    for most in (text, MAX_CELL, 0):
+        wide = [(low, end, min(max(map(len, lines)), most) + 2 * (most > 0)) for _, _, low, end, lines in cells]
+        left = _starts(wide)
+        if sum(max(left[c] for c, _ in parts) for parts in grid.values()) <= PADDING * text + PADDING_FREE:
+            break
     out = []
-    for row in rows:
-        line, at, place = "", 0, 0
-        for lines, span in row:
-            text = lines[0] if lines else ""
-            line = line.ljust(place) + text
-            place = max(place, len(line) - len(text)) + max(
-                sum(widths.get(k, 0) + 2 for k in range(at, at + span)), len(text) + 2 if span > 1 else 0
-            )
-            at += span
+    for y in range(max(grid, default=-1) + 1):
+        line = ""
+        for column, part in sorted(grid.get(y, []), key=lambda x: x[0]):
+            line = line.ljust(max(left[column], len(line) + 2 if line else 0)) + part
         out.append(line.rstrip())
     return out
 
 
+def _span(text: str, least: int, most: int) -> int:
+    return min(max(int(text), least), most) if text.isascii() and text.isdigit() and len(text) < 6 else 1
+
+
 def render(root: Element) -> str:
     """All visible text of a tree, by one walk with a stack of (element, next child)."""
     flow = Lines()
@@ -290,15 +341,15 @@ def render(root: Element) -> str:
                 lines = flows.pop().lines
                 flow = flows[-1]
                 if tables:
-                    span = element.attributes.get("colspan", "")
-                    span = min(max(int(span), 1), MAX_SPAN) if span.isascii() and span.isdigit() and len(span) < 6 else 1
-                    if not tables[-1]:
-                        tables[-1].append([])
-                    tables[-1][-1].append((lines, span))
+                    across = _span(element.attributes.get("colspan", ""), 1, MAX_SPAN)
+                    down = _span(element.attributes.get("rowspan", ""), 0, MAX_ROWS)  # 0: to the end of the group
+                    if not tables[-1].rows:
+                        tables[-1].rows.append([])
+                    tables[-1].rows[-1].append((lines, across, down))
             elif leave == "table":
-                rows = tables.pop()
+                table = tables.pop()
                 flow.end()  # text that stood outside cells
-                for line in table_lines(rows):
+                for line in table_lines(table):
                     flow.put(line) if line else flow.block(1)
                 flow.block(1)
             elif leave == "item":
@@ -314,6 +365,8 @@ def render(root: Element) -> str:
             elif leave is not None:
                 if element.tag == "pre":
                     pre -= 1
+                elif element.tag in GROUPS and tables:
+                    tables[-1].cuts.append(len(tables[-1].rows))
                 flow.block(leave)
             continue
         if isinstance(child, str):
@@ -341,10 +394,10 @@ def render(root: Element) -> str:
             continue
         if tag == "table":
             flow.block(1)
-            tables.append([])
+            tables.append(Table())
             leave = "table"
         elif tag == "tr" and tables:
-            tables[-1].append([])
+            tables[-1].rows.append([])
         elif tag in ("td", "th") and tables:
             flow = Lines()
             flows.append(flow)
@@ -374,6 +427,8 @@ def render(root: Element) -> str:
             flow.block(leave)
             if tag == "pre":
                 pre += 1
+            elif tag in GROUPS and tables:
+                tables[-1].cuts.append(len(tables[-1].rows))
         if tag == "details" and "open" not in child.attributes:
             shown = [c for c in child.children if isinstance(c, Element) and c.tag == "summary"][:1]
             stack.append((child, iter(shown), leave))

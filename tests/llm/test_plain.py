@@ -280,6 +280,34 @@ def test_pages(page):
     assert html_text.page_text(page) == PAGES[page]
 
 
+LONG = "one sentence " * 8 + "of more than sixty characters"
+TABLES = {
+    f"<table><tr><td>k<td>{LONG}<td>1<tr><td>key<td>b<td>2</table>": f"k    {LONG}  1\nkey  {'b':{len(LONG)}}  2",
+    "<table><tr><td>a<br>b<td>1<tr><td>long<td>2<br>3<td>x</table>": "a     1\nb\nlong  2  x\n      3",
+    "<table><tr><td><ul><li>p<li>q</ul><td>r</table>": "- p  r\n- q",
+    "<table><tr><td>a<td><table><tr><td>b<td>c<tr><td>d<td>e</table><td>f</table>": "a  b  c  f\n   d  e",
+    "<table><tr><td rowspan=2>A<td>b<td>c<tr><td>d<td>e<tr><td>F<td>g<td>h</table>": "A  b  c\n   d  e\nF  g  h",
+    "<table><tr><td>a<td rowspan=2>b<br>c<br>d<td>e<tr><td>f<td>g<tr><td>h<td>i<td>j</table>": "a  b  e\nf  c  g\n   d\nh  i  j",
+    "<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>": "a  b\n   c\nd  e",
+    "<table><thead><tr><th rowspan=9>H<th>I<tbody><tr><td>x<td>y</table>": "H  I\nx  y",
+    "<table><tr><th colspan=2>wide one<th>c<tr><td>a<td>b<td>d</table>": "wide one  c\na  b      d",
+    "<table><tr><td><tr><td>a<td><td>b</table>": "a  b",
+}
+
+
+@pytest.mark.parametrize("page", TABLES)
+def test_tables(page):
+    assert html_text.page_text(page) == TABLES[page]
+
+
+def test_padding_of_tables_is_bounded():
+    rows = 20_000
+    page = "<table><tr><td>" + "x" * 50_000 + "<td>y" + "<tr><td>a<td>b" * rows + "</table>"
+    text = html_text.page_text(page)
+    assert len(text) < 3_000_000 and text.split() == ["x" * 50_000, "y", *["a", "b"] * rows]
+    html_text.page_text("<table>" + "<td colspan=1000 rowspan=65534>a" * 5000 + "<tr><td>b" * 5000 + "</table>")
+
+
 def test_odd_pages_end():
     assert html_text.page_text(None) == ""
     assert html_text.page_text("<div>" * 20_000 + "x") == "x"
