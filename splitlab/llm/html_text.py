@@ -3,7 +3,8 @@
 * Scanner: tags, comments, declarations and raw-text elements, each character looked at a bounded number of times.
 * Tree: void elements, implied ends (a block ends a paragraph, an item an item, a row a row …), ends that match no
   open element are ignored, all that is open at the end is closed.
-* Visibility: elements that browsers do not show, ``hidden``, and inline styles that hide.
+* Visibility: elements that browsers do not show, ``hidden``, and inline styles that hide. Formulas are shown, of
+  SVG the text elements and foreign objects; what stands in definitions, also if ``use`` draws it, is not.
 * Rendering: paragraphs and headings stand between blank lines, other blocks on lines of their own, list items
   carry marks and indents, ``pre`` keeps its space, cells of a table are padded to columns line by line, and keep
   the columns and rows that they span. Only where padding would be far more than the text, lines run over.
@@ -23,9 +24,21 @@ from splitlab.llm.frames import pick, with_ids
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
-    "head script style title template noscript iframe object embed audio video canvas svg math datalist "
+    "head script style title template noscript iframe object embed audio video canvas datalist "
     "noembed noframes link meta base param source track area".split()
 )
+#: Of SVG and MathML.
+FOREIGN_UNSEEN = frozenset(
+    "title desc metadata defs style script symbol marker pattern clippath mask lineargradient radialgradient filter "
+    "annotation annotation-xml mphantom".split()
+)
+#: Foreign elements that hold HTML, HTML elements that end foreign ones, and formulas whose parts stand apart.
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+APART = frozenset("mfrac mroot msub msup msubsup munder mover munderover mtr mtable".split())
 #: Block elements and the blank lines around them.
 BLOCKS = dict.fromkeys(
     "address article aside body center dd details dialog div dt fieldset figcaption footer form header hgroup html "
@@ -65,6 +78,7 @@ def scan(page: str):
     """("text", value), ("open", name, attributes text, self-closed) and ("close", name) in order."""
     at, n = 0, len(page)
     lost = set()  # quotes that do not occur any more
+    foreign = 0  # open svg and math elements
     low = None
     while at < n:
         mark = page.find("<", at)
@@ -79,6 +93,12 @@ def scan(page: str):
                 return
             at = end + 3
             continue
+        if foreign and page.startswith("<![CDATA[", mark):
+            end = page.find("]]>", mark + 9)
+            end = n if end < 0 else end
+            yield "text", html.escape(page[mark + 9 : end], quote=False)
+            at = end + 3
+            continue
         if page[mark + 1 : mark + 2] in ("!", "?"):
             end = page.find(">", mark)
             if end < 0:
@@ -118,10 +138,13 @@ def scan(page: str):
         tag, attributes = name.group().lower(), page[start:end]
         at = end + 1
         if closing:
+            foreign = max(foreign - (tag in ("svg", "math")), 0)
             yield "close", tag
             continue
-        yield "open", tag, attributes, attributes.endswith("/")
-        if tag in RAW:
+        alone = attributes.endswith("/")
+        foreign += tag in ("svg", "math") and not alone
+        yield "open", tag, attributes, alone
+        if tag in RAW and not (alone and foreign):
             low = page.lower() if low is None else low
             if len(low) != n:  # lower case may change the length of rare letters; then look for the tag as written
                 low = page
@@ -134,10 +157,16 @@ def scan(page: str):
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children")
+    """``foreign``: of SVG or MathML; ``inner``: its children are; ``shown``: its own texts are."""
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
+    __slots__ = ("tag", "attributes", "children", "foreign", "inner", "shown")
+
+    def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None = None):
         self.tag, self.attributes, self.children = tag, attributes, []
+        held = parent is not None and parent.inner
+        self.foreign = held or tag in ("svg", "math")
+        self.inner = self.foreign and not (held and tag in HOLDS_HTML)
+        self.shown = tag != "svg" and (parent is None or parent.shown or held and tag in ("text", "foreignobject"))
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -167,6 +196,9 @@ def build(page: str) -> Element:
             if tag in ("html", "body"):
                 root.attributes.update(_attributes(attributes))
                 continue
+            if stack[-1].inner and tag in ENDS_FOREIGN:
+                while stack[-1].inner:
+                    counts[stack.pop().tag] -= 1
             ends, walls = CLOSES.get(tag, (None, None))
             if ends and any(counts.get(e) for e in ends):
                 for i in range(len(stack) - 1, 0, -1):
@@ -178,9 +210,9 @@ def build(page: str) -> Element:
                             break
                     elif stack[i].tag in walls:
                         break
-            element = Element(tag, _attributes(attributes))
+            element = Element(tag, _attributes(attributes), stack[-1])
             stack[-1].children.append(element)
-            if tag not in VOID and not (alone and tag in ("svg", "path", "math")):
+            if tag not in VOID and not (alone and (element.foreign or tag == "path")):
                 stack.append(element)
                 counts[tag] = counts.get(tag, 0) + 1
         else:
@@ -207,6 +239,12 @@ def visible(element: Element) -> bool:
         return False
     if element.tag == "input":
         return False
+    if element.foreign and (
+        element.tag in FOREIGN_UNSEEN
+        or attributes.get("display") == "none"
+        or attributes.get("visibility") in ("hidden", "collapse")
+    ):
+        return False
     return not ("style" in attributes and _HIDES.search(attributes["style"]))
 
 
@@ -362,6 +400,8 @@ def render(root: Element) -> str:
                 flow.end()
                 flow.indent = flow.indent[:-2]
                 flow.block(1)
+            elif leave == "apart":
+                flow.space = True
             elif leave is not None:
                 if element.tag == "pre":
                     pre -= 1
@@ -370,7 +410,7 @@ def render(root: Element) -> str:
                 flow.block(leave)
             continue
         if isinstance(child, str):
-            if child:
+            if child and element.shown:
                 if pre:
                     first, *rest = child.replace("\r\n", "\n").split("\n")
                     flow.parts.append(first)
@@ -384,6 +424,15 @@ def render(root: Element) -> str:
         if not visible(child):
             continue
         leave = None
+        if child.foreign:
+            if tag in ("text", "foreignobject") or tag in APART or element.tag in APART:
+                flow.space = True  # labels, and the parts of a formula
+                leave = "apart"
+            elif tag == "math" and child.attributes.get("display") == "block":
+                flow.block(0)
+                leave = 0
+            stack.append((child, iter(child.children), leave))
+            continue
         if tag == "br":
             if flow.parts:
                 flow.end()

@@ -300,6 +300,26 @@ def test_tables(page):
     assert html_text.page_text(page) == TABLES[page]
 
 
+FOREIGN = {
+    "let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math>.": "let x= 1 2 .",
+    "<math><semantics><mi>y</mi><annotation>tex</annotation></semantics></math>": "y",
+    "a<math display=block><mi>b</mi></math>c": "a\nb\nc",
+    "<svg><title>no</title><defs><text>no</text></defs><rect/>no<g/><text x=1>left <tspan>part</tspan></text><text>right</text></svg>z":
+        "left part right z",
+    "<svg><style/><title/><text>a &amp; <![CDATA[b < &amp; c]]></text></svg>": "a & b < &amp; c",
+    "<svg><foreignObject><div>in<p>side</div></foreignObject><desc>no</desc></svg>": "in\n\nside",
+    "<svg><path d=x><circle></svg>after <svg/>all": "after all",
+    "<svg><g><p>broken out": "broken out",
+    "<svg><text display=none>no</text><text style='display:none'>no</text><text>x</text></svg>": "x",
+    "<text>plain <title>no</title></text>": "plain",
+}
+
+
+@pytest.mark.parametrize("page", FOREIGN)
+def test_formulas_and_labels(page):
+    assert html_text.page_text(page) == FOREIGN[page]
+
+
 def test_padding_of_tables_is_bounded():
     rows = 20_000
     page = "<table><tr><td>" + "x" * 50_000 + "<td>y" + "<tr><td>a<td>b" * rows + "</table>"
