@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from splitlab.llm import bpe, cross_polytope, html_text, line_labels, mixing, order_minhash, packing, pii, rans, toxicity
+from splitlab.llm import (
+    bpe, cross_polytope, decontaminate, html_text, line_labels, mixing, order_minhash, packing, pii, rans, toxicity,
+)
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,8 +17,10 @@ QUERIES = {
     "op8_token_files": rans.query,
     "op9_best_fit_shards": packing.query,
     "op10_line_quality": line_labels.query,
+    "op12_decontaminate": decontaminate.query,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
+    "op12_decontaminate": decontaminate.SQL,
 }
