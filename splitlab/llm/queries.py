@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from splitlab.llm import (
-    bpe, cross_polytope, decontaminate, html_text, line_labels, mixing, order_minhash, packing, pii, rans, toxicity,
+    bpe, cross_polytope, decontaminate, html_text, line_labels, mixing, order_minhash, packing, phrases, pii, rans, toxicity,
 )
 
 QUERIES = {
@@ -18,9 +18,11 @@ QUERIES = {
     "op9_best_fit_shards": packing.query,
     "op10_line_quality": line_labels.query,
     "op12_decontaminate": decontaminate.query,
+    "op13_phrases": phrases.query,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
     "op12_decontaminate": decontaminate.SQL,
+    "op13_phrases": phrases.SQL,
 }
