@@ -55,8 +55,8 @@ def work_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as parquet and read back.
+def written(df: DataFrame, label: str, **options) -> DataFrame:
+    """``df`` written once as parquet, with the writer's ``options``, and read back.
 
     Cuts the lineage of iterative jobs in a way that survives lost executors,
     and gives the optimizer true file sizes for its join choice. ``discard``
@@ -64,7 +64,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/splitlab/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored
