@@ -28,8 +28,6 @@ from splitlab.llm.frames import pick, with_ids
 
 MAX_STATES = 70_000
 MAX_PIECES = 180_000
-#: Bytes between two looks for final tokens in a long piece.
-STRETCH = 4096
 CHUNK = 8192
 
 
@@ -74,6 +72,7 @@ class Transducer:
         self.spelling = {rank: token for token, rank in ranks.items()}
         self.width = {rank: len(token) for token, rank in ranks.items()}
         self.open = {token[:n] for token in ranks for n in range(1, len(token))}
+        self.longest = max(map(len, ranks), default=1)
         self._reset()
 
     def _reset(self) -> None:
@@ -135,7 +134,7 @@ class Transducer:
         for byte in data:
             state = state.steps.get(byte) or self._step(state, byte)
             lasts.append(state.last)
-            if len(lasts) >= STRETCH:
+            if len(lasts) >= 2 * self.longest:  # bounded lookahead: at most the last entry is still open
                 final, lasts = self._settle(state, lasts)
                 out += final
         return out + self._back(lasts)
@@ -269,4 +268,6 @@ def _per_document(df, doc_id, text, work, columns) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return digest_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """op5: texts of one language and source stand together within a task, so machines and memos meet fewer words at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    return digest_documents(docs.sortWithinPartitions("lang", "source"))

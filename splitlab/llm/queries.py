@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from splitlab.llm import (
-    bpe, cross_polytope, decontaminate, html_text, line_labels, mixing, order_minhash, packing, phrases, pii, rans, toxicity,
+    alignment, bpe, cross_polytope, decontaminate, html_text, line_labels, mixing, order_minhash, packing, phrases, pii, rans, toxicity,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_token_files": rans.query,
     "op9_best_fit_shards": packing.query,
     "op10_line_quality": line_labels.query,
+    "op11_aligned_tokens": alignment.query,
     "op12_decontaminate": decontaminate.query,
     "op13_phrases": phrases.query,
 }

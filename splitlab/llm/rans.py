@@ -34,11 +34,12 @@ from splitlab.llm.frames import in_batches, pick, shuffle_width
 from splitlab.session import written
 
 MAGIC = b"SLRANS01"
-LANES, BLOCK_TOKENS, SEGMENT_TOKENS = 512, 1 << 17, 1 << 20
+LANES, BLOCK_TOKENS, SEGMENT_TOKENS = 2048, 1 << 18, 1 << 20
 END_ID = 2
 #: Chunks that a worker's memo holds, at most (330 MB), and half as many pieces.
 MAX_CHUNKS = 1_400_000
 _WHITE = re.compile(r"\s")
+_LATIN_END = "\u0250"
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -220,11 +221,11 @@ class Encoder:
     def _chunk(self, chunk: str) -> bytes | None:
         if not chunk or _WHITE.match(chunk):
             return None
-        if chunk.isascii():  # the commonest shapes, split as the pattern would
-            if chunk.isalpha():
-                return self.pieces[" " + chunk]
-            if chunk[-1] in ".,;" and chunk[:-1].isalpha():
-                return self.pieces[" " + chunk[:-1]] + self.pieces[chunk[-1]]
+        # the commonest shapes, split as the pattern would; what versions of Unicode may see differently is left to it
+        word, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".,;" else (chunk, "")
+        if word.isalpha() and max(word) < _LATIN_END:
+            ids = self.pieces[" " + word]
+            return ids + self.pieces[mark] if mark else ids
         return b"".join(map(self.pieces.__getitem__, self.split(" " + chunk)))
 
     def encode(self, text: str) -> bytes:
