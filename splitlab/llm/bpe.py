@@ -194,8 +194,8 @@ class Utf8Stream:
 class Codec:
     """Texts to ids and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES):
-        self.machine = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES):
+        self.machine = Transducer(ranks, max_states)
         self.split = regex.compile(pattern).findall
         self.pieces = _Pieces(self.machine, max_pieces)
         self.spelling = self.machine.spelling
@@ -215,8 +215,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(load_ranks(path), pattern)
+def codec(path: str, pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> Codec:
+    return Codec(load_ranks(path), pattern, max_pieces, max_states)
 
 
 def encode_documents(df: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
@@ -240,12 +240,15 @@ def encode_documents(df: DataFrame, path: str | None = None, pattern: str = publ
 
 
 def digest_documents(df: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
-                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) through the same codec, without moving the ids to the JVM."""
+                     doc_id: str = "doc_id", text: str = "text", max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) through the same codec, without moving the ids to the JVM.
+
+    The limits are those of a worker's memos; larger ones take memory and save time. Rows as in ``encode_documents``.
+    """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def work(batches):
-        tool = codec(path, pattern)
+        tool = codec(path, pattern, max_pieces, max_states)
         names = {i: str(i) for i in tool.spelling}
         for batch in batches:
             rows = []
@@ -270,4 +273,4 @@ def _per_document(df, doc_id, text, work, columns) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: texts of one language and source stand together within a task, so machines and memos meet fewer words at a time."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return digest_documents(docs.sortWithinPartitions("lang", "source"))
+    return digest_documents(docs.sortWithinPartitions("lang", "source"), max_pieces=2 * MAX_PIECES, max_states=2 * MAX_STATES)
