@@ -69,6 +69,32 @@ def bins2d(points: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     )
 
 
+def hexbins(points: DataFrame, x: str, y: str, across: int = 10) -> DataFrame:
+    """Counts on a hexagonal grid per split; empty hexagons are left out.
+
+    The centres are two lattices of ``across`` columns, one moved by half a cell in both directions; a point belongs
+    to the nearer of its two nearest centres, to the second lattice if both are equally near. A cell is as
+    many times higher than wide, in units of the ranges, as makes the hexagons regular. Columns: split, lattice (0 or
+    1), x_no, y_no, the centre's x and y, n. Points without one of the coordinates are in none.
+    """
+    down = max(1, int(across / 3**0.5))
+    points = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    wide, high = (F.col("_xhi") - F.col("_xlo")) / across, (F.col("_yhi") - F.col("_ylo")) / down
+    u, v = (F.col(x) - F.col("_xlo")) / wide, (F.col(y) - F.col("_ylo")) / high
+    cells = points.join(F.broadcast(_ranges(points, x, y)), "split").select("split", u.alias("u"), v.alias("v"), wide.alias("wide"), high.alias("high"), "_xlo", "_ylo")
+
+    def distance(shift: float) -> Column:
+        sides = [F.col(c) - F.floor(F.col(c) + (0.5 - shift)) - shift for c in "uv"]
+        return sides[0] * sides[0] + 3 * sides[1] * sides[1]
+
+    lattice = F.when(distance(0.0) < distance(0.5), 0).otherwise(1)
+    cells = cells.withColumn("lattice", lattice)
+    half = F.col("lattice") * 0.5
+    cells = cells.withColumns({f"{a}_no": F.floor(F.col(c) + (0.5 - half)).cast("int") for a, c in (("x", "u"), ("y", "v"))})
+    at = [F.min(F.col(f"_{a}lo") + F.col(size) * (F.col(f"{a}_no") + half)).alias(a) for a, size in (("x", "wide"), ("y", "high"))]
+    return cells.groupBy("split", "lattice", "x_no", "y_no").agg(*at, F.count(F.lit(1)).alias("n"))
+
+
 def kde2d(
     points: DataFrame, x: str, y: str, weight: str, bandwidth: float, grid: int = 12
 ) -> DataFrame:

@@ -72,15 +72,15 @@ def residual_outcomes(
     return rows.withColumns({e: F.col(e) - _baseline(mean[e], space) for e in OUTCOMES})
 
 
-def gram(plate: DataFrame, splits=MODEL_SPLITS) -> DataFrame:
+def gram(plate: DataFrame, splits=MODEL_SPLITS, extra=()) -> DataFrame:
     """X'X as (split, level, split2, level2, n), both halves of the symmetric table.
 
-    One scan: grouping sets over the unordered pairs of splits, counted in each
+    With ``extra`` keys in front there is one such table for each of their values. One scan: grouping sets over the unordered pairs of splits, counted in each
     task before the shuffle, so that splits of three or four levels do no harm.
     """
-    splits = list(check_splits(splits))
+    splits, extra = list(check_splits(splits)), list(extra)
     cells = plate.filter(not_other()).select(
-        *[F.col(name).cast("string").alias(name) for name in splits]
+        *extra, *[F.col(name).cast("string").alias(name) for name in splits]
     )
     pairs = list(combinations_with_replacement(range(len(splits)), 2))
     bit = [2 ** (len(splits) - 1 - i) for i in range(len(splits))]
@@ -92,10 +92,10 @@ def gram(plate: DataFrame, splits=MODEL_SPLITS) -> DataFrame:
 
     (split, level), (split2, level2) = side(0), side(1)
     upper = (
-        cells.groupingSets([[splits[i] for i in sorted(set(p))] for p in pairs], *splits)
-        .agg(F.grouping_id(*splits).alias("_set"), F.count(F.lit(1)).alias("n"))
+        cells.groupingSets([[*extra, *[splits[i] for i in sorted(set(p))]] for p in pairs], *extra, *splits)
+        .agg(F.grouping_id(*extra, *splits).alias("_set"), F.count(F.lit(1)).alias("n"))
         .select(
-            split.alias("split"), level.alias("level"),
+            *extra, split.alias("split"), level.alias("level"),
             split2.alias("split2"), level2.alias("level2"), "n",
         )
         .dropna(subset=["level", "level2"])
@@ -108,7 +108,7 @@ def gram(plate: DataFrame, splits=MODEL_SPLITS) -> DataFrame:
     both = F.when(F.col("split") == F.col("split2"), F.array(straight)).otherwise(
         F.array(straight, mirrored)
     )
-    return upper.select(F.inline(both))
+    return upper.select(*extra, F.inline(both))
 
 
 def level_counts(plate: DataFrame, splits=MODEL_SPLITS) -> DataFrame:

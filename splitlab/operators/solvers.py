@@ -39,14 +39,14 @@ class _Progress:
             raise NotConverged(f"{self.what}: residual {self.best:.3g} reached, {self.goal:.3g} asked for")
 
 
-def prepared(gram: DataFrame) -> DataFrame:
-    """The X'X table laid out once for repeated products.
+def prepared(gram: DataFrame, by=()) -> DataFrame:
+    """The X'X table laid out once for repeated products; ``by`` are the keys of separate systems.
 
     Kept partitioned and sorted by the joined side, so that per step only the
     vector moves; a lost block is rebuilt from the written table.
     """
     table = written(gram, "gram")
-    joined = ["split2", "level2"]
+    joined = [*by, "split2", "level2"]
     return (
         table.repartition(*joined)
         .sortWithinPartitions(*joined)
@@ -54,13 +54,13 @@ def prepared(gram: DataFrame) -> DataFrame:
     )
 
 
-def product(gram: DataFrame, vectors: DataFrame, name: str, width: int) -> DataFrame:
-    """X'X times each column of the array column ``name``."""
-    right = vectors.selectExpr("split AS split2", "level AS level2", f"{name} AS _v")
+def product(gram: DataFrame, vectors: DataFrame, name: str, width: int, by=()) -> DataFrame:
+    """X'X times each column of the array column ``name``; with ``by`` keys, system by system."""
+    right = vectors.selectExpr(*by, "split AS split2", "level AS level2", f"{name} AS _v")
     sums = [f"sum(n * _v[{i}])" for i in range(width)]
     return (
-        gram.join(right, ["split2", "level2"])
-        .groupBy(*KEYS)
+        gram.join(right, [*by, "split2", "level2"])
+        .groupBy(*by, *KEYS)
         .agg(F.expr(f"array({', '.join(sums)})").alias(name))
     )
 

@@ -11,7 +11,7 @@ from splitlab.functions.coerce import coerce_cells, coerce_columns
 from splitlab.functions.odds import CLAMPS
 from splitlab.functions.outcomes import FINE_OUTCOMES, OUTCOMES, not_other
 from splitlab.operators import (
-    bins, boards, design, estimates, plate, rates, regress, solvers, spread,
+    bins, boards, design, estimates, plate, rates, regress, seasonal, solvers, spread,
 )
 from splitlab.operators.ranking import ordinal_in_group
 from splitlab.plans import testbed
@@ -300,6 +300,35 @@ def ridge_single_split(spark, sf_dir):
     return rounded(effects, digits=7)
 
 
+def shrunk_by_season(spark, sf_dir):
+    """Effects of every split, each season for itself, in closed form."""
+    counts = written(seasonal.season_counts(batting(spark, sf_dir, sites=True)), "counts")
+    return rounded(seasonal.shrunken_by_season(counts, 100.0), digits=9)
+
+
+def ridge_by_season(spark, sf_dir):
+    """The solver of all seasons at once, where each of them has a closed form."""
+    effects = seasonal.ridge_by_season(batting(spark, sf_dir), 100.0, ["batter"])
+    return rounded(effects, digits=7)
+
+
+def _season_board(spark, sf_dir, split):
+    counts = written(seasonal.season_counts(batting(spark, sf_dir), [split]), "counts")
+    made = seasonal.probabilities_by_season(seasonal.shrunken_by_season(counts, 100.0), counts)
+    return rounded(seasonal.season_board(made, counts, testbed.constants(spark), split), digits=9)
+
+
+def est_top_batters_by_season(spark, sf_dir):
+    """The best batters of every season, by the weights of that season."""
+    board = _season_board(spark, sf_dir, "batter").filter(F.col("PA") >= 20)
+    return seasonal.top_of_season(board, "WOBA", 5, ["batter"])
+
+
+def est_bottom_pitchers_by_season(spark, sf_dir):
+    board = _season_board(spark, sf_dir, "pitcher").filter(F.col("PA") >= 20)
+    return seasonal.top_of_season(board, "FIP", 5, ["pitcher"], ascending=True)
+
+
 def _small(gap_columns, allowed):
     worst = F.greatest(*[F.abs(column) for column in gap_columns])
     return worst <= allowed
@@ -541,6 +570,12 @@ def bins2d(spark, sf_dir):
     return bins.bins2d(rounded(both, digits=9), "SNGL_obs", "HR_obs", 8)
 
 
+def hexbins(spark, sf_dir):
+    counts, made = _shrunk(spark, sf_dir, "share")
+    both = estimates.observed_and_estimated(design.rates_of_counts(counts), made)
+    return rounded(bins.hexbins(rounded(both, digits=9), "SNGL_obs", "HR_obs", 9), digits=9)
+
+
 def kde2d(spark, sf_dir):
     table = rates.split_rates(batting(spark, sf_dir, sites=True))
     return rounded(bins.kde2d(table, "SNGL", "HR", "PA", 0.02), digits=9)
@@ -592,6 +627,7 @@ def queries() -> dict[str, Query]:
         html_promoted, html_table, coerced_columns, coerced_cells, dh_value_full_season,
         dh_value_full_career, dh_value_ordered, overrated_by_runs, hand_matchup_counts,
         rates_all_splits_by_season, hist_estimates, logistic_shares, lasso_single_split,
+        shrunk_by_season, ridge_by_season, est_top_batters_by_season, est_bottom_pitchers_by_season, hexbins,
     ):
         found[query.__name__] = query
     return found

@@ -263,6 +263,12 @@ SHARE_EFFECTS = "eff AS (SELECT split, level, n, {} FROM tally, means)".format(
 LOGIT_EFFECTS = "eff AS (SELECT split, level, n, {} FROM tally, means)".format(
     ", ".join(f"(c_{e} * {HIGH} + (n - c_{e}) * {LOW} - n * {log_odds('m_' + e)}) / (n + 100) AS b_{e}" for e in SIX)
 )
+SEASON_EFFECTS = "{kept}, means AS (SELECT season, {means} FROM kept WHERE season IS NOT NULL GROUP BY season), tally AS (SELECT season, split, level, count(*) AS n, count(event) AS PA, {cells} FROM ({levels}) WHERE season IS NOT NULL GROUP BY season, split, level), eff AS (SELECT season, split, level, PA, {effects} FROM tally JOIN means USING (season))".format(
+    kept=KEPT, levels=levels(),
+    means=", ".join(f"count(*) FILTER (WHERE event = '{e}') / CAST(count(event) AS DOUBLE) AS m_{e}" for e in SIX),
+    cells=", ".join(f"count(*) FILTER (WHERE event = '{e}') AS c_{e}" for e in SIX),
+    effects=", ".join(f"m_{e}, (c_{e} - n * m_{e}) / (n + 100) AS b_{e}" for e in SIX),
+)
 EST = "est AS (SELECT split, level, {} FROM eff, means)".format(", ".join(f"b_{e} + m_{e} AS {e}" for e in SIX))
 SHRUNK = f"{ROWS}, {SHARE_EFFECTS}, {EST}"
 OBS = ALL_RATES
@@ -294,8 +300,31 @@ b AS (SELECT e.level AS {split}, p.Name, r.PA, {", ".join("e." + x for x in SIX)
 SELECT * FROM (SELECT {split}, {columns} FROM b {tail}"""
 
 
+def season_board_sql(split: str, metric: str, order: str) -> str:
+    """The first five of every season by estimates with the season's own weights."""
+    return f"""WITH {SEASON_EFFECTS}, {CONSTS},
+est AS (SELECT season, level AS {split}, PA, {", ".join(f"b_{e} + m_{e} AS {e}" for e in SIX)} FROM eff WHERE split = '{split}'),
+b AS (SELECT e.season, {split}, PA, {nine((e, e) for e in SIX)}, {nine(WEIGHTED.items())} FROM est e LEFT JOIN consts c ON e.season = c.Season WHERE PA >= 20),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY season ORDER BY {metric} {order} NULLS LAST, {split}) AS INTEGER) AS place FROM b)
+SELECT * FROM p WHERE place <= 5"""
+
+
 def models() -> dict[str, str]:
     sql = {}
+    sql["shrunk_by_season"] = f"WITH {SEASON_EFFECTS} SELECT season, split, level, {nine((e, 'b_' + e) for e in SIX)} FROM eff"
+    sql["ridge_by_season"] = f"WITH {SEASON_EFFECTS} SELECT season, split, level, " + ", ".join(
+        f"round(b_{e}, 7) AS {e}" for e in SIX
+    ) + " FROM eff WHERE split = 'batter'"
+    sql["est_top_batters_by_season"] = season_board_sql("batter", "WOBA", "DESC")
+    sql["est_bottom_pitchers_by_season"] = season_board_sql("pitcher", "FIP", "ASC")
+    sql["hexbins"] = f"""WITH {KEPT}, {OBS}, v AS (SELECT split, round(SNGL, 9) AS x, round(HR, 9) AS y FROM rates),
+g AS (SELECT split, min(x) AS xlo, (max(x) - min(x)) / 9 AS w, min(y) AS ylo, (max(y) - min(y)) / 5 AS h FROM v GROUP BY split),
+c AS (SELECT v.split, xlo, ylo, w, h, (x - xlo) / w AS u, (y - ylo) / h AS v FROM v JOIN g ON v.split = g.split),
+d AS (SELECT *, pow(u - floor(u + 0.5), 2) + 3 * pow(v - floor(v + 0.5), 2) < pow(u - floor(u) - 0.5, 2) + 3 * pow(v - floor(v) - 0.5, 2) AS near FROM c),
+n AS (SELECT *, CASE WHEN near THEN 0 ELSE 1 END AS lattice, CASE WHEN near THEN 0.0 ELSE 0.5 END AS half FROM d),
+i AS (SELECT *, CAST(floor(u + 0.5 - half) AS INTEGER) AS x_no, CAST(floor(v + 0.5 - half) AS INTEGER) AS y_no FROM n)
+SELECT split, lattice, x_no, y_no, round(min(xlo + w * (x_no + half)), 9) AS x, round(min(ylo + h * (y_no + half)), 9) AS y, count(*) AS n
+FROM i GROUP BY split, lattice, x_no, y_no"""
     pairs = []
     for s in MODEL_SPLITS:
         for t in MODEL_SPLITS:
