@@ -12,14 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitlab.llm.frames import pick, with_ids
 from splitlab.llm.textblock import TextBlock, blocks, mixed, windows
 
 #: Labelled documents that the CRF is trained on, at most.
-TRAIN_DOCS = 4000
+TRAIN_DOCS, TRAIN_LINES = 4000, 200_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_CONTENT = 0.5
@@ -196,8 +196,11 @@ def fit(features: np.ndarray, label: np.ndarray, doc: np.ndarray, rounds: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, doc_id="doc_id", text="text",
-          label_id="doc_id", quality="quality") -> Model | None:
-    """The CRF of a sample of at most ``limit`` labelled documents, the same on every run.
+          label_id="doc_id", quality="quality", most_lines: int = TRAIN_LINES) -> Model | None:
+    """The CRF of a sample of at most ``limit`` labelled documents with ``most_lines`` lines in all, the same on every run.
+
+    Documents are taken in the order of a hash of their ids, and of their texts where an id repeats, until one would
+    be too many; equal rows count once.
 
     Null without two kinds of labels: then nothing is known of boilerplate.
     """
@@ -226,8 +229,17 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, doc_id="d
                 )
 
     rows = pick(docs, doc_id, text).toDF("id", "text")
-    rows = rows.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).limit(2 * limit)
-    found = with_ids(rows.select("id", "text", "quality"), "id", work, "id", "label int, bits binary").toPandas()
+    rows = rows.join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
+    lines = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1
+    rows = rows.select("id", "text", "quality", lines.alias("lines"), F.xxhash64("text").alias("tie"))
+    # the order of the sample is that of its ids and texts; places in it are the sums of lines up to each row
+    order = Window.orderBy(F.xxhash64("id"), "id", "tie")
+    short = rows.select("id", "tie", "lines").orderBy(F.xxhash64("id"), "id", "tie").limit(2 * limit)
+    short = short.withColumn("to", F.sum("lines").over(order)).where(F.col("to") <= most_lines)
+    short = short.groupBy(F.col("id").alias("id_"), F.col("tie").alias("tie_")).agg(F.count("*").alias("times"))
+    rows = rows.join(F.broadcast(short), (F.col("id") == F.col("id_")) & (F.col("tie") == F.col("tie_"))).dropDuplicates(["id", "tie"])
+    rows = rows.select(F.concat_ws(":", "id", "tie").alias("id"), "text", "quality")
+    found = with_ids(rows, "id", work, "id", "label int, bits binary").toPandas()
     if found["label"].nunique() < 2:
         return None
     found["doc"] = found["id"].rank(method="dense").astype("int64")

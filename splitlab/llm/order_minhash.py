@@ -351,6 +351,6 @@ def one_of_each(docs: DataFrame, doc_id="doc_id", text="text", least: float = SI
     out = plain.withColumn("node_", node).join(
         chosen, F.col(key).eqNullSafe(F.col("id")) & (F.col("node_") == F.col("node")), "left_semi"
     )
-    if not chosen.where("times > 1").isEmpty():
-        out = out.dropDuplicates([key, "node_"])
+    if not chosen.where("times > 1").isEmpty():  # of rows with one id and text the least in all columns
+        out = out.groupBy(key, "node_").agg(F.min(F.struct(*plain.columns)).alias("row_")).select("row_.*", "node_")
     return out.drop("node_").toDF(*docs.columns)

@@ -14,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -314,12 +316,15 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS, doc_id="doc_id", text="text"
 def find(text: str, model: Model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) as (start, kind number, end): model spans that no base span of their kind covers join."""
     base = base_spans(text)
+    # spans of one kind do not overlap, so only the last that begins no later can cover another
+    held = [[(start, end) for start, y, end in base if y == kind] for kind in range(len(KINDS))]
     extra = []
     for units in runs(text):
         run = candidates(text, units)
         for i, k, kind in model.decode(run):
             start, end = run.spans[i, k]
-            if not any(y == kind and a <= start and end <= b for a, y, b in base):
+            before = bisect_right(held[kind], start, key=itemgetter(0))
+            if not before or end > held[kind][before - 1][1]:
                 extra.append((start, kind, end))
     return base, sorted(base + extra)
 

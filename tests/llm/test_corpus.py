@@ -283,3 +283,26 @@ def test_alignment_of_no_rows_and_null_ids(spark, none):
     for table_pairs in (100, 0):
         rows = alignment.digests(stored, alignment.pair_counts(stored), table_pairs=table_pairs).collect()
         assert sorted((r.doc_id is None, r.n_a > 0) for r in rows) == [(False, False), (True, True), (True, True)]
+
+
+# long texts and samples of the other operators
+
+
+def test_pii_takes_time_in_proportion_to_a_text():
+    from splitlab.llm import pii
+
+    model = pii.Model(np.zeros((len(pii.FEATURES), len(pii.KINDS))), np.zeros((len(pii.KINDS) + 1, len(pii.KINDS) + 1)))
+    line = "10.20.30.40\n"
+    base, spans = pii.find(line * 60_000, model)
+    assert len(base) == 60_000 and set(base) <= set(spans)
+
+
+def test_line_model_does_not_depend_on_partitions_and_is_bounded(spark):
+    from splitlab.llm import line_labels
+
+    rng = random.Random(6)
+    texts = ["\n".join(" ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 9))) for _ in range(20)) for _ in range(60)]
+    docs = spark.createDataFrame([(i % 12, t) for i, t in enumerate(texts)] + [(3, "x\n" * 200_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    models = [line_labels.train(docs.repartition(n), labels, limit=40, most_lines=900) for n in (1, 3, 7)]
+    assert all(np.allclose(models[0].weights, m.weights) and np.allclose(models[0].turns, m.turns) for m in models[1:])
