@@ -93,7 +93,7 @@ def test_hexagons_take_the_nearest_centre(spark):
     wide, high = np.ptp(x) / 8, np.ptp(y) / 4
     centres = [
         (lattice, i, j, x.min() + wide * (i + lattice / 2), y.min() + high * (j + lattice / 2))
-        for lattice in (0, 1) for i in range(-1, 10) for j in range(-1, 6)
+        for lattice in (0, 1) for i in range(10) for j in range(6)
     ]
     place = np.array([c[3:] for c in centres])
     away = ((x[:, None] - place[:, 0]) / wide) ** 2 + 3 * ((y[:, None] - place[:, 1]) / high) ** 2
