@@ -62,10 +62,11 @@ CLOSES = {name: (frozenset(["p"]), frozenset(["td", "th", "caption", "button", "
 }
 #: An end tag does not reach beyond these, unless it names one of them.
 _WALLS = frozenset(["table", "td", "th", "caption"])
+_TABLE_ENDS = _WALLS | {"tr", "tbody", "thead", "tfoot"}
 GROUPS = frozenset(["thead", "tbody", "tfoot"])
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_SHOWS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 #: HTML white space.
 _BLANK = " \t\n\f\r"
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
@@ -182,7 +183,15 @@ def build(page: str) -> Element:
     """The tree of a page; children are elements and decoded texts."""
     root = Element("html", {})
     stack = [root]
-    counts = {"html": 1}
+    places: dict[str, list[int]] = {"html": [0]}  # where each tag stands in the stack, so that no search walks it
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     for event in scan(page):
         if event[0] == "text":
             raw = event[1]
@@ -198,38 +207,27 @@ def build(page: str) -> Element:
                 continue
             if stack[-1].inner and tag in ENDS_FOREIGN:
                 while stack[-1].inner:
-                    counts[stack.pop().tag] -= 1
+                    cut(len(stack) - 1)
             ends, walls = CLOSES.get(tag, (None, None))
-            if ends and any(counts.get(e) for e in ends):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in ends:
-                        for gone in stack[i:]:
-                            counts[gone.tag] -= 1
-                        del stack[i:]
-                        if tag not in ("tr", "thead", "tbody", "tfoot", "optgroup", "li", "dt", "dd"):
-                            break
-                    elif stack[i].tag in walls:
-                        break
+            while ends and (i := last(ends)) and last(walls - ends) < i:
+                cut(i)
+                if tag not in ("tr", "thead", "tbody", "tfoot", "optgroup", "li", "dt", "dd"):
+                    break
             element = Element(tag, _attributes(attributes), stack[-1])
             stack[-1].children.append(element)
             if tag not in VOID and not (alone and (element.foreign or tag == "path")):
+                places.setdefault(tag, []).append(len(stack))
                 stack.append(element)
-                counts[tag] = counts.get(tag, 0) + 1
         else:
             tag = event[1]
             if tag == "br":
                 stack[-1].children.append(Element("br", {}))
-            elif tag == "p" and not counts.get("p"):
+            elif tag == "p" and not places.get("p"):
                 stack[-1].children.append(Element("p", {}))
-            elif tag not in ("html", "body") and counts.get(tag):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        for gone in stack[i:]:
-                            counts[gone.tag] -= 1
-                        del stack[i:]
-                        break
-                    if stack[i].tag in _WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption"):
-                        break
+            elif tag not in ("html", "body") and places.get(tag):
+                i = places[tag][-1]
+                if tag in _TABLE_ENDS or last(_WALLS - {tag}) < i:
+                    cut(i)
     return root
 
 
@@ -245,7 +243,10 @@ def visible(element: Element) -> bool:
         or attributes.get("visibility") in ("hidden", "collapse")
     ):
         return False
-    return not ("style" in attributes and _HIDES.search(attributes["style"]))
+    if "style" not in attributes:
+        return True
+    style = {name.lower(): value.lower() for name, value in _SHOWS.findall(attributes["style"])}  # the last one holds
+    return style.get("display") != "none" and style.get("visibility") not in ("hidden", "collapse")
 
 
 class Lines:

@@ -306,3 +306,67 @@ def test_line_model_does_not_depend_on_partitions_and_is_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
     models = [line_labels.train(docs.repartition(n), labels, limit=40, most_lines=900) for n in (1, 3, 7)]
     assert all(np.allclose(models[0].weights, m.weights) and np.allclose(models[0].turns, m.turns) for m in models[1:])
+
+
+def plain_tree(page):
+    """The tree by walking the stack for every tag: (tag, children) of its elements and texts."""
+    from splitlab.llm import html_text as h
+
+    root = ["html", []]
+    stack = [root]
+    for event in h.scan(page):
+        if event[0] == "text":
+            stack[-1][1].append(event[1])
+        elif event[0] == "open":
+            tag = event[1]
+            ends, walls = h.CLOSES.get(tag, ((), ()))
+            i = len(stack) - 1
+            while i > 0:
+                if stack[i][0] in ends:
+                    del stack[i:]
+                    if tag not in ("tr", "thead", "tbody", "tfoot", "optgroup", "li", "dt", "dd"):
+                        break
+                elif stack[i][0] in walls:
+                    break
+                i -= 1
+            element = [tag, []]
+            stack[-1][1].append(element)
+            if tag not in h.VOID:
+                stack.append(element)
+        elif event[1] == "p" and not any(e[0] == "p" for e in stack):
+            stack[-1][1].append(["p", []])
+        else:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] == event[1]:
+                    del stack[i:]
+                    break
+                if stack[i][0] in h._WALLS and event[1] not in h._TABLE_ENDS:
+                    break
+    return root
+
+
+def test_tree_equals_a_walk_of_the_stack():
+    from splitlab.llm import html_text as h
+
+    def shape(element):
+        return [element.tag, [c if isinstance(c, str) else shape(c) for c in element.children]]
+
+    rng = random.Random(12)
+    tags = "p div button table tr td th caption thead tbody ul li dl dt dd select option optgroup span b".split()
+    for _ in range(400):
+        page = "".join(rng.choice([f"<{t}>", f"</{t}>", f"<{t}>x"]) for t in rng.choices(tags, k=rng.randint(1, 60)))
+        assert shape(h.build(page)) == plain_tree(page)
+
+
+def test_deep_pages_take_time_in_proportion():
+    from splitlab.llm import html_text as h
+
+    assert len(h.build("<p><button>" + "<div>" * 100_000 + "x").children) == 1
+    assert len(h.build("<td>" + "<b>" * 100_000 + "</i></p></div>" * 50_000).children) == 1
+
+
+def test_the_last_declaration_shows_or_hides():
+    from splitlab.llm import html_text as h
+
+    page = '<p style="display:none;display:block">seen</p><p style="Display: block; display:NONE">not</p>'
+    assert h.page_text(page).split() == ["seen"]
