@@ -19,6 +19,13 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(width)).first()[0] or 0
 
 
+def is_small(df: DataFrame, max_bytes: int | None = None) -> bool:
+    """Whether ``df`` measures no more than ``max_bytes``, by default the session's broadcast limit."""
+    if max_bytes is None:
+        max_bytes = size_in_bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    return max_bytes > 0 and measured_bytes(df) <= max_bytes
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it measures below the session's limit.
 
@@ -26,11 +33,7 @@ def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame
     tables need no hint. Above the limit the join is left to the optimizer: a
     sort-merge join whose skewed partitions AQE splits.
     """
-    if max_bytes is None:
-        max_bytes = size_in_bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
-    if max_bytes <= 0 or measured_bytes(df) > max_bytes:
-        return df
-    return F.broadcast(df)
+    return F.broadcast(df) if is_small(df, max_bytes) else df
 
 
 def attach(

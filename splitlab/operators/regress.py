@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitlab.functions.odds import CLAMPS
 from splitlab.functions.outcomes import OUTCOMES, not_other
-from splitlab.operators import design
+from splitlab.operators import design, softmax
 from splitlab.operators.estimates import fitted
 from splitlab.operators.plate import MODEL_SPLITS
 from splitlab.operators.rates import TOTAL, by_each_split
 from splitlab.operators.solvers import (
-    KEYS, NotConverged, column_product, conjugate_gradient, least_norm, prepared, scaled,
+    KEYS, column_product, conjugate_gradient, least_norm, prepared, scaled,
     soft_threshold_descent,
 )
 from splitlab.session import written
 
 
-MOST_ITERATIONS = 1000
-
-
 def _system(plate, splits, space, clamp_pair, tau=None):
     """Both sides of the normal equations and the counts behind them.
 
@@ -95,15 +90,6 @@ def normal_gap(
     )
 
 
-def _effect_table(spark, labels, columns: dict) -> DataFrame:
-    rows = [
-        (*label, *[float(values[i]) for values in columns.values()])
-        for i, label in enumerate(labels)
-    ]
-    kinds = ", ".join(f"{name} double" for name in columns)
-    return spark.createDataFrame(rows, f"split string, level string, {kinds}")
-
-
 def least_squares(
     plate: DataFrame, splits=MODEL_SPLITS, space="logit", clamp_pair=CLAMPS["narrow"]
 ) -> DataFrame:
@@ -133,36 +119,10 @@ def multinomial(
 
     ``weights`` is (event, w), such as ``class_weights``. Returns the effects
     (split, level, one column per class) and the intercepts (event, b). Events with
-    equal levels and class are one row that weighs as many; ``NotConverged`` is
-    raised if the learner stops at its bound of iterations.
+    equal levels are one row with a weight per class; effects are a written table and never
+    pass the driver. ``NotConverged`` is raised when steps stop helping.
     """
-    spark = plate.sparkSession
-    events = plate.filter(F.col("event").isNotNull() & not_other())
-    events = events.groupBy(*splits, "event").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    rows, labels = design.vector_design(events, splits, ["event", "n"])
-    classes = StringIndexer(inputCol="event", outputCol="label", stringOrderType="alphabetAsc")
-    indexed = classes.fit(rows)
-    rows = indexed.transform(rows)
-    if weights is None:
-        rows = rows.withColumn("w", F.col("n"))
-    else:
-        # one row per outcome class
-        rows = rows.join(F.broadcast(weights.select("event", "w")), "event")
-        rows = rows.withColumn("w", F.col("w") * F.col("n"))
-    rows = written(rows.select("features", "label", "w"), "design")
-    learner = LogisticRegression(
-        family="multinomial", weightCol="w", standardization=False, fitIntercept=True,
-        elasticNetParam=0.0, regParam=1.0 / (c * rows.agg(F.sum("w")).first()[0]),
-        tol=1e-9, maxIter=MOST_ITERATIONS,
-    )
-    model = learner.fit(rows)
-    if model.summary.totalIterations >= MOST_ITERATIONS:
-        raise NotConverged(f"multinomial: {MOST_ITERATIONS} iterations")
-    names = list(indexed.labels)
-    matrix = model.coefficientMatrix.toArray()
-    effects = _effect_table(spark, labels, dict(zip(names, matrix)))
-    intercepts = [(e, float(b)) for e, b in zip(names, model.interceptVector.toArray())]
-    return effects, spark.createDataFrame(intercepts, "event string, b double")
+    return softmax.fit(plate, splits, weights, c)
 
 
 def _softmax(events, effects, intercepts, splits, classes) -> DataFrame:

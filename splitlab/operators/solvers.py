@@ -9,6 +9,7 @@ the shared work folder, which keeps plans short and survives lost executors.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -264,10 +265,41 @@ def soft_threshold_descent(
     return state.selectExpr(*KEYS, *[f"b[{i}] AS {c}" for i, c in enumerate(columns)])
 
 
-def _sums(table: DataFrame, left, right) -> np.ndarray:
-    """Inner products of two lists of columns, as a small matrix."""
-    cells = [F.sum(F.col(a) * F.col(b)) for a in left for b in right]
-    return np.array(table.agg(*cells).first(), dtype=float).reshape(len(left), len(right))
+def inner_products(table: DataFrame, name: str) -> np.ndarray:
+    """Inner products of the vectors in ``name``, an array of equally long arrays per row.
+
+    Vector i is made of the entries i of all rows. Every task adds the products of its
+    rows into one small matrix; the plan is the same for any number of vectors.
+    """
+
+    def sums(batches):
+        total = None
+        for batch in batches:
+            rows = batch.column(0)
+            if not len(rows):
+                continue
+            cells = rows.flatten()
+            flat = cells.flatten().to_numpy(zero_copy_only=False)
+            count = len(cells) // len(rows)
+            each = flat.reshape(len(rows), count, len(flat) // max(len(cells), 1))
+            each = each.transpose(1, 0, 2).reshape(count, -1)
+            total = each @ each.T if total is None else total + each @ each.T
+        if total is not None:
+            at = np.arange(len(total), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(at, len(at))), pa.array(np.tile(at, len(at))),
+                    pa.array(total.ravel()),
+                ],
+                ["i", "j", "p"],
+            )
+
+    parts = table.select(name).mapInArrow(sums, "i int, j int, p double")
+    found = parts.groupBy("i", "j").agg(F.sum("p").alias("p")).toPandas()
+    size = int(found["i"].max()) + 1 if len(found) else 0
+    made = np.zeros((size, size))
+    made[found["i"], found["j"]] = found["p"]
+    return made
 
 
 def least_norm(
@@ -293,7 +325,9 @@ def least_norm(
         .withColumns({c: F.col(c) - F.col(f"s_{c}") for c in names}),
         "null",
     )
-    values, vectors = np.linalg.eigh(_sums(table, names, names))
+    packed = table.select(F.transform(F.array(*names, *columns), lambda u: F.array(u)).alias("v"))
+    inner = inner_products(packed, "v")
+    values, vectors = np.linalg.eigh(inner[:probes, :probes])
     found = values > tol
     nullity = int(found.sum())
     if nullity == probes and table.count() > probes:
@@ -301,12 +335,13 @@ def least_norm(
     if not columns or not nullity:
         return table.select(*KEYS, *columns), nullity
     basis = vectors[:, found] / values[found]
-    weights = basis @ (vectors[:, found].T @ _sums(table, names, columns))
+    weights = basis @ (vectors[:, found].T @ inner[:probes, probes:])
+    span = F.array(*names)
     moved = [
-        f"{c} - ({' + '.join(f'{float(w)!r}D * {z}' for w, z in zip(weights[:, j], names))}) AS {c}"
+        f"{c} - aggregate(zip_with(_span, {_numbers(weights[:, j])}, (u, w) -> u * w), 0D, (a, u) -> a + u) AS {c}"
         for j, c in enumerate(columns)
     ]
-    return table.selectExpr(*KEYS, *moved), nullity
+    return table.withColumn("_span", span).selectExpr(*KEYS, *moved), nullity
 
 
 def gram_rank(gram: DataFrame) -> DataFrame:
