@@ -12,8 +12,7 @@ from splitlab.operators.estimates import fitted
 from splitlab.operators.plate import MODEL_SPLITS
 from splitlab.operators.rates import TOTAL, by_each_split
 from splitlab.operators.solvers import (
-    KEYS, column_product, conjugate_gradient, least_norm, prepared, scaled,
-    soft_threshold_descent,
+    KEYS, active_set_lasso, column_product, conjugate_gradient, least_norm, prepared, scaled,
 )
 from splitlab.session import written
 
@@ -106,7 +105,7 @@ def lasso(
     """Lasso without intercept: minimises |y - Xb|^2 / 2N + alpha |b|_1."""
     left, rhs, counts = _system(plate, splits, space, clamp_pair)
     total = counts.filter(F.col("split") == TOTAL).first()["n"]
-    found = soft_threshold_descent(left, rhs, OUTCOMES, alpha * total)
+    found = active_set_lasso(left, rhs, OUTCOMES, alpha * total)
     effects = written(found, "effects")
     left.unpersist()
     return effects

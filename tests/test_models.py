@@ -92,7 +92,10 @@ def test_least_squares_fit(events):
     assert found == pytest.approx(best, abs=1e-6)
 
 
-def test_lasso_conditions(events):
+@pytest.mark.parametrize("cells", [solvers.ACTIVE_CELLS, 0])
+def test_lasso_conditions(events, monkeypatch, cells):
+    # with no cells allowed in a task, the active levels are solved by distributed steps
+    monkeypatch.setattr(solvers, "ACTIVE_CELLS", cells)
     alpha = 0.2
     labels, x, y = dense("logit")
     b = matrix(regress.lasso(events, alpha, SPLITS), labels)
@@ -135,6 +138,15 @@ def test_multinomial_gradient(events, weighted):
     assert np.abs(matrix(gap, labels, names)).max() < 1e-3
 
 
+def test_inner_products(spark):
+    rng = np.random.default_rng(3)
+    cells = rng.normal(size=(50, 4, 3))
+    table = spark.createDataFrame([(row.tolist(),) for row in cells], "v array<array<double>>")
+    flat = cells.transpose(1, 0, 2).reshape(4, -1)
+    assert solvers.inner_products(table, "v") == pytest.approx(flat @ flat.T)
+    assert solvers.inner_products(table.filter("false"), "v").shape == (0, 0)
+
+
 def test_class_weights(events):
     made = {r.event: r for r in design.class_weights(events, "balanced").collect()}
     n = {e: sum(r[3] == e for r in ROWS) for e in OUTCOMES}
