@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,3 +125,73 @@ def kde2d(
             (F.sum(kernel) / F.sum(weight) / F.lit(2 * bandwidth**2) / F.pi()).alias("density"),
         )
     )
+
+
+def density_error(bandwidth: float, fineness: int = 16, reach: float = 6.0) -> float:
+    """The most by which ``binned_density`` differs from ``kde2d`` anywhere.
+
+    Between lattice places the kernel is replaced by a line: off by at most an eighth of the squared spacing times its
+    second derivative, on each axis. A kernel value that is cut off is at most exp(-reach² / 2).
+    """
+    return (0.25 / fineness**2 + math.exp(-(reach**2) / 2)) / (2 * math.pi * bandwidth**2)
+
+
+def binned_density(
+    points: DataFrame, x: str, y: str, weight: str, bandwidth: float, grid: int = 12, fineness: int = 16, reach: float = 6.0
+) -> DataFrame:
+    """The density of ``kde2d`` by linear binning and one pass an axis, within ``density_error``.
+
+    Every point's weight is dealt to the four places around it on a lattice that holds the grid and is at least
+    ``fineness`` times finer than the bandwidth: four rows a point whatever the grid, added up in each task
+    before they are shuffled. The kernel is a product, so the weights of a lattice row go to the grid's columns
+    first, and those sums to its rows, each to the grid points within ``reach`` bandwidths. After the binning, work
+    grows with the occupied places only. Points without a coordinate or weight are left out; a split without weight has
+    null densities. Columns as of ``kde2d``, one row for every grid point.
+    """
+    points = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(weight).isNotNull())
+    ranges = _ranges(points, x, y)
+    for a in "xy":
+        step = (F.col(f"_{a}hi") - F.col(f"_{a}lo")) / (grid - 1)
+        ranges = ranges.withColumn(f"_{a}step", step)
+        # lattice places from one grid point to the next
+        ranges = ranges.withColumn(f"_{a}parts", F.ceil(F.col(f"_{a}step") * fineness / bandwidth).cast("long"))
+    placed = points.join(F.broadcast(ranges), "split")
+    for a, c in (("x", x), ("y", y)):
+        spacing = F.col(f"_{a}step") / F.col(f"_{a}parts")
+        placed = placed.withColumn(f"_{a}at", (F.col(c) - F.col(f"_{a}lo")) / spacing)
+
+    def sides(a: str) -> Column:
+        at, low = F.col(f"_{a}at"), F.floor(F.col(f"_{a}at"))
+        pair = F.array(*(F.struct(no.alias("no"), part.alias("part")) for no, part in ((low, 1 - (at - low)), (low + 1, at - low))))
+        return F.explode(F.filter(pair, lambda s: s["part"] > 0))
+
+    corners = placed.withColumn("_xs", sides("x")).withColumn("_ys", sides("y"))
+    dealt = corners.groupBy("split", F.col("_xs.no").alias("_x"), F.col("_ys.no").alias("_y")).agg(
+        F.sum(F.col(weight) * F.col("_xs.part") * F.col("_ys.part")).alias("_w")
+    )
+
+    def spread(sums: DataFrame, a: str, keys: list[str]) -> DataFrame:
+        """The sums along an axis, brought to its grid points."""
+        spacing = F.col(f"_{a}step") / F.col(f"_{a}parts")
+        far = F.floor(F.lit(reach * bandwidth) / spacing)
+        place, parts = F.col(f"_{a}"), F.col(f"_{a}parts")
+        near = F.filter(F.sequence(F.lit(0), F.lit(grid - 1)), lambda g: F.abs(place - g * parts) <= far)
+        gap = (F.col(f"_{a}") - F.col(f"{a}_no") * parts) * spacing
+        kernel = F.exp(-(gap * gap) / (2 * bandwidth**2))
+        return (
+            sums.join(F.broadcast(ranges), "split")
+            .withColumn(f"{a}_no", F.explode(near))
+            .groupBy("split", f"{a}_no", *keys)
+            .agg(F.sum(F.col("_w") * kernel).alias("_w"))
+        )
+
+    sums = spread(spread(dealt, "x", ["_y"]), "y", ["x_no"])
+    totals = points.groupBy("split").agg(F.sum(weight).alias("_all"))
+    spots = F.sequence(F.lit(0), F.lit(grid - 1))
+    frame = ranges.join(totals, "split").withColumn("x_no", F.explode(spots)).withColumn("y_no", F.explode(spots))
+    scale = F.lit(2 * bandwidth**2) * F.pi()
+    return frame.join(sums, ["split", "x_no", "y_no"], "left").select(
+        "split", "x_no", "y_no",
+        *((F.col(f"_{a}lo") + F.col(f"_{a}step") * F.col(f"{a}_no")).alias(a) for a in "xy"),
+        (F.coalesce("_w", F.lit(0.0)) / F.nullif(F.col("_all"), F.lit(0)) / scale).alias("density"),
+    )

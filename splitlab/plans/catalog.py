@@ -581,6 +581,11 @@ def kde2d(spark, sf_dir):
     return rounded(bins.kde2d(table, "SNGL", "HR", "PA", 0.02), digits=9)
 
 
+def binned_density(spark, sf_dir):
+    table = rounded(rates.split_rates(batting(spark, sf_dir, sites=True)).select("split", "SNGL", "HR", "PA"), digits=9)
+    return rounded(bins.binned_density(table, "SNGL", "HR", "PA", 0.02), digits=8)
+
+
 def html_cells(spark, sf_dir):
     pages = testbed.board_pages(spark, sf_dir)
     return html_tables.leaderboard_cells(html_tables.table_cells(pages, testbed.BOARD_ID))
@@ -628,6 +633,7 @@ def queries() -> dict[str, Query]:
         dh_value_full_career, dh_value_ordered, overrated_by_runs, hand_matchup_counts,
         rates_all_splits_by_season, hist_estimates, logistic_shares, lasso_single_split,
         shrunk_by_season, ridge_by_season, est_top_batters_by_season, est_bottom_pitchers_by_season, hexbins,
+        binned_density,
     ):
         found[query.__name__] = query
     return found

@@ -424,6 +424,20 @@ s AS (SELECT g.split, i AS x_no, j AS y_no, xlo + (xhi - xlo) / 11 * i AS x, ylo
 SELECT s.split, CAST(x_no AS INTEGER) AS x_no, CAST(y_no AS INTEGER) AS y_no, round(x, 9) AS x, round(y, 9) AS y,
   round(sum(PA * exp(-(pow(px - x, 2) + pow(py - y, 2)) / (2 * pow(CAST(0.02 AS DOUBLE), 2)))) / sum(PA) / (2 * pow(CAST(0.02 AS DOUBLE), 2)) / pi(), 9) AS density
 FROM s JOIN v ON s.split = v.split GROUP BY s.split, x_no, y_no, x, y"""
+    sql["binned_density"] = f"""WITH {KEPT}, {OBS}, v AS (SELECT split, round(SNGL, 9) AS px, round(HR, 9) AS py, PA FROM rates WHERE SNGL IS NOT NULL AND HR IS NOT NULL),
+r AS (SELECT split, min(px) AS xlo, (max(px) - min(px)) / 11 AS xstep, min(py) AS ylo, (max(py) - min(py)) / 11 AS ystep, sum(PA) AS whole FROM v GROUP BY split),
+g AS (SELECT *, ceil(xstep * 16 / CAST(0.02 AS DOUBLE)) AS xparts, ceil(ystep * 16 / CAST(0.02 AS DOUBLE)) AS yparts FROM r),
+p AS (SELECT v.split, PA, (px - xlo) / (xstep / xparts) AS u, (py - ylo) / (ystep / yparts) AS w FROM v JOIN g ON v.split = g.split),
+d AS (SELECT split, floor(u) + i AS a, floor(w) + j AS b,
+  sum(PA * CASE WHEN i = 0 THEN 1 - (u - floor(u)) ELSE u - floor(u) END * CASE WHEN j = 0 THEN 1 - (w - floor(w)) ELSE w - floor(w) END) AS amount
+  FROM p CROSS JOIN range(2) s(i) CROSS JOIN range(2) t(j) GROUP BY ALL),
+s AS (SELECT g.*, i AS x_no, j AS y_no FROM g CROSS JOIN range(12) a(i) CROSS JOIN range(12) b(j))
+SELECT s.split, CAST(x_no AS INTEGER) AS x_no, CAST(y_no AS INTEGER) AS y_no, round(min(xlo + xstep * x_no), 8) AS x, round(min(ylo + ystep * y_no), 8) AS y,
+  round(coalesce(sum(amount * exp(-pow((a - x_no * xparts) * (xstep / xparts), 2) / (2 * pow(CAST(0.02 AS DOUBLE), 2)))
+    * exp(-pow((b - y_no * yparts) * (ystep / yparts), 2) / (2 * pow(CAST(0.02 AS DOUBLE), 2)))), 0) / min(whole) / (2 * pow(CAST(0.02 AS DOUBLE), 2)) / pi(), 8) AS density
+FROM s LEFT JOIN d ON s.split = d.split AND abs(a - x_no * xparts) <= floor(6 * CAST(0.02 AS DOUBLE) / (xstep / xparts))
+  AND abs(b - y_no * yparts) <= floor(6 * CAST(0.02 AS DOUBLE) / (ystep / yparts))
+GROUP BY s.split, x_no, y_no"""
     return sql
 
 

@@ -110,3 +110,32 @@ def test_bins_and_density(spark):
     for r in bins.kde2d(df, "x", "y", "PA", h, 4).collect():
         kernel = np.exp(-((x - r.x) ** 2 + (y - r.y) ** 2) / (2 * h * h)) / (2 * np.pi * h * h)
         assert r.density == pytest.approx((w * kernel).sum() / w.sum())
+
+
+def test_binned_density_within_its_error(spark):
+    """Clusters far apart, one point alone, a range of no width: off by less than the stated error."""
+    rng = np.random.default_rng(8)
+    rows = [("a", float(c + rng.normal(0, 0.02)), float(rng.random()), int(w)) for c in (0, 3) for w in rng.integers(1, 9, 40)]
+    rows += [("b", 0.3, 0.7, 5), ("c", 0.5, 0.1, 1), ("c", 0.5, 0.4, 2)]
+    odd = [("a", None, 0.5, 3), ("a", 0.5, None, 3), ("d", 0.0, 0.0, 0), ("d", 1.0, 1.0, 0)]
+    schema = "split string, x double, y double, PA bigint"
+    df = spark.createDataFrame(rows + odd, schema)
+    plain = {(r.split, r.x_no, r.y_no): r for r in bins.kde2d(spark.createDataFrame(rows, schema), "x", "y", "PA", 0.1, 5).collect()}
+    for fineness in (2, 16):
+        made = {(r.split, r.x_no, r.y_no): r for r in bins.binned_density(df, "x", "y", "PA", 0.1, 5, fineness).collect()}
+        assert len(made) == 4 * 25
+        assert all(r.density is None for k, r in made.items() if k[0] == "d")
+        allowed, worst = bins.density_error(0.1, fineness), 0.0
+        for key, r in plain.items():
+            assert (made[key].x, made[key].y) == pytest.approx((r.x, r.y))
+            worst = max(worst, abs(made[key].density - r.density))
+        assert worst <= allowed + 1e-12
+    assert not bins.binned_density(df.limit(0), "x", "y", "PA", 0.1).collect()
+
+
+def test_binned_density_keeps_the_mass(spark):
+    rows = [("s", i / 97, (i * 7 % 97) / 97, 1) for i in range(98)]
+    df = spark.createDataFrame(rows, "split string, x double, y double, PA bigint")
+    dealt = bins.binned_density(df, "x", "y", "PA", 0.05, 50)
+    total = sum(r.density for r in dealt.collect()) / 49 / 49
+    assert 0.7 < total < 1.05  # mass beyond the range is not on the grid
