@@ -1,14 +1,16 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
 * Lexicon voters are words and word beginnings that labelled training documents show to be far likelier in toxic
-  texts; pattern voters look at shape (masked or digit-spelled terms, address, shouting, no term at all).
-* The label model is class-conditional: each voter has a chance of each vote (toxic, clean) under either
-  class, found by EM, in which a training label is one more voter of fixed accuracy; not to vote says nothing. Voters that agree beyond what the class explains are correlated; the model
-  estimates these correlations and lets a group of such votes on one text count about as one.
+  texts, and words far likelier in clean ones, which vote where no toxic term is found; pattern voters look at shape
+  (masked or digit-spelled terms, address, shouting, one stray term in a long text, no term at all).
+* The label model knows the votes only. Every voter has an accuracy, the chance that its vote is the class; pairs of
+  voters that agree beyond what the class explains are correlated, and a forest of the strongest such pairs enters the
+  posterior, so that two voters which always fire together count as one. EM finds both. Not to vote says nothing.
 * A logistic classifier on term and pattern features is fitted to the posteriors and scores whole texts.
 
-Both fits use a sample of at most ``TRAIN_DOCS`` labelled documents, the same on every run. Labels, language,
-source and id are no inputs of a score.
+Labels choose the lexicon and give the class balance; they are no vote, so posteriors are checked against them. Both
+fits use a sample of at most ``TRAIN_DOCS`` labelled documents, the same on every run. Labels, language, source and id
+are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from splitlab.session import discard, written
 #: Labelled documents to learn from, at most; a third of them toxic where there are enough.
 TRAIN_DOCS = 12_000
 MAX_TERMS = 400
-#: A training label is a voter that is right in 98 of 100 rows, as log odds.
-LABEL_ODDS = 4.0
+#: Votes that each voter is thought to have cast in either class before its own.
+PSEUDO = 0.5
 #: A term occurs in so many toxic sample documents at least, is so many times likelier there, and its counts are
 #: so far from chance (log-likelihood ratio: a term among a hundred thousand gets there by chance once in hundreds).
 MIN_TOXIC, MIN_LIFT, MIN_EVIDENCE = 6, 20.0, 28.0
@@ -44,7 +46,9 @@ _SPELLED = re.compile(r"[a-z][013457@$]+[a-z]")
 _LETTERS = str.maketrans("013457@$", "oieastas")
 #: Words that address a reader.
 ADDRESS = frozenset("you your u du dich dein ihr tu toi te vous vos ti eres".split())
-PATTERNS = ("masked", "spelled", "addressed", "shouting", "exclaims", "many_terms", "dense_terms", "no_term")
+PATTERNS = ("masked", "spelled", "addressed", "shouting", "exclaims", "many_terms", "dense_terms", "stray_term", "no_term")
+#: Patterns that vote clean when they hold.
+CALM = ("stray_term", "no_term")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,10 +59,12 @@ def held_out(doc_id: Column) -> Column:
 class Lexicon:
     words: dict[str, int] = field(default_factory=dict)
     beginnings: dict[str, int] = field(default_factory=dict)
+    clean: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
         self.keys = {t[:3] for t in [*self.words, *self.beginnings]}
-        self.size = len(self.words) + len(self.beginnings)
+        self.toxic = len(self.words) + len(self.beginnings)
+        self.size = self.toxic + len(self.clean)
 
     def term(self, word: str) -> int:
         found = self.words.get(word, -1)
@@ -69,8 +75,11 @@ class Lexicon:
                     break
         return found
 
-    def look(self, text: str) -> tuple[Counter, list[bool], int]:
-        """(times of each term, pattern by pattern whether it holds, words) of a whole text."""
+    def look(self, text: str) -> tuple[Counter, set[int], list[bool], int]:
+        """(times of each toxic term, clean terms, pattern by pattern whether it holds, words) of a whole text.
+
+        Clean terms are looked for only in texts without a toxic one.
+        """
         low = text.lower()
         words = _WORDS(low)
         keys = self.keys
@@ -88,75 +97,136 @@ class Lexicon:
             )
         addressed = bool(terms) and any(a in ADDRESS and b in terms for a, b in zip(words, words[1:]))
         n, total = len(words), sum(hits.values())
+        masked = "**" in text and bool(_MASKED.search(low))
         marks = [
-            "**" in text and bool(_MASKED.search(low)), spelled, addressed,
+            masked, spelled, addressed,
             len(_SHOUT.findall(text)) * 5 > n > 0, "!!" in text, total >= 3, total * 100 > n > 0,
-            not total and not spelled,
+            total == 1 and n >= 100 and not masked and not spelled, not total and not spelled,
         ]
-        return hits, marks, n
+        calm = {self.clean[w] for w in set(words) if w in self.clean} if self.clean and marks[-1] else set()
+        return hits, calm, marks, n
 
     def features(self, text: str) -> np.ndarray:
         """Term presence, and the pattern marks with the share of terms among words."""
-        hits, marks, n = self.look(text)
+        hits, calm, marks, _ = self.look(text)
         row = np.zeros(self.size + len(PATTERNS) + 1, np.float32)
-        row[list(hits)] = 1
+        row[[*hits, *calm]] = 1
         row[self.size : -1] = marks
         row[-1] = math.log1p(sum(hits.values()))
         return row
 
 
-def votes(features: np.ndarray, terms: int) -> np.ndarray:
-    """1 toxic, -1 clean, 0 none: terms and most patterns vote toxic when they hold, ``no_term`` clean."""
+def votes(features: np.ndarray, lexicon: Lexicon) -> np.ndarray:
+    """1 toxic, -1 clean, 0 none: toxic terms and most patterns vote toxic when they hold, clean terms and ``CALM`` clean.
+
+    A stray term does not vote for itself: the pattern votes in its place.
+    """
     out = features[:, :-1].astype(np.int8)
-    out[:, terms + PATTERNS.index("no_term")] *= -1
+    out[out[:, lexicon.size + PATTERNS.index("stray_term")] > 0, : lexicon.toxic] = 0
+    out[:, lexicon.toxic : lexicon.size] *= -1
+    out[:, [lexicon.size + PATTERNS.index(name) for name in CALM]] *= -1
     return out
 
 
+def _logit(p):
+    return np.log(p) - np.log1p(-p)
+
+
 @dataclass
 class LabelModel:
-    prior: float
-    log_odds: np.ndarray  # voter × vote (-1, 0, 1): log of its chance if toxic over that if clean
-    accuracy: np.ndarray  # of each voter where it votes
-    correlation: np.ndarray  # voter × voter, within a class
+    """Class balance, accuracies and pair terms; a voter has one side, toxic (1) or clean (-1), or abstains."""
 
-    def posterior(self, v: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-        """Chance of toxic given the votes, and given the row's label, one more voter, where it has one."""
+    prior: float
+    base: float  # log odds of a row without votes; the prior odds, or what silence says besides
+    side: np.ndarray
+    accuracy: np.ndarray  # of each voter: chance that the class is its side where it votes
+    pairs: np.ndarray  # (first, second) voter of each tree edge
+    shared: np.ndarray  # of each edge: what both votes say less than the two by themselves, as log odds
+
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        """Chance of toxic given the votes.
+
+        With a_j the accuracy of a voter, its vote multiplies the odds by P(vote | toxic) / P(vote | clean), which by
+        Bayes is (a_j / (1 - a_j))^side over the prior odds; an edge whose ends both vote multiplies them by the
+        ratio of P(both | class) / (P(one | class) P(other | class)) in the two classes.
+        """
         fired = (v != 0).astype(float)
-        odds = np.take_along_axis(self.log_odds, v.T.astype(np.int64) + 1, axis=1).T
-        alike = 1 + fired @ np.clip(self.correlation, 0, None)
-        total = math.log(self.prior / (1 - self.prior)) + (fired * odds / alike).sum(1)
-        if label is not None:
-            total += LABEL_ODDS * (2 * label - 1)
+        total = self.base + fired @ (self.side * _logit(self.accuracy) - _logit(self.prior))
+        if len(self.pairs):
+            total = total + (fired[:, self.pairs[:, 0]] * fired[:, self.pairs[:, 1]]) @ self.shared
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit_label_model(v: np.ndarray, prior: float, label: np.ndarray | None = None, rounds: int = 25) -> LabelModel:
-    """EM with a given class balance; correlations are how voters fire together beyond what the class explains."""
-    m = v.shape[1]
+def _forest(strength: np.ndarray, least: float) -> np.ndarray:
+    """Edges of the spanning forest of greatest strength, of those above ``least``."""
+    m = len(strength)
+    best, source = np.full(m, -np.inf), np.full(m, -1)
+    open_ = np.ones(m, bool)
+    edges = []
+    for _ in range(m):
+        k = int(np.argmax(np.where(open_, best, -np.inf))) if np.isfinite(best[open_]).any() else int(np.argmax(open_))
+        open_[k] = False
+        if source[k] >= 0:
+            edges.append((source[k], k))
+        nearer = open_ & (strength[k] > best) & (strength[k] > least)
+        best[nearer], source[nearer] = strength[k][nearer], k
+    return np.array(edges, int).reshape(-1, 2)
+
+
+def _balance(odds: np.ndarray, prior: float) -> float:
+    """The constant that brings the mean chance to ``prior``."""
+    low, high = -60.0, 60.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        if (1 / (1 + np.exp(-np.clip(middle + odds, -60, 60)))).mean() < prior:
+            low = middle
+        else:
+            high = middle
+    return (low + high) / 2
+
+
+def fit_label_model(v: np.ndarray, prior: float, rounds: int = 50) -> LabelModel:
+    """EM with a given class balance, from votes alone.
+
+    A round weighs rows by their posteriors, finds accuracies, brings the posteriors' mean to the class balance, and takes the forest of the pairs whose votes tell most
+    about each other within the classes (one side, likelihood ratio above ``MIN_EVIDENCE``).
+    """
     lean = v.sum(1)
     p = np.where(lean > 0, 0.9, np.where(lean < 0, 0.02, prior))
+    side = np.where(v.sum(0) >= 0, 1.0, -1.0)
     fired = (v != 0).astype(float)
-    model = None
+    count = fired.sum(0)
     for _ in range(rounds):
-        odds, agree = np.zeros((m, 3)), np.zeros(m)
-        weight = np.stack([1 - p, p])
-        for k in (-1, 0, 1):
-            is_k = (v == k).astype(float)
-            clean, toxic = weight @ is_k
-            odds[:, k + 1] = np.log((toxic + 0.5) / (p.sum() + 1.5)) - np.log((clean + 0.5) / ((1 - p).sum() + 1.5))
-            agree += toxic if k == 1 else clean if k == -1 else 0
-        odds[:, 1] = 0  # not to vote says nothing
-        spread = np.zeros((m, m))
-        for w in weight:
-            mean = (w @ fired) / max(w.sum(), 1e-9)
-            rest = (fired - mean) * np.sqrt(w)[:, None]
-            spread += rest.T @ rest
-        scale = np.sqrt(np.clip(np.diag(spread), 1e-9, None))
-        correlation = spread / np.outer(scale, scale)
-        np.fill_diagonal(correlation, 0)
-        correlation[np.abs(correlation) < 0.1] = 0
-        model = LabelModel(prior, odds, agree / np.maximum((v != 0).sum(0), 1), correlation)
-        new = model.posterior(v, label)
+        toxic = p @ fired
+        rates = (count - toxic + PSEUDO) / ((1 - p).sum() + 2 * PSEUDO), (toxic + PSEUDO) / (p.sum() + 2 * PSEUDO)
+        # accuracies at the given balance, whatever the posteriors' mean is: without it they could drift to one class
+        right = prior * rates[1] / (prior * rates[1] + (1 - prior) * rates[0])
+        accuracy = np.where(side > 0, right, 1 - right)
+        evidence, lift = np.zeros((v.shape[1],) * 2), []
+        for w in (1 - p, p):
+            n = max(w.sum(), 1e-9)
+            both = (fired * w[:, None]).T @ fired
+            one = np.diag(both)
+            chance = np.outer(one, one) / n
+            cells = (
+                (both, chance), (one[:, None] - both, one[:, None] - chance), (one[None] - both, one[None] - chance),
+                (n - one[:, None] - one[None] + both, n - one[:, None] - one[None] + chance),
+            )
+            told = sum(seen * np.log((np.clip(seen, 0, None) + 1e-9) / (np.clip(due, 0, None) + 1e-9)) for seen, due in cells)
+            evidence += np.where(both > chance, 2 * told, 0)
+            rare, often = np.minimum.outer(one, one), np.maximum.outer(one, one) / n + 1e-9
+            lift.append(np.log((both + PSEUDO * often) / (rare + PSEUDO) / often))
+        evidence *= np.equal.outer(side, side)
+        np.fill_diagonal(evidence, 0)
+        pairs = _forest(evidence, MIN_EVIDENCE)
+        shared = (lift[1] - lift[0])[pairs[:, 0], pairs[:, 1]]
+        # what two votes share is at most what the weaker of them says
+        ends = (side * _logit(accuracy) - _logit(prior))[pairs]
+        most = np.where(ends[:, 0] * ends[:, 1] > 0, np.abs(ends).min(1), 0.0)
+        shared = np.where(ends[:, 0] > 0, np.clip(shared, -most, 0), np.clip(shared, 0, most))
+        model = LabelModel(prior, 0.0, side, accuracy, pairs, shared)
+        model.base = _balance(_logit(np.clip(model.posterior(v), 1e-13, 1 - 1e-13)), prior)
+        new = model.posterior(v)
         if np.abs(new - p).max() < 1e-4:
             break
         p = new
@@ -202,12 +272,13 @@ def _sample(docs: DataFrame, labels: DataFrame, limit: int, skip: Column | None)
     toxic = known.where("toxic = 1").orderBy(spread, "label_id").limit(limit // 3)
     clean = known.where("toxic = 0").orderBy(spread, "label_id").limit(limit - limit // 3)
     chosen = F.broadcast(toxic.union(clean))
-    found = docs.join(chosen, F.col("id") == F.col("label_id")).select("text", "toxic").limit(2 * limit)
-    return found.repartition(shuffle_width(docs), F.xxhash64("text"))
+    # of rows that share an id the least text: one row a label, the same on every run
+    found = docs.join(chosen, F.col("id") == F.col("label_id")).groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return found.repartition(shuffle_width(docs), "id").select("text", "toxic")
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Words and word beginnings of toxic sample texts, by document counts in both classes."""
+    """Words and word beginnings of toxic sample texts, and words of clean ones, by document counts in both classes."""
 
     def count(batches):
         for batch in batches:
@@ -238,6 +309,10 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         F.col("bad") * F.log(F.col("bad") / (both * share))
         + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (both * (1 - share)))).otherwise(0)
     )
+    calm_evidence = 2 * (
+        F.col("good") * F.log(F.col("good") / (both * (1 - share)))
+        + F.when(F.col("bad") > 0, F.col("bad") * F.log(F.col("bad") / (both * share))).otherwise(0)
+    )
     best = (
         counts.where((F.col("term") != "") & (F.col("bad") >= MIN_TOXIC) & (lift >= MIN_LIFT))
         .withColumn("evidence", evidence)
@@ -258,18 +333,31 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
             break
         support[plain] = row["bad"]
         (begun if row["term"].startswith("^") else words).append(plain)
+    calm = (
+        counts.where(~F.col("term").startswith("^") & (F.col("term") != "") & (F.col("good") >= MIN_TOXIC) & (lift * MIN_LIFT <= 1))
+        .withColumn("evidence", calm_evidence)
+        .where(F.col("evidence") >= MIN_EVIDENCE)
+        .orderBy(F.desc("evidence"), "term")
+        .limit(MAX_TERMS)
+        .collect()
+    )
     discard(counts)
-    return Lexicon({w: i for i, w in enumerate(words)}, {b: len(words) + i for i, b in enumerate(begun)})
+    terms = len(words) + len(begun)
+    return Lexicon(
+        {w: i for i, w in enumerate(words)},
+        {b: len(words) + i for i, b in enumerate(begun)},
+        {row["term"]: terms + i for i, row in enumerate(calm)},
+    )
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, doc_id="doc_id", text="text",
           label_id="doc_id", toxic="toxic", skip_held_out: bool = True) -> Model:
-    """Lexicon, label model and classifier. Without toxic labels every score is 0."""
+    """Lexicon, label model and classifier. Without toxic terms every score is 0; of rows that share an id one is learnt from."""
     known = pick(labels, label_id, toxic).toDF("label_id", "toxic")
     rows = pick(docs, doc_id, text).toDF("id", "text")
     sample = written(_sample(rows, known, limit, held_out(F.col("label_id")) if skip_held_out else None), "toxic")
     lexicon = learn_lexicon(sample)
-    if not lexicon.size:
+    if not lexicon.toxic:
         discard(sample)
         return Model(lexicon, None)
 
@@ -281,9 +369,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, doc_id="d
     found = in_batches(sample, rows_of, "x binary, toxic int").toPandas().sort_values(["x", "toxic"])
     discard(sample)
     x, label = np.frombuffer(b"".join(found["x"]), np.float32).reshape(len(found), -1), found["toxic"].to_numpy()
-    v = votes(x, lexicon.size)
-    model = fit_label_model(v, min(max(label.mean(), 0.01), 0.99), label)
-    return Model(lexicon, fit_linear(x, model.posterior(v, label)), model)
+    v = votes(x, lexicon)
+    model = fit_label_model(v, min(max(label.mean(), 0.01), 0.99))
+    return Model(lexicon, fit_linear(x, model.posterior(v)), model)
 
 
 def score_documents(docs: DataFrame, model: Model, doc_id="doc_id", text="text") -> DataFrame:

@@ -199,6 +199,9 @@ def test_toxicity(spark, docs, none):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
     assert sum(r.predicted == truth[r.doc_id] for r in out if r.held_out) == sum(r.held_out for r in out)
     assert toxicity.reject(table, model).count() == 400
+    again = table.union(table.selectExpr("doc_id", "concat(text, ' zz') AS text", "toxic"))
+    models = [toxicity.train(again.repartition(n), table) for n in (1, 7)]
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].lexicon == models[1].lexicon
     odd = toxicity.score_documents(docs, model).collect()
     assert len(odd) == docs.count() and all(0 <= r.score <= 1 and r.predicted == 0 for r in odd)
     plain = toxicity.train(table, table.where("toxic = 0"))

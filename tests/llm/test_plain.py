@@ -248,16 +248,75 @@ def test_decoding_equals_all_segmentations():
 
 def test_label_model_trusts_good_voters():
     rng = np.random.default_rng(5)
-    truth = rng.random(3000) < 0.2
-    v = np.zeros((3000, 4), np.int8)
-    for j, (hit, false) in enumerate(((0.7, 0.01), (0.7, 0.01), (0.6, 0.3))):
-        v[:, j] = np.where(truth, rng.random(3000) < hit, rng.random(3000) < false)
-    v[:, 3] = -(v[:, :3].sum(1) == 0).astype(np.int8)
-    model = toxicity.fit_label_model(v, 0.2, truth.astype(int))
-    assert model.log_odds[0, 2] > model.log_odds[2, 2] > 0
-    assert ((model.posterior(v) > 0.5) == truth).mean() > 0.9
+    truth = rng.random(4000) < 0.2
+    chances = [(0.2, 0.002)] * 10 + [(0.3, 0.2)]  # ten rare good voters, one common bad one
+    v = np.zeros((4000, 12), np.int8)
+    for j, (hit, false) in enumerate(chances):
+        v[:, j] = np.where(truth, rng.random(4000) < hit, rng.random(4000) < false)
+    v[:, 11] = -(v[:, :10].sum(1) == 0).astype(np.int8)
+    model = toxicity.fit_label_model(v, 0.2)
+    shown = [(truth[v[:, j] != 0] == (model.side[j] > 0)).mean() for j in range(12)]
+    assert np.abs(model.accuracy - shown).max() < 0.15  # found without a label
+    assert model.accuracy[:10].min() > 0.85 > 0.5 > model.accuracy[10]
+    assert ((model.posterior(v) > 0.5) == truth).mean() > 0.95
     twin = np.hstack([v[:, :1], v])
-    assert toxicity.fit_label_model(twin, 0.2, truth.astype(int)).correlation[0, 1] > 0.9
+    again = toxicity.fit_label_model(twin, 0.2)
+    assert [0, 1] in again.pairs.tolist()
+    # the twin's vote counts once: posteriors are about those without it
+    assert np.abs(again.posterior(twin) - model.posterior(v)).mean() < 0.02
+
+
+def test_label_model_posterior_is_bayes_over_both_classes():
+    """Posterior against the joint chance of class and votes, enumerated from tables of the chances."""
+    rng = np.random.default_rng(6)
+    prior, side = 0.3, np.array([1.0, 1.0, -1.0, 1.0])
+    fires = rng.uniform(0.05, 0.9, (2, 4))  # chance to vote, by class and voter
+    pairs = np.array([[0, 1], [1, 3]])
+    lifts = rng.uniform(0.5, 1.5, (2, 2))  # P(both) / (P(one) P(other)), by class and edge
+    by_side = np.stack([(1 - prior) * fires[0], prior * fires[1]])
+    accuracy = np.where(side > 0, by_side[1], by_side[0]) / by_side.sum(0)
+    model = toxicity.LabelModel(prior, math.log(prior / (1 - prior)), side, accuracy, pairs, np.log(lifts[1] / lifts[0]))
+    for votes in itertools.product((0, 1), repeat=4):
+        chance = [1 - prior, prior]
+        for k in (0, 1):
+            for j, fired in enumerate(votes):
+                chance[k] *= fires[k, j] if fired else 1
+            for e, (a, b) in enumerate(pairs):
+                chance[k] *= lifts[k, e] if votes[a] and votes[b] else 1
+        found = model.posterior(np.array([votes]) * side.astype(int))[0]
+        assert abs(found - chance[1] / sum(chance)) < 1e-9
+
+
+def test_forest_has_the_greatest_strength():
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        strength = np.triu(rng.random((5, 5)), 1)
+        strength += strength.T
+        strength[strength < 0.3] = 0
+        pairs = [(a, b) for a in range(5) for b in range(a) if strength[a, b] > 0.3]
+
+        def joined(edges):
+            seats = list(range(5))
+            for a, b in edges:
+                if seats[a] == seats[b]:
+                    return None
+                seats = [seats[a] if s == seats[b] else s for s in seats]
+            return edges
+
+        choices = (c for n in range(5) for c in itertools.combinations(pairs, n) if joined(c) is not None)
+        best = max(sum(strength[a, b] for a, b in c) for c in choices)
+        made = toxicity._forest(strength, 0.3)
+        assert joined(made.tolist()) is not None
+        assert abs(sum(strength[a, b] for a, b in made) - best) < 1e-12
+
+
+def test_lexicon_looks_at_clean_terms_only_without_toxic_ones():
+    lexicon = toxicity.Lexicon({"vilest": 0}, {"grim": 1}, {"kindly": 2})
+    rows = np.stack([lexicon.features(t) for t in ("kindly do", "kindly vilest", "Grimout", "plain", "", "vilest " + "word " * 120)])
+    v = toxicity.votes(rows, lexicon)
+    assert v[:, :3].tolist() == [[0, 0, -1], [1, 0, 0], [0, 1, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0]]
+    stray, none = (3 + toxicity.PATTERNS.index(name) for name in toxicity.CALM)
+    assert v[:, stray].tolist() == [0, 0, 0, 0, 0, -1] and v[:, none].tolist() == [-1, 0, 0, -1, -1, 0]
 
 
 PAGES = {
