@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
@@ -14,34 +16,52 @@ from splitlab.operators.estimates import fitted
 from splitlab.operators.plate import MODEL_SPLITS
 from splitlab.operators.rates import TOTAL, by_each_split
 from splitlab.operators.solvers import (
-    KEYS, NotConverged, active_set_lasso, column_product, conjugate_gradient, least_norm, prepared, scaled,
+    KEYS, NotConverged, active_set_lasso, column_product, conjugate_gradient, least_norm, prepared, released, scaled,
 )
-from splitlab.session import written
+from splitlab.session import discard, written
 
 
 MOST_ITERATIONS = 1000
 
 
-def _system(plate, splits, space, clamp_pair, tau=None):
-    """Both sides of the normal equations and the counts behind them.
+class System(NamedTuple):
+    """Normal equations of a linear model: X'X, laid out for products, X'y and the counts behind them."""
+
+    left: DataFrame
+    rhs: DataFrame
+    counts: DataFrame
+
+
+def system(
+    plate: DataFrame, splits=MODEL_SPLITS, space="share", clamp_pair=CLAMPS["narrow"], tau: dict[str, float] | None = None
+) -> System:
+    """Both sides of the normal equations, for a fit and the check of it.
 
-    Two scans of the events in all; what follows works on tables of levels.
+    The columns that they read of the events are written once; what follows works on tables of levels.
     """
-    counts = written(design.level_counts(plate, splits), "counts")
+    events = written(plate.select(*splits, "event"), "events")
+    counts = written(design.level_counts(events, splits), "counts")
     rhs = design.xty_of_counts(counts, space, clamp_pair)
-    left = design.gram(plate, splits)
+    left = design.gram(events, splits)
     if tau:
         left, rhs = scaled(left, rhs, OUTCOMES, tau)
-    return prepared(left), rhs, counts
+    left = prepared(left)
+    discard(events)
+    return System(left, rhs, counts)
 
 
 def ridge(
-    plate: DataFrame, alpha: float, splits=MODEL_SPLITS, space="share", clamp_pair=CLAMPS["narrow"]
+    plate: DataFrame, alpha: float, splits=MODEL_SPLITS, space="share", clamp_pair=CLAMPS["narrow"],
+    made: System | None = None,
 ) -> DataFrame:
-    """Ridge without intercept: minimises |y - Xb|^2 + alpha |b|^2."""
-    left, rhs, _ = _system(plate, splits, space, clamp_pair)
+    """Ridge without intercept: minimises |y - Xb|^2 + alpha |b|^2.
+
+    ``made``, here and below, is the ``system`` of the same arguments where the caller has it.
+    """
+    left, rhs, _ = made or system(plate, splits, space, clamp_pair)
     effects = written(conjugate_gradient(left, rhs, OUTCOMES, alpha), "effects")
-    left.unpersist()
+    if not made:
+        released(left)
     return effects
 
 
@@ -51,14 +71,16 @@ def min_norm(
     space="share",
     clamp_pair=CLAMPS["narrow"],
     tau: dict[str, float] | None = None,
+    made: System | None = None,
 ) -> DataFrame:
     """Least squares of least norm; ``tau`` multiplies a split's design columns.
 
     Effects stay on the multiplied columns.
     """
-    left, rhs, _ = _system(plate, splits, space, clamp_pair, tau)
+    left, rhs, _ = made or system(plate, splits, space, clamp_pair, tau)
     effects = written(least_norm(left, rhs, OUTCOMES)[0], "effects")
-    left.unpersist()
+    if not made:
+        released(left)
     return effects
 
 
@@ -75,16 +97,15 @@ def normal_gap(
     space="share",
     clamp_pair=CLAMPS["narrow"],
     tau: dict[str, float] | None = None,
+    made: System | None = None,
 ) -> DataFrame:
     """X'(y - Xb) per level and outcome, with the effect and the level's count."""
-    rhs, left = design.xty(plate, splits, space, clamp_pair), design.gram(plate, splits)
-    if tau:
-        left, rhs = scaled(left, rhs, OUTCOMES, tau)
+    left, rhs, _ = made or system(plate, splits, space, clamp_pair, tau)
     image = column_product(left, effects, OUTCOMES).select(
         *KEYS, *[F.col(e).alias(f"fit_{e}") for e in OUTCOMES]
     )
     named = effects.select(*KEYS, *[F.col(e).alias(f"b_{e}") for e in OUTCOMES])
-    return (
+    gap = (
         rhs.join(image, KEYS)
         .join(named, KEYS)
         .select(
@@ -92,6 +113,10 @@ def normal_gap(
             *[f"b_{e}" for e in OUTCOMES],
         )
     )
+    gap = written(gap, "gap")
+    if not made:
+        released(left)
+    return gap
 
 
 def _effect_table(spark, labels, columns: dict) -> DataFrame:
@@ -104,24 +129,28 @@ def _effect_table(spark, labels, columns: dict) -> DataFrame:
 
 
 def least_squares(
-    plate: DataFrame, splits=MODEL_SPLITS, space="logit", clamp_pair=CLAMPS["narrow"]
+    plate: DataFrame, splits=MODEL_SPLITS, space="logit", clamp_pair=CLAMPS["narrow"],
+    made: System | None = None,
 ) -> DataFrame:
     """Plain least squares; on this singular design only fitted values are unique."""
-    left, rhs, _ = _system(plate, splits, space, clamp_pair)
+    left, rhs, _ = made or system(plate, splits, space, clamp_pair)
     effects = written(conjugate_gradient(left, rhs, OUTCOMES), "effects")
-    left.unpersist()
+    if not made:
+        released(left)
     return effects
 
 
 def lasso(
-    plate: DataFrame, alpha: float, splits=MODEL_SPLITS, space="logit", clamp_pair=CLAMPS["narrow"]
+    plate: DataFrame, alpha: float, splits=MODEL_SPLITS, space="logit", clamp_pair=CLAMPS["narrow"],
+    made: System | None = None,
 ) -> DataFrame:
     """Lasso without intercept: minimises |y - Xb|^2 / 2N + alpha |b|_1."""
-    left, rhs, counts = _system(plate, splits, space, clamp_pair)
+    left, rhs, counts = made or system(plate, splits, space, clamp_pair)
     total = counts.filter(F.col("split") == TOTAL).first()["n"]
     found = active_set_lasso(left, rhs, OUTCOMES, alpha * total)
     effects = written(found, "effects")
-    left.unpersist()
+    if not made:
+        released(left)
     return effects
 
 

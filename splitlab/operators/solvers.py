@@ -22,6 +22,8 @@ KEYS = ["split", "level"]
 PATIENCE = 60
 #: Active cells of X'X (about 100 bytes each) up to which one task solves a lasso column.
 ACTIVE_CELLS = 2_000_000
+#: Levels outside the largest split (about 100 bytes each) up to which a product broadcasts their vectors.
+BROADCAST_LEVELS = 50_000
 
 
 class NotConverged(ArithmeticError):
@@ -47,9 +49,12 @@ def prepared(gram: DataFrame, by=()) -> DataFrame:
     """The X'X table laid out once for repeated products; ``by`` are the keys of separate systems.
 
     Kept partitioned and sorted by the joined side, so that per step only the
-    vector moves; a lost block is rebuilt from the written table.
+    vector moves; a lost block is rebuilt from the written table. Without ``by``
+    ``halved`` keeps a half of it, and ``released`` gives that up.
     """
     table = written(gram, "gram")
+    if not by:
+        return halved(table)
     joined = [*by, "split2", "level2"]
     return (
         table.repartition(*joined)
@@ -58,15 +63,47 @@ def prepared(gram: DataFrame, by=()) -> DataFrame:
     )
 
 
+def halved(table: DataFrame) -> DataFrame:
+    """The written X'X ``table``, with each pair of levels kept once for ``product``.
+
+    A pair is kept with the level of the larger split, where all pairs of that level lie together: sums
+    over them need no shuffle, and sums over the levels of smaller splits shrink in each task.
+    """
+    sizes = table.filter(F.col("split") == F.col("split2")).groupBy("split").count().collect()
+    sizes = sorted((-row["count"], row["split"]) for row in sizes)
+    if not sizes:
+        return table
+    place = F.create_map(*[F.lit(x) for i, (_, split) in enumerate(sizes) for x in (split, i)])
+    half = table.filter(place[F.col("split")] <= place[F.col("split2")])
+    half = half.repartition(*KEYS).sortWithinPartitions(*KEYS)
+    table.half = half.persist(StorageLevel.MEMORY_AND_DISK)
+    table.largest, table.others = sizes[0][1], -sum(n for n, _ in sizes[1:])
+    return table
+
+
+def released(gram: DataFrame) -> None:
+    """Frees what ``prepared`` keeps; the written table stays readable."""
+    gram.__dict__.get("half", gram).unpersist()
+
+
 def product(gram: DataFrame, vectors: DataFrame, name: str, width: int, by=()) -> DataFrame:
     """X'X times each column of the array column ``name``; with ``by`` keys, system by system."""
     right = vectors.selectExpr(*by, "split AS split2", "level AS level2", f"{name} AS _v")
     sums = [f"sum(n * _v[{i}])" for i in range(width)]
-    return (
-        gram.join(right, [*by, "split2", "level2"])
-        .groupBy(*by, *KEYS)
-        .agg(F.expr(f"array({', '.join(sums)})").alias(name))
-    )
+    made = F.expr(f"array({', '.join(sums)})").alias(name)
+    half = gram.__dict__.get("half")
+    if half is None:
+        return gram.join(right, [*by, "split2", "level2"]).groupBy(*by, *KEYS).agg(made)
+    # pairs of two splits for the larger one's levels; all pairs, the diagonal too, for the smaller one's
+    right = right.filter(F.col("split2") != gram.largest)
+    if gram.others <= BROADCAST_LEVELS:
+        right = F.broadcast(right)
+    larger = half.filter(F.col("split") != F.col("split2")).join(right, ["split2", "level2"])
+    larger = larger.groupBy(*KEYS).agg(made)
+    smaller = half.join(vectors.select(*KEYS, F.col(name).alias("_v")), KEYS).groupBy("split2", "level2").agg(made)
+    sums = [f"sum({name}[{i}])" for i in range(width)]
+    both = larger.union(smaller.select("split2", "level2", name))
+    return both.groupBy(*KEYS).agg(F.expr(f"array({', '.join(sums)})").alias(name))
 
 
 def column_product(gram: DataFrame, vectors: DataFrame, columns) -> DataFrame:
@@ -457,5 +494,5 @@ def gram_rank(gram: DataFrame) -> DataFrame:
     levels = written(table.select(*KEYS).distinct(), "levels")
     p = levels.count()
     _, nullity = least_norm(table, levels, [])
-    table.unpersist()
+    released(table)
     return gram.sparkSession.createDataFrame([(p, p - nullity)], "p bigint, rank bigint")

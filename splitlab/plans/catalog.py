@@ -337,14 +337,18 @@ def _small(gap_columns, allowed):
 def ridge_check(spark, sf_dir):
     """Stationarity of ridge: X'(y - Xb) = alpha b."""
     events = batting(spark, sf_dir, sites=True)
-    gap = regress.normal_gap(events, regress.ridge(events, 1.0))
+    made = regress.system(events)
+    gap = regress.normal_gap(events, regress.ridge(events, 1.0, made=made), made=made)
+    solvers.released(made.left)
     slack = [F.col(e) - 1.0 * F.col(f"b_{e}") for e in OUTCOMES]
     return gap.select("split", "level", "n", _small(slack, 1e-6 * F.col("n")).alias("ok"))
 
 
 def ridge_logit_check(spark, sf_dir):
     events = batting(spark, sf_dir, sites=True)
-    gap = regress.normal_gap(events, regress.ridge(events, 100.0, space="logit"), space="logit")
+    made = regress.system(events, space="logit")
+    gap = regress.normal_gap(events, regress.ridge(events, 100.0, made=made), made=made)
+    solvers.released(made.left)
     slack = [F.col(e) - 100.0 * F.col(f"b_{e}") for e in OUTCOMES]
     return gap.select("split", "level", "n", _small(slack, 1e-5 * F.col("n")).alias("ok"))
 
@@ -352,8 +356,9 @@ def ridge_logit_check(spark, sf_dir):
 def minnorm_check(spark, sf_dir):
     """Normal equations of the least-norm solution: X'(y - Xb) = 0."""
     events = batting(spark, sf_dir, sites=True)
-    effects = regress.min_norm(events, space="logit")
-    gap = written(regress.normal_gap(events, effects, space="logit"), "gap")
+    made = regress.system(events, space="logit")
+    gap = regress.normal_gap(events, regress.min_norm(events, made=made), made=made)
+    solvers.released(made.left)
     slack = [F.col(e) for e in OUTCOMES]
     ok = _small(slack, 1e-5 * F.col("n")) & _least_norm(gap)
     return gap.select("split", "level", "n", ok.alias("ok"))
@@ -378,9 +383,9 @@ TAU = {"batter": 3.0, "pitcher": 2.0, "gamesite": 1.0, "timesthrough": 5.0, "pit
 
 def tau_check(spark, sf_dir):
     events = batting(spark, sf_dir, sites=True)
-    wide = CLAMPS["wide"]
-    effects = regress.min_norm(events, space="logit", clamp_pair=wide, tau=TAU)
-    gap = written(regress.normal_gap(events, effects, space="logit", clamp_pair=wide, tau=TAU), "gap")
+    made = regress.system(events, space="logit", clamp_pair=CLAMPS["wide"], tau=TAU)
+    gap = regress.normal_gap(events, regress.min_norm(events, made=made), made=made)
+    solvers.released(made.left)
     slack = [F.col(e) for e in OUTCOMES]
     ok = _small(slack, 1e-4 * F.col("n")) & _least_norm(gap, TAU)
     return gap.select("split", "level", "n", ok.alias("ok"))
@@ -390,8 +395,10 @@ def lasso_check(spark, sf_dir):
     """Subgradient of lasso: |X'(y - Xb) / N| <= alpha, with equality where b is not 0."""
     alpha = 0.1
     events = batting(spark, sf_dir, sites=True)
-    gap = regress.normal_gap(events, regress.lasso(events, alpha), space="logit")
-    total = events.filter(not_other()).agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    made = regress.system(events, space="logit")
+    gap = regress.normal_gap(events, regress.lasso(events, alpha, made=made), made=made)
+    solvers.released(made.left)
+    total = made.counts.filter(F.col("split") == rates.TOTAL).select(F.col("n").cast("double")).scalar()
     slack = []
     for e in OUTCOMES:
         pull, b = F.col(e) / total, F.col(f"b_{e}")
@@ -406,7 +413,9 @@ def lasso_check(spark, sf_dir):
 def ols_fit(spark, sf_dir):
     """Fitted totals of plain least squares equal observed totals per level."""
     events = batting(spark, sf_dir, sites=True)
-    gap = regress.normal_gap(events, regress.least_squares(events), space="logit")
+    made = regress.system(events, space="logit")
+    gap = regress.normal_gap(events, regress.least_squares(events, made=made), made=made)
+    solvers.released(made.left)
     slack = [F.col(e) for e in OUTCOMES]
     return gap.select("split", "level", "n", _small(slack, 1e-4 * F.col("n")).alias("ok"))
 

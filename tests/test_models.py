@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from splitlab.functions.odds import CLAMPS
 from splitlab.functions.outcomes import OUTCOMES
 from splitlab.operators import design, estimates, ranking, rates, regress, solvers, spread
+from splitlab.plans import catalog
 from tests.fixtures import plate_frame, plate_rows
 
 SPLITS = ["batter", "pitcher"]
@@ -105,6 +106,41 @@ def test_lasso_conditions(events, monkeypatch, cells):
     assert pull[b != 0] == pytest.approx(alpha * np.sign(b[b != 0]), abs=1e-5)
 
 
+@pytest.mark.parametrize("broadcast", [solvers.BROADCAST_LEVELS, 0])
+def test_products_of_halves(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(solvers, "BROADCAST_LEVELS", broadcast)
+    rows = [*ROWS, (9001, None, "p1", "K"), (9002, "b1", None, "K"), (9003, "b1", None, "K")]
+    rows = [(*r, f"s{i % 3}") for i, r in enumerate(rows)]
+    plate = spark.createDataFrame(rows, "event_seq bigint, batter string, pitcher string, event string, gamesite string")
+    table = design.gram(plate, [*SPLITS, "gamesite"])
+    vectors = table.select("split", "level").distinct().filter("level != 'p2'")
+    vectors = vectors.withColumn("v", F.expr("array(hash(split, level) % 100 + 0.5D, 1D)"))
+    gram = solvers.prepared(table)
+
+    def found(left):
+        return {tuple(r[:2]): r[2] for r in solvers.product(left, vectors, "v", 2).collect()}
+
+    whole, halves = found(table), found(gram)
+    assert gram.largest == "batter" and gram.half.count() < table.count()
+    assert halves.keys() == whole.keys()
+    assert all(halves[k] == pytest.approx(whole[k]) for k in whole)
+    solvers.released(gram)
+
+
+def test_checks_count_the_events_once(spark, events, monkeypatch):
+    calls = []
+    for name in ("gram", "level_counts"):
+        whole = getattr(design, name)
+        monkeypatch.setattr(design, name, lambda *a, whole=whole, name=name, **k: calls.append(name) or whole(*a, **k))
+    monkeypatch.setattr(catalog.plate, "MODEL_SPLITS", tuple(SPLITS))
+    monkeypatch.setattr(catalog, "batting", lambda *a, **k: events)
+    system = regress.system
+    monkeypatch.setattr(regress, "system", lambda plate, *a, **k: system(plate, SPLITS, *a, **k))
+    rows = catalog.ridge_check(spark, None).collect()
+    assert sorted(calls) == ["gram", "level_counts"]
+    assert len(rows) == 10 and all(r.ok for r in rows)
+
+
 def test_rank(spark, events):
     made = solvers.gram_rank(design.gram(events, SPLITS)).first()
     _, x, _ = dense()
