@@ -169,6 +169,16 @@ def class_weights(plate: DataFrame, kind: str = "odds") -> DataFrame:
     return freq.withColumn("w", weight)
 
 
+def equal_events(plate: DataFrame, splits=MODEL_SPLITS) -> DataFrame:
+    """(splits, event, n): how many events have equal levels and class, OTHER aside.
+
+    Written once, for a multinomial fit and what is read off it.
+    """
+    events = plate.filter(F.col("event").isNotNull() & not_other())
+    levels = [F.col(s).cast("string").alias(s) for s in check_splits(splits)]
+    return written(events.groupBy(*levels, "event").agg(F.count(F.lit(1)).alias("n")), "equal-events")
+
+
 def vector_design(
     plate: DataFrame, splits=MODEL_SPLITS, keep=()
 ) -> tuple[DataFrame, list[tuple[str, str]]]:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitlab.functions.odds import CLAMPS
-from splitlab.functions.outcomes import OUTCOMES, not_other
-from splitlab.operators import design
+from splitlab.functions.outcomes import OUTCOMES
+from splitlab.operators import design, softmax
 from splitlab.operators.estimates import fitted
 from splitlab.operators.plate import MODEL_SPLITS
 from splitlab.operators.rates import TOTAL, by_each_split
@@ -22,6 +22,8 @@ from splitlab.session import discard, written
 
 
 MOST_ITERATIONS = 1000
+#: Coefficients (levels times classes) up to which the multinomial learner holds them in the driver.
+DRIVER_COEFFICIENTS = 1 << 15
 
 
 class System(NamedTuple):
@@ -155,24 +157,31 @@ def lasso(
 
 
 def multinomial(
-    plate: DataFrame, splits=MODEL_SPLITS, weights: DataFrame | None = None, c: float = 1.0
+    plate: DataFrame, splits=MODEL_SPLITS, weights: DataFrame | None = None, c: float = 1.0,
+    made: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Multinomial logistic with intercept and a squared penalty of 1 / (2 c).
 
     ``weights`` is (event, w), such as ``class_weights``. Returns the effects
     (split, level, one column per class) and the intercepts (event, b). Events with
     equal levels and class are one row that weighs as many; ``NotConverged`` is
-    raised if the learner stops at its bound of iterations.
+    raised if the learner stops at its bound of iterations. Spark's learner sends all
+    coefficients through the driver in every iteration; beyond ``DRIVER_COEFFICIENTS`` models
+    of one or two splits are fitted by ``softmax.fit``, which sends inner products only.
+    ``made``, here and below, is ``design.equal_events`` of the same arguments where the caller has it.
     """
     spark = plate.sparkSession
-    events = plate.filter(F.col("event").isNotNull() & not_other())
-    events = events.groupBy(*splits, "event").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    events = made or design.equal_events(plate, splits)
+    if len(splits) <= 2:
+        levels = by_each_split(events, splits, [F.count(F.lit(1)).alias("rows")]).count()
+        if levels * events.select("event").distinct().count() > DRIVER_COEFFICIENTS:
+            return softmax.fit(events, splits, weights, c, tol=1e-7)
     rows, labels = design.vector_design(events, splits, ["event", "n"])
     classes = StringIndexer(inputCol="event", outputCol="label", stringOrderType="alphabetAsc")
     indexed = classes.fit(rows)
     rows = indexed.transform(rows)
     if weights is None:
-        rows = rows.withColumn("w", F.col("n"))
+        rows = rows.withColumn("w", F.col("n").cast("double"))
     else:
         # one row per outcome class
         rows = rows.join(F.broadcast(weights.select("event", "w")), "event")
@@ -206,16 +215,16 @@ def _softmax(events, effects, intercepts, splits, classes) -> DataFrame:
 
 
 def fitted_shares(
-    plate: DataFrame, effects: DataFrame, intercepts: DataFrame, splits=MODEL_SPLITS
+    plate: DataFrame, effects: DataFrame, intercepts: DataFrame, splits=MODEL_SPLITS,
+    made: DataFrame | None = None,
 ) -> DataFrame:
     """(event, share): mean fitted share of each class over the events.
 
     With a free intercept it equals the observed share at the optimum of an unweighted fit.
     """
     classes = [name for name in effects.columns if name not in KEYS]
-    events = plate.filter(F.col("event").isNotNull() & not_other()).select(*splits, "event")
-    shares = _softmax(events, effects, intercepts, splits, classes)
-    means = shares.agg(*[F.avg(c).alias(c) for c in classes])
+    shares = _softmax(made or design.equal_events(plate, splits), effects, intercepts, splits, classes)
+    means = shares.agg(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in classes])
     return means.unpivot([], classes, "event", "share")
 
 
@@ -225,23 +234,25 @@ def multinomial_gap(
     intercepts: DataFrame,
     splits=MODEL_SPLITS,
     weights: DataFrame | None = None,
+    made: DataFrame | None = None,
 ) -> DataFrame:
     """Gradient of the multinomial fit per level and class; zero at the optimum.
 
     Weighted observed less fitted class totals of a level, less its effect.
     """
     classes = [name for name in effects.columns if name not in KEYS]
-    events = plate.filter(F.col("event").isNotNull() & not_other()).select(*splits, "event")
+    events = made or design.equal_events(plate, splits)
     if weights is None:
-        events = events.withColumn("w", F.lit(1.0))
+        events = events.withColumn("w", F.col("n").cast("double"))
     else:
         # one row per outcome class
         events = events.join(F.broadcast(weights.select("event", "w")), "event")
+        events = events.withColumn("w", F.col("w") * F.col("n"))
     scores = _softmax(events, effects, intercepts, splits, classes)
     scores = scores.withColumns(
         {c: F.col("w") * ((F.col("event") == c).cast("double") - F.col(c)) for c in classes}
     )
-    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in classes]]
+    sums = [F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in classes]]
     gaps = by_each_split(scores, splits, sums)
     named = effects.select(*KEYS, *[F.col(c).alias(f"b_{c}") for c in classes])
     return gaps.join(named, KEYS).select(

@@ -13,7 +13,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitlab.functions.outcomes import not_other
 from splitlab.operators.lookups import is_small
 from splitlab.operators.rates import TOTAL, by_each_split
 from splitlab.operators.solvers import KEYS, _numbers, _Progress, inner_products
@@ -27,21 +26,18 @@ FALL = 1e-4
 ADD, LESS = "(p, q) -> p + q", "(p, q) -> p - q"
 
 
-def combinations(plate: DataFrame, splits, weights: DataFrame | None = None):
-    """(splits, y) with ``y`` the weight of each class, and the sorted classes.
+def combinations(events: DataFrame, splits, weights: DataFrame | None = None):
+    """(splits, y) with ``y`` the weight of each class, and the sorted classes, out of ``design.equal_events``.
 
     One row per combination of levels; a missing level is null and has no effect.
     """
-    events = plate.filter(F.col("event").isNotNull() & not_other())
-    events = events.select(*[F.col(s).cast("string").alias(s) for s in splits], "event")
     # one row per outcome class
     classes = sorted(row[0] for row in events.select("event").distinct().collect())
-    if weights is None:
-        weight = F.lit(1.0)
-    else:
+    weight = F.col("n").cast("double")
+    if weights is not None:
         # one row per outcome class
         events = events.join(F.broadcast(weights.select("event", "w")), "event")
-        weight = F.col("w")
+        weight = weight * F.col("w")
     sums = [F.sum(F.when(F.col("event") == c, weight).otherwise(0.0)) for c in classes]
     return events.groupBy(*splits).agg(F.array(*sums).alias("y")), classes
 
@@ -137,9 +133,9 @@ def _weights_between(rows: DataFrame, splits, width: int) -> np.ndarray:
 
 
 def fit(
-    plate: DataFrame, splits, weights: DataFrame | None = None, c: float = 1.0, tol: float = 1e-6
+    events: DataFrame, splits, weights: DataFrame | None = None, c: float = 1.0, tol: float = 1e-6
 ) -> tuple[DataFrame, DataFrame]:
-    """Effects (split, level, one column per class) and intercepts (event, b).
+    """Effects (split, level, one column per class) and intercepts (event, b), out of ``design.equal_events``.
 
     Minimises the weighted log loss plus |effects|^2 / (2 c) until no level's slope
     is above ``tol`` times its weight and penalty; ``NotConverged`` if steps stop
@@ -147,16 +143,16 @@ def fit(
     a level at the start is the identity; shifts of whole splits against each other, which
     only the penalty tells apart, are solved for with one number per split and class.
     A step is a scan of the combinations, with one lookup per split that is broadcast only
-    if it measures small, and an aggregate by level.
+    if it measures small, and an aggregate by level. Combinations stay dealt and sorted by
+    the first split that is not small, so that per step only its effects move.
     """
     splits = list(splits)
-    rows, classes = combinations(plate, splits, weights)
+    rows, classes = combinations(events, splits, weights)
     width = len(classes)
     if not width:
         none = rows.sparkSession.createDataFrame([], "split string, level string")
         return none, rows.sparkSession.createDataFrame([], "event string, b double")
-    stored = written(rows, "combinations")
-    rows = stored.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = stored = written(rows, "combinations")
     totals = [F.array(*[F.sum(F.col("y")[k]) for k in range(width)]).alias("y")]
     levels = written(by_each_split(rows, splits, totals, with_total=True), "levels")
     names = [*splits, TOTAL]
@@ -187,6 +183,10 @@ def fit(
     )
     sizes = state.select(*KEYS, *[F.lit(0.0).alias(f"_{k}") for k in range(width)])
     small = {split for split in splits if is_small(sizes.filter(F.col("split") == split))}
+    large = [split for split in splits if split not in small]
+    if large:
+        rows = rows.repartition(large[0]).sortWithinPartitions(large[0])
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
 
     def evaluated(points: DataFrame) -> DataFrame:
         """``points`` (split, level, pen, t, s, x, v) with effects ``b``, slope ``g`` and loss."""

@@ -423,8 +423,9 @@ def ols_fit(spark, sf_dir):
 def _logistic(spark, sf_dir, splits, weighted):
     events = batting(spark, sf_dir, sites="gamesite" in splits)
     weights = design.class_weights(events) if weighted else None
-    effects, intercepts = regress.multinomial(events, splits, weights)
-    gap = regress.multinomial_gap(events, effects, intercepts, splits, weights)
+    made = design.equal_events(events, splits)
+    effects, intercepts = regress.multinomial(events, splits, weights, made=made)
+    gap = regress.multinomial_gap(events, effects, intercepts, splits, weights, made=made)
     slack = [F.col(c) for c in effects.columns[2:]]
     return gap.select("split", "level", "n", _small(slack, 1e-4 * F.col("n")).alias("ok"))
 
@@ -442,8 +443,9 @@ def weighted_logistic_check(spark, sf_dir):
 def logistic_shares(spark, sf_dir):
     """Mean fitted shares of the two-split fit; they equal the observed ones."""
     events, splits = batting(spark, sf_dir), ["batter", "pitcher"]
-    effects, intercepts = regress.multinomial(events, splits)
-    return rounded(regress.fitted_shares(events, effects, intercepts, splits), digits=5)
+    made = design.equal_events(events, splits)
+    effects, intercepts = regress.multinomial(events, splits, made=made)
+    return rounded(regress.fitted_shares(events, effects, intercepts, splits, made=made), digits=5)
 
 
 def lasso_single_split(spark, sf_dir):

@@ -174,6 +174,48 @@ def test_multinomial_gradient(events, weighted):
     assert np.abs(matrix(gap, labels, names)).max() < 1e-3
 
 
+@pytest.mark.parametrize("weighted, limit", [(False, "10MB"), (True, "-1")])
+def test_multinomial_off_the_driver(spark, monkeypatch, weighted, limit):
+    # with no coefficients allowed in the driver; a limit of -1 leaves no lookup small
+    def learner(**_):
+        raise AssertionError("coefficients went through the driver")
+
+    rows = [*ROWS, (9001, None, "p1", "K"), (9002, "b1", None, "K"), (9003, None, None, "HR"), (9004, "b1", "p1", None)]
+    plate = plate_frame(spark, rows).cache()
+    weights = design.class_weights(plate) if weighted else None
+    made = design.equal_events(plate, SPLITS)
+    assert made.agg(F.sum("n")).first()[0] == len(ROWS) + 3
+    known, base = regress.multinomial(plate, SPLITS, weights, made=made)
+    labels, _, _ = dense()
+    names = sorted(OUTCOMES)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(regress, "DRIVER_COEFFICIENTS", 0)
+    monkeypatch.setattr(regress, "LogisticRegression", learner)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        effects, intercepts = regress.multinomial(plate, SPLITS, weights, made=made)
+        gap = regress.multinomial_gap(plate, effects, intercepts, SPLITS, weights, made=made).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert matrix(effects, labels, names) == pytest.approx(matrix(known, labels, names), abs=1e-3)
+    base = {r.event: r.b for r in base.collect()}
+    found = {r.event: r.b for r in intercepts.collect()}
+    # scores are known up to one number for all classes
+    shift = sum(found.values()) - sum(base.values())
+    assert found == pytest.approx({e: b + shift / len(base) for e, b in base.items()}, abs=1e-3)
+    counts = {label: 0 for label in labels}
+    for _, batter, pitcher, event in rows:
+        for label in [("batter", batter), ("pitcher", pitcher)]:
+            if event and label[1]:
+                counts[label] += 1
+    assert {(r.split, r.level): r.n for r in gap} == counts
+    assert max(abs(r[e]) for r in gap for e in names) < 1e-3
+    if not weighted:
+        shares = regress.fitted_shares(plate, effects, intercepts, SPLITS, made=made)
+        seen = {e: sum(r[3] == e for r in rows) / (len(ROWS) + 3) for e in names}
+        assert {r.event: r.share for r in shares.collect()} == pytest.approx(seen, abs=1e-6)
+
+
 def test_inner_products(spark):
     rng = np.random.default_rng(3)
     cells = rng.normal(size=(50, 4, 3))
