@@ -17,7 +17,8 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
+from operator import getitem
 
 import pandas as pd
 import public_tokenizers
@@ -55,13 +56,18 @@ def merge(ranks: dict[bytes, int], data: bytes) -> list[int]:
     return [ranks[part] for part in parts]
 
 
-class _State:
-    __slots__ = ("places", "last", "steps")
+class _State(dict):
+    """The steps that are known, by byte; others are made when they are first taken."""
 
-    def __init__(self, places: tuple[tuple[bytes, int], ...]):
+    __slots__ = ("places", "last", "machine")
+
+    def __init__(self, places: tuple[tuple[bytes, int], ...], machine: Transducer):
         self.places = places  # (bytes read since the place, last token before it), the present place at the end
         self.last = places[-1][1]
-        self.steps: dict[int, _State] = {}
+        self.machine = machine
+
+    def __missing__(self, byte: int) -> _State:
+        return self.machine._step(self, byte)
 
 
 class Transducer:
@@ -83,7 +89,7 @@ class Transducer:
     def _state(self, places) -> _State:
         found = self.states.get(places)
         if found is None:
-            found = self.states[places] = _State(places)
+            found = self.states[places] = _State(places, self)
         return found
 
     def _fit(self, left: int, right: int) -> bool:
@@ -105,7 +111,7 @@ class Transducer:
             if read in self.open:
                 kept.append((read, last))
         kept.append((b"", reached))
-        found = state.steps[byte] = self._state(tuple(kept))
+        found = state[byte] = self._state(tuple(kept))
         return found
 
     def _settle(self, state: _State, lasts: list[int]) -> tuple[list[int], list[int]]:
@@ -130,9 +136,18 @@ class Transducer:
     def run(self, data: bytes) -> list[int]:
         if len(self.states) > self.max_states:
             self._reset()
+        if len(data) < 2 * self.longest:  # nothing settles before the end
+            passed = list(accumulate(data, getitem, initial=self.start))
+            out, at = [], len(data)
+            while at:
+                token = passed[at].last
+                out.append(token)
+                at -= self.width[token]
+            out.reverse()
+            return out
         state, lasts, out = self.start, [], []
         for byte in data:
-            state = state.steps.get(byte) or self._step(state, byte)
+            state = state[byte]
             lasts.append(state.last)
             if len(lasts) >= 2 * self.longest:  # bounded lookahead: at most the last entry is still open
                 final, lasts = self._settle(state, lasts)
@@ -273,4 +288,4 @@ def _per_document(df, doc_id, text, work, columns) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: texts of one language and source stand together within a task, so machines and memos meet fewer words at a time."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return digest_documents(docs.sortWithinPartitions("lang", "source"), max_pieces=2 * MAX_PIECES, max_states=2 * MAX_STATES)
+    return digest_documents(docs.sortWithinPartitions("lang", "source"), max_pieces=4 * MAX_PIECES, max_states=4 * MAX_STATES)

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -169,6 +170,20 @@ def test_encoder_matches_added_tokens():
     assert np.frombuffer(tool.encode("a <|endoftext|> b"), np.uint32).tolist() == [64, 220, 50256, 275]
 
 
+def test_transducer_takes_known_steps_without_a_call_a_byte():
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tool = bpe.Transducer(ranks)
+    data, calls = b" tionhaerreingst", []
+    want = tool.run(data)
+    sys.setprofile(lambda frame, event, what: calls.append(event))
+    try:
+        found = tool.run(data)
+    finally:
+        sys.setprofile(None)
+    assert found == want == bpe.merge(ranks, data)
+    assert len(calls) < 2 * len(data)
+
+
 def test_best_fit_equals_a_search_through_all_bins():
     rng = random.Random(7)
     for _ in range(40):
