@@ -36,7 +36,7 @@ from splitlab.session import written
 MAGIC = b"SLRANS01"
 LANES, BLOCK_TOKENS, SEGMENT_TOKENS = 2048, 1 << 18, 1 << 20
 END_ID = 2
-#: Chunks that a worker's memo holds, at most (330 MB), and half as many pieces.
+#: Chunks that a worker's memo holds, at most, and an eighth as many pieces of chunks that are no plain words.
 MAX_CHUNKS = 1_400_000
 _WHITE = re.compile(r"\s")
 _LATIN_END = "\u0250"
@@ -208,24 +208,26 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.spelling = {b: 256 + i for i, b in enumerate(hidden)}
-        self.pieces = Memo(self._piece, limit // 2)
+        self.space, self.tokenize = chr(self.spelling[32]), self.model.tokenize
+        self.pieces = Memo(self._piece, limit // 8)
         self.chunks = Memo(self._chunk, limit)
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
-            spelled = piece.replace(" ", chr(self.spelling[32]))
+            spelled = piece.replace(" ", self.space)
         else:
             spelled = piece.encode().decode("latin-1").translate(self.spelling)
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes | None:
+        # the commonest shapes, split as the pattern would; what versions of Unicode may see differently is left to it
+        if chunk.isascii() and chunk.isalpha():  # a plain word is one piece, held as a chunk alone
+            return array("I", [t.id for t in self.tokenize(self.space + chunk)]).tobytes()
         if not chunk or _WHITE.match(chunk):
             return None
-        # the commonest shapes, split as the pattern would; what versions of Unicode may see differently is left to it
         word, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".,;" else (chunk, "")
         if word.isalpha() and max(word) < _LATIN_END:
-            ids = self.pieces[" " + word]
-            return ids + self.pieces[mark] if mark else ids
+            return self.chunks[word] + self.pieces[mark] if mark else self._piece(" " + word)
         return b"".join(map(self.pieces.__getitem__, self.split(" " + chunk)))
 
     def encode(self, text: str) -> bytes:

@@ -170,6 +170,14 @@ def test_encoder_matches_added_tokens():
     assert np.frombuffer(tool.encode("a <|endoftext|> b"), np.uint32).tolist() == [64, 220, 50256, 275]
 
 
+def test_encoder_holds_a_plain_word_once():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(3000)]
+    tool = rans.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    tool.encode("x " + " ".join(words))
+    assert len(tool.chunks) + len(tool.pieces) < 3100
+
+
 def test_transducer_takes_known_steps_without_a_call_a_byte():
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     tool = bpe.Transducer(ranks)
