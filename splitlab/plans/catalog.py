@@ -522,16 +522,22 @@ def mean_fitted(spark, sf_dir):
     return rounded(estimates.mean_over_events(counts, made), digits=9)
 
 
+def _stored_events(spark, sf_dir):
+    """Kept events with what lookups by level read, written once: a table of levels and the lookups both read them."""
+    events = kept(spark, sf_dir, sites=True)
+    return written(events.select(*testbed.ORDER, *plate.MODEL_SPLITS, "event"), "events")
+
+
 def fitted_values(spark, sf_dir):
     """X b per event, from the closed-form effects."""
-    events = kept(spark, sf_dir, sites=True)
+    events = _stored_events(spark, sf_dir)
     effects = regress.shrunken_means(_counts(events), 100.0)
     rows = estimates.fitted(events, effects)
     return rounded(rows.select(*testbed.ORDER, *OUTCOMES), digits=9)
 
 
 def star_rates(spark, sf_dir):
-    events = kept(spark, sf_dir, sites=True)
+    events = _stored_events(spark, sf_dir)
     joined = estimates.star_rates(events, rates.split_rates(events))
     made = [f"{s}_{e}" for s in plate.MODEL_SPLITS for e in OUTCOMES]
     return rounded(joined.select(*testbed.ORDER, "event", *made))

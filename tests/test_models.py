@@ -292,3 +292,17 @@ def test_rows_with_a_missing_key_have_no_number(spark):
     found = {r.at: r.n for r in ranking.ordinal_in_group(table, ["game", "key"], ["at"], "n").collect()}
     kept = [i for i in range(30) if i % 3]
     assert found == {i: kept.index(i) if i in kept else None for i in range(30)}
+
+
+@pytest.mark.parametrize("query", [catalog.fitted_values, catalog.star_rates])
+def test_events_are_derived_once(spark, tmp_path, query):
+    lines = [(o, n, o % 3, o % 4, float(n), "AR"[o % 2], "F", 0.0, 0.0, f"1996-0{1 + o % 6}-01") for o in range(40) for n in (1, 3, 6)]
+    lines += [lines[0], (None, 1, 1, 1, 5.0, "A", "F", 0.0, 0.0, "1996-01-01")]
+    names = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string"
+    made = spark.createDataFrame(lines, names + ", l_tax double, l_discount double, l_shipdate string")
+    made.withColumn("l_shipdate", F.to_date("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = spark.createDataFrame([(i, f"B{i}", i) for i in range(3)], "p_partkey long, p_brand string, p_size int")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    found = query(spark, str(tmp_path))
+    assert not [f for f in found.inputFiles() if "lineitem" in f]
+    assert found.count() == catalog.kept(spark, str(tmp_path)).count() > 40
