@@ -283,7 +283,8 @@ def _keys_at(keys: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
 def possible_keys(packed: DataFrame, parts: int, least: int) -> DataFrame:
     """(key) of every phrase that may occur ``least`` times: one summary for each hash partition."""
     mass = packed.groupBy(F.col("part").alias("of_")).agg(F.sum("mass").alias("all_"))
-    rows = packed.join(mass, F.col("part") == F.col("of_"))
+    # broadcast (a row a part): after a shuffled join Spark leaves out the repartition and may then read parts in pieces
+    rows = packed.join(F.broadcast(mass), F.col("part") == F.col("of_"))
     rows = rows.select("part", (F.floor(F.col("all_") / least) + 1).cast("long").alias("capacity"), "keys", "counts")
     rows = rows.repartition(parts, "part").sortWithinPartitions("part")
 

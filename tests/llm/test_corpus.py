@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from splitlab.llm import alignment, decontaminate, phrases
+from splitlab.session import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, TEXT string, row_ int, window string, a string, key long"
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa the of".split()
@@ -163,6 +164,32 @@ def test_collocations_equal_brute_force(spark, monkeypatch, held, mass):
     assert got == plain_collocations(texts, 12, 5, 20)
 
 
+def test_parts_meet_whole_whatever_the_join(spark):
+    """Joins planned by shuffle and turned into broadcasts at run time must not split a part among summaries."""
+    rows = []
+    for run in range(10):  # each run holds every part's first key 12 times
+        for part in range(8):
+            start = 1000 * (run * 8 + part + 1)
+            keys, counts = np.array([part, *range(start, start + 40)], np.uint64), np.array([12] + [1] * 40, np.int64)
+            rows.append((part, int(counts.sum()), keys.tobytes(), counts.tobytes()))
+    schema = "part int, mass long, keys binary, counts binary"
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "20000",  # above the masses, below the runs
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    old = {key: spark.conf.get(key, None) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        packed = written(spark.createDataFrame(spark.sparkContext.parallelize(rows, 10), schema), "runs")
+        assert sorted(r[0] for r in phrases.possible_keys(packed, 8, 100).collect()) == list(range(8))
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_collocations_without_rows(spark, none):
     assert phrases.collocations(none).count() == 0
     docs = spark.createDataFrame(rows_of([(None, None), ("  .", "en")]), SCHEMA)
