@@ -156,9 +156,17 @@ def xty(
     return xty_of_counts(written(level_counts(plate, splits), "counts"), space, clamp_pair)
 
 
-def class_weights(plate: DataFrame, kind: str = "odds") -> DataFrame:
-    """(event, n, frac, w): weights from frequency, ``odds`` or ``balanced``."""
-    freq = event_freq(plate.filter(not_other()))
+def class_weights(plate: DataFrame, kind: str = "odds", made: DataFrame | None = None) -> DataFrame:
+    """(event, n, frac, w): weights from frequency, ``odds`` or ``balanced``.
+
+    ``made`` is ``equal_events`` of the same events where the caller has it.
+    """
+    if made is None:
+        freq = event_freq(plate.filter(not_other()))
+    else:
+        # a handful of rows: one per class
+        counts = made.groupBy("event").agg(F.sum("n").alias("n"))
+        freq = counts.withColumn("frac", F.col("n") / F.sum("n").over(Window.partitionBy()))
     if kind == "odds":
         weight = class_weight(F.col("frac"))
     elif kind == "balanced":

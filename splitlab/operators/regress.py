@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from splitlab.functions.odds import CLAMPS
 from splitlab.functions.outcomes import OUTCOMES
-from splitlab.operators import design, softmax
+from splitlab.operators import blocks, design, softmax
 from splitlab.operators.estimates import fitted
 from splitlab.operators.plate import MODEL_SPLITS
 from splitlab.operators.rates import TOTAL, by_each_split
@@ -156,9 +156,14 @@ def lasso(
     return effects
 
 
+def in_blocks(events: DataFrame, splits=MODEL_SPLITS) -> blocks.Packed | None:
+    """``design.equal_events`` laid out for ``blocks.fit``; None for a model that is not fitted by it."""
+    return blocks.packed(events, splits, DRIVER_COEFFICIENTS) if len(splits) > 2 else None
+
+
 def multinomial(
     plate: DataFrame, splits=MODEL_SPLITS, weights: DataFrame | None = None, c: float = 1.0,
-    made: DataFrame | None = None,
+    made: DataFrame | None = None, packed: blocks.Packed | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Multinomial logistic with intercept and a squared penalty of 1 / (2 c).
 
@@ -167,11 +172,19 @@ def multinomial(
     equal levels and class are one row that weighs as many; ``NotConverged`` is
     raised if the learner stops at its bound of iterations. Spark's learner sends all
     coefficients through the driver in every iteration; beyond ``DRIVER_COEFFICIENTS`` models
-    of one or two splits are fitted by ``softmax.fit``, which sends inner products only.
-    ``made``, here and below, is ``design.equal_events`` of the same arguments where the caller has it.
+    of one or two splits are fitted by ``softmax.fit``, which sends inner products only, and
+    those of more splits, all but one of few levels, by ``blocks.fit``.
+    ``made``, here and below, is ``design.equal_events`` of the same arguments where the caller has it,
+    and ``packed`` is ``in_blocks`` of that.
     """
     spark = plate.sparkSession
     events = made or design.equal_events(plate, splits)
+    held = packed or in_blocks(events, splits)
+    if held:
+        found = blocks.fit(held, weights, c, tol=1e-7)
+        if not packed:
+            discard(held.rows)
+        return found
     if len(splits) <= 2:
         levels = by_each_split(events, splits, [F.count(F.lit(1)).alias("rows")]).count()
         if levels * events.select("event").distinct().count() > DRIVER_COEFFICIENTS:
@@ -228,32 +241,39 @@ def fitted_shares(
     return means.unpivot([], classes, "event", "share")
 
 
+def _residuals(events, effects, intercepts, splits, weights, classes) -> DataFrame:
+    """(split, level, n, classes): weighted observed less fitted class totals of a level."""
+    if weights is None:
+        events = events.withColumn("w", F.col("n").cast("double"))
+    else:
+        # one row per outcome class
+        events = events.join(F.broadcast(weights.select("event", "w")), "event")
+        events = events.withColumn("w", F.col("w") * F.col("n"))
+    scores = _softmax(events, effects, intercepts, splits, classes)
+    scores = scores.withColumns(
+        {c: F.col("w") * ((F.col("event") == c).cast("double") - F.col(c)) for c in classes}
+    )
+    sums = [F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in classes]]
+    return by_each_split(scores, splits, sums)
+
+
 def multinomial_gap(
     plate: DataFrame,
     effects: DataFrame,
     intercepts: DataFrame,
     splits=MODEL_SPLITS,
     weights: DataFrame | None = None,
-    made: DataFrame | None = None,
+    made: DataFrame | None = None, packed: blocks.Packed | None = None,
 ) -> DataFrame:
     """Gradient of the multinomial fit per level and class; zero at the optimum.
 
     Weighted observed less fitted class totals of a level, less its effect.
     """
     classes = [name for name in effects.columns if name not in KEYS]
-    events = made or design.equal_events(plate, splits)
-    if weights is None:
-        events = events.withColumn("w", F.col("n").cast("double"))
+    if packed:
+        gaps = blocks.residuals(packed, effects, intercepts, weights)
     else:
-        # one row per outcome class
-        events = events.join(F.broadcast(weights.select("event", "w")), "event")
-        events = events.withColumn("w", F.col("w") * F.col("n"))
-    scores = _softmax(events, effects, intercepts, splits, classes)
-    scores = scores.withColumns(
-        {c: F.col("w") * ((F.col("event") == c).cast("double") - F.col(c)) for c in classes}
-    )
-    sums = [F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in classes]]
-    gaps = by_each_split(scores, splits, sums)
+        gaps = _residuals(made or design.equal_events(plate, splits), effects, intercepts, splits, weights, classes)
     named = effects.select(*KEYS, *[F.col(c).alias(f"b_{c}") for c in classes])
     return gaps.join(named, KEYS).select(
         *KEYS, "n", *[(F.col(c) - F.col(f"b_{c}")).alias(c) for c in classes]

@@ -422,10 +422,11 @@ def ols_fit(spark, sf_dir):
 
 def _logistic(spark, sf_dir, splits, weighted):
     events = batting(spark, sf_dir, sites="gamesite" in splits)
-    weights = design.class_weights(events) if weighted else None
     made = design.equal_events(events, splits)
-    effects, intercepts = regress.multinomial(events, splits, weights, made=made)
-    gap = regress.multinomial_gap(events, effects, intercepts, splits, weights, made=made)
+    weights = written(design.class_weights(events, made=made), "weights") if weighted else None
+    packed = regress.in_blocks(made, splits)
+    effects, intercepts = regress.multinomial(events, splits, weights, made=made, packed=packed)
+    gap = regress.multinomial_gap(events, effects, intercepts, splits, weights, made=made, packed=packed)
     slack = [F.col(c) for c in effects.columns[2:]]
     return gap.select("split", "level", "n", _small(slack, 1e-4 * F.col("n")).alias("ok"))
 

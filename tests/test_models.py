@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from splitlab.functions.odds import CLAMPS
 from splitlab.functions.outcomes import OUTCOMES
-from splitlab.operators import design, estimates, ranking, rates, regress, solvers, spread
+from splitlab.operators import blocks, design, estimates, ranking, rates, regress, solvers, spread
 from splitlab.plans import catalog
 from tests.fixtures import plate_frame, plate_rows
 
@@ -216,6 +216,90 @@ def test_multinomial_off_the_driver(spark, monkeypatch, weighted, limit):
         assert {r.event: r.share for r in shares.collect()} == pytest.approx(seen, abs=1e-6)
 
 
+FIVE = ["batter", "pitcher", "gamesite", "timesthrough", "pitbathand"]
+
+
+def five_splits(spark):
+    """Events of five splits, some levels missing, one pitcher and no pitcher at all with many."""
+    rng = np.random.default_rng(11)
+    names = [*OUTCOMES, "UNKNOWN"]
+    rows = []
+    for i in range(3000):
+        pitcher = "p0" if i % 4 == 0 else None if i % 7 == 0 else f"p{rng.integers(60)}"
+        row = [f"b{rng.integers(4)}", pitcher, f"s{rng.integers(3)}", str(rng.integers(3)), ["LL", "RL", None][rng.integers(3)]]
+        if i % 31 == 0:
+            row[int(rng.integers(3)) * 2] = None
+        rows.append((*row, names[int(rng.choice(7, p=np.arange(1, 8) / 28))] if i % 50 else None))
+    rows += [rows[5]] * 40 + [(*[None] * 5, "K"), ("b9", "once", "s0", "0", "LL", "HR")]
+    return spark.createDataFrame(rows, ", ".join(f"{s} string" for s in FIVE) + ", event string").cache(), rows
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_multinomial_of_blocks(spark, monkeypatch, weighted):
+    def learner(**_):
+        raise AssertionError("coefficients went through the driver")
+
+    plate, rows = five_splits(spark)
+    made = design.equal_events(plate, FIVE)
+    weights = design.class_weights(plate, made=made) if weighted else None
+    if weighted:
+        assert sorted(weights.collect()) == sorted(design.class_weights(plate).collect())
+    assert regress.in_blocks(made, FIVE) is None
+    known, known_base = regress.multinomial(plate, FIVE, weights, made=made)
+    monkeypatch.setattr(regress, "DRIVER_COEFFICIENTS", 0)
+    monkeypatch.setattr(regress, "LogisticRegression", learner)
+    monkeypatch.setattr(blocks, "SLICE", 50)
+    packed = regress.in_blocks(made, FIVE)
+    assert packed.large == "pitcher"
+    effects, base = regress.multinomial(plate, FIVE, weights, made=made, packed=packed)
+    kept = [r for r in rows if r[5]]
+    labels = sorted({(s, r[i]) for i, s in enumerate(FIVE) for r in kept if r[i]})
+    names = sorted({r[5] for r in kept})
+    b = matrix(effects, labels, names)
+    assert b == pytest.approx(matrix(known, labels, names), abs=5e-3)
+    base = {r.event: r.b for r in base.collect()}
+    assert base == pytest.approx({r.event: r.b for r in known_base.collect()}, abs=5e-3)
+    # the slope, against a dense design
+    x = np.array([[float(r[FIVE.index(s)] == level) for s, level in labels] for r in kept])
+    w = {r.event: r.w for r in weights.collect()} if weighted else dict.fromkeys(names, 1.0)
+    score = np.exp(x @ b + np.array([base[e] for e in names]))
+    y = np.array([[float(r[5] == e) for e in names] for r in kept])
+    rest = np.array([w[r[5]] for r in kept])[:, None] * (y - score / score.sum(axis=1, keepdims=True))
+    assert x.T @ rest - b == pytest.approx(np.zeros_like(b), abs=1e-4)
+    assert rest.sum(axis=0) == pytest.approx(np.zeros(len(names)), abs=1e-4)
+    # the gap of worse effects is the same either way
+    rough = effects.withColumn("K", F.col("K") + F.length("level"))
+    base = spark.createDataFrame([(e, 1.5 * v) for e, v in base.items()], "event string, b double")
+    found = regress.multinomial_gap(plate, rough, base, FIVE, weights, made=made, packed=packed)
+    expected = regress.multinomial_gap(plate, rough, base, FIVE, weights, made=made)
+    assert matrix(found, labels, ["n", *names]) == pytest.approx(matrix(expected, labels, ["n", *names]), abs=1e-6)
+
+
+def test_blocks_are_for_one_large_split(spark, monkeypatch):
+    plate, _ = five_splits(spark)
+    made = design.equal_events(plate, FIVE)
+    for name in ("DENSE", "COMBINATIONS"):
+        with monkeypatch.context() as m:
+            m.setattr(blocks, name, 20)
+            assert blocks.packed(made, FIVE, 0) is None
+    assert blocks.packed(made.filter("false"), FIVE, 0) is None
+    packed = blocks.packed(made, FIVE, 0)
+    assert packed.totals.sum() == made.agg(F.sum("n")).first()[0]
+    assert packed.rows.count() == made.select("pitcher").distinct().count()
+
+
+def test_a_levels_effects_where_a_whole_step_overshoots(spark):
+    # a level with one class only, far from the others' shares
+    rows = [(f"b{i % 2}", "p0" if i < 900 else f"p{i % 5}", "s", "0", "L", "K" if i < 900 else ["HR", "BB", "K"][i % 3]) for i in range(1000)]
+    plate = spark.createDataFrame(rows, ", ".join(f"{s} string" for s in FIVE) + ", event string")
+    made = design.equal_events(plate, FIVE)
+    packed = blocks.packed(made, FIVE, 0)
+    effects, base = blocks.fit(packed, c=100.0)
+    gap = blocks.residuals(packed, effects, base).join(effects.select("split", "level", *[F.col(e).alias(f"b_{e}") for e in ("BB", "HR", "K")]), ["split", "level"])
+    worst = max(abs(r[e] - r[f"b_{e}"] / 100) for r in gap.collect() for e in ("BB", "HR", "K"))
+    assert worst < 1e-3
+
+
 def test_inner_products(spark):
     rng = np.random.default_rng(3)
     cells = rng.normal(size=(50, 4, 3))
