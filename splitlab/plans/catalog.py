@@ -601,7 +601,9 @@ def kde2d(spark, sf_dir):
 
 def binned_density(spark, sf_dir):
     table = rounded(rates.split_rates(batting(spark, sf_dir, sites=True)).select("split", "SNGL", "HR", "PA"), digits=9)
-    return rounded(bins.binned_density(table, "SNGL", "HR", "PA", 0.02), digits=8)
+    made = bins.binned_density(table, "SNGL", "HR", "PA", 0.02)
+    # grid points may lie half-way between two digits; products are rounded there as in SQL, F.round goes by the digits
+    return made.withColumns({n: F.round(F.col(n) * 1e8) / 1e8 for n, t in made.dtypes if t == "double"})
 
 
 def html_cells(spark, sf_dir):
